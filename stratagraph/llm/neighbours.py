@@ -19,11 +19,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Bounds of what is fitted and measured on the driver: vectors of the fitting sample, calibration queries.
-SAMPLE, PROBES = 16_384, 256
+SAMPLE, PROBES = 16_384, 512
 #: Vectors that a leaf should hold, and the most that one task compares at once (larger leaves are split).
-LEAF_ROWS, CELL_ROWS = 1_500, 4_096
+LEAF_ROWS, CELL_ROWS = 3_000, 4_096
 BRANCHES, ROUNDS = 16, 8
-TARGET_RECALL = 0.99
+#: Leaves a search reaches at least before it ranks them: a greedy descent alone often misses the best leaf.
+LOOK = 12
+TARGET_RECALL = 0.995
 #: Packed bytes that one search task should read.
 TASK_BYTES = 24 << 20
 PACKED = "cell bigint, kind int, node array<string>, chunk array<bigint>, same binary, vectors binary"
@@ -44,14 +46,15 @@ class Tree:
     def leaves(self) -> int:
         return int((self.count == 0).sum())
 
-    def visit(self, x: np.ndarray, wanted: int) -> np.ndarray:
-        """The first ``wanted`` leaves of each row of ``x`` in best-bin-first order (-1 where there are no more).
+    def visit(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ``wanted`` leaves of each row of ``x`` with the most similar centroids, of the first LOOK or more
+        that a best-bin-first search reaches, and how much less similar each centroid is than the first.
 
         Every query holds a priority queue of nodes by cosine; the best is taken out, an inner node puts its
         children in, a leaf is visited. All queries advance together; queues are rows of one matrix.
         """
-        wanted = min(wanted, self.leaves)
-        out = np.full((len(x), wanted), -1, np.int64)
+        given, wanted = min(wanted, self.leaves), min(max(wanted, LOOK), self.leaves)
+        out, score = np.full((len(x), wanted), -1, np.int64), np.zeros((len(x), wanted), np.float32)
         for a in range(0, len(x), 1024):
             q = x[a : a + 1024]
             queue = np.full((len(q), len(self.centroids)), -np.inf, np.float32)
@@ -60,10 +63,11 @@ class Tree:
             seen, rows = np.zeros(len(q), np.int64), np.arange(len(q))
             while len(rows):
                 best = queue[rows].argmax(1)
+                value = queue[rows, best]
                 queue[rows, best] = -np.inf
                 leaf = self.count[best] == 0
                 at = rows[leaf]
-                out[a + at, seen[at]] = self.leaf_of[best[leaf]]
+                out[a + at, seen[at]], score[a + at, seen[at]] = self.leaf_of[best[leaf]], value[leaf]
                 seen[at] += 1
                 inner, opened = rows[~leaf], best[~leaf]
                 for node in np.unique(opened):
@@ -71,7 +75,9 @@ class Tree:
                     lo, n = self.first[node], self.count[node]
                     queue[who, lo : lo + n] = q[who] @ self.centroids[lo : lo + n].T
                 rows = rows[seen[rows] < wanted]
-        return out
+        rank = np.argsort(-score, axis=1, kind="stable")[:, :given]
+        out, score = np.take_along_axis(out, rank, 1), np.take_along_axis(score, rank, 1)
+        return out, score[:, :1] - score
 
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
@@ -145,10 +151,11 @@ def _vectors(df: DataFrame, width: int) -> DataFrame:
     )
 
 
-def _probe(tree: Tree, probes: np.ndarray, same: np.ndarray, order: np.ndarray, k: int, floor: float, width: int):
-    """Brute force of the probes against every batch: (probe, similarity, rank of the neighbour's leaf in its order)."""
-    rank = np.empty_like(order)
+def _probe(tree: Tree, probes: np.ndarray, same: np.ndarray, order: np.ndarray, gaps: np.ndarray, k: int, floor: float, width: int):
+    """Brute force of the probes against every batch: (probe, similarity, rank and gap of the neighbour's leaf)."""
+    rank, gap = np.empty_like(order), np.empty_like(gaps)
     np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), 1)
+    np.put_along_axis(gap, order, gaps, 1)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -164,9 +171,9 @@ def _probe(tree: Tree, probes: np.ndarray, same: np.ndarray, order: np.ndarray,
             top = _top(p, sims[p, j], k)
             p, j = p[top], j[top]
             used, inverse = np.unique(j, return_inverse=True)
-            leaf = tree.visit(x[used], 1)[inverse, 0]
+            leaf = tree.visit(x[used], 1)[0][inverse, 0]
             key = rows.column("key").to_numpy()[j]
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(sims[p, j].astype(np.float64)), pa.array(rank[p, leaf]), pa.array(key)], names=["probe", "similarity", "rank", "key"])
+            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(sims[p, j].astype(np.float64)), pa.array(rank[p, leaf]), pa.array(gap[p, leaf].astype(np.float64)), pa.array(key)], names=["probe", "similarity", "rank", "gap", "key"])
 
     return run
 
@@ -180,7 +187,7 @@ def _top(group: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
     return order[place < k]
 
 
-def _send(tree: Tree, splits: np.ndarray, visits: int, width: int):
+def _send(tree: Tree, splits: np.ndarray, visits: int, margin: float, width: int):
     """Each vector once as a row of its leaf's cell, and as a query to every other cell it visits, packed per cell."""
     begin = np.cumsum(splits) - splits
 
@@ -189,7 +196,8 @@ def _send(tree: Tree, splits: np.ndarray, visits: int, width: int):
             rows, x = _usable(batch, width)
             if not len(x):
                 continue
-            order = tree.visit(_unit(x), visits)
+            order, gaps = tree.visit(_unit(x), visits)
+            order = np.where(gaps <= margin, order, -1)
             own = begin[order[:, 0]] + rows.column("key").to_numpy().view(np.uint64) % splits[order[:, 0]].astype(np.uint64)
             own = own.astype(np.int64)
             at, leaf = np.nonzero(order >= 0)[0], order[order >= 0]
@@ -285,13 +293,19 @@ def _search(k: int, floor: float, width: int):
 
 @dataclass
 class Index:
-    """A fitted tree, the number of leaves a search visits, and the recall measured with that number."""
+    """A fitted tree, how far a search goes in it, and the recall measured that way.
+
+    A search visits at most ``visits`` leaves, and of these the ones whose centroid is at most ``margin``
+    less similar than the first leaf's; ``mean_visits`` is what that comes to on the probes.
+    """
 
     tree: Tree
     splits: np.ndarray
-    visits: int
-    recall: float
     rows: int
+    visits: int = 1
+    margin: float = 0.0
+    recall: float = 1.0
+    mean_visits: float = 1.0
 
 
 def fit_index(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, target: float = TARGET_RECALL) -> Index | None:
@@ -311,19 +325,25 @@ def fit_index(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384,
     sample = _unit(x)
     leaf_size = max(8, round(LEAF_ROWS * len(sample) / max(rows, 1)))
     tree = fit_tree(sample, leaf_size)
-    filled = np.bincount(tree.visit(sample, 1)[:, 0], minlength=tree.leaves)
+    filled = np.bincount(tree.visit(sample, 1)[0][:, 0], minlength=tree.leaves)
     splits = np.maximum(1, np.ceil(filled / len(sample) * rows / CELL_ROWS)).astype(np.int64)
     if not kept.num_rows or tree.leaves == 1:
-        return Index(tree, splits, 1, 1.0, rows)
+        return Index(tree, splits, rows)
     probes, same = sample[:PROBES], kept.column("same").to_numpy()[:PROBES]
-    order = tree.visit(probes, tree.leaves)
-    hits = vectors.mapInArrow(_probe(tree, probes, same, order, k, floor, width), "probe bigint, similarity double, rank bigint, key bigint").distinct()
+    order, gaps = tree.visit(probes, tree.leaves)
+    hits = vectors.mapInArrow(_probe(tree, probes, same, order, gaps, k, floor, width), "probe bigint, similarity double, rank bigint, gap double, key bigint").distinct()
     place = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("similarity"), "key"))
-    ranks = np.array([r["rank"] for r in hits.withColumn("place", place).where(F.col("place") <= k).select("rank").collect()])  # at most PROBES * k
-    if not len(ranks):
-        return Index(tree, splits, 1, 1.0, rows)
-    visits = next((v for v in range(1, tree.leaves + 1) if (ranks < v).mean() >= target), tree.leaves)
-    return Index(tree, splits, visits, float((ranks < visits).mean()), rows)
+    best = hits.withColumn("place", place).where(F.col("place") <= k).select("rank", "gap").collect()  # at most PROBES * k
+    if not best:
+        return Index(tree, splits, rows)
+    rank, gap = np.array([r["rank"] for r in best]), np.array([r["gap"] for r in best])
+    # the visits alone reach somewhat more than the target, the margin then takes back what is above it
+    more = target + 0.5 * (1 - target)
+    visits = next((v for v in range(1, tree.leaves + 1) if (rank < v).mean() >= more), tree.leaves)
+    inside = np.sort(gap[rank < visits])
+    margin = float(inside[min(len(inside), math.ceil(target * len(gap))) - 1]) + 1e-6
+    found = (rank < visits) & (gap <= margin)
+    return Index(tree, splits, rows, visits, margin, float(found.mean()), float((gaps[:, :visits] <= margin).sum(1).mean()))
 
 
 def nearest(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, target: float = TARGET_RECALL, index: Index | None = None) -> DataFrame:
@@ -339,8 +359,8 @@ def nearest(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, t
     if index is None:
         return df.sparkSession.createDataFrame([], FOUND)
     spark = df.sparkSession
-    sent = _vectors(df, width).mapInArrow(_send(index.tree, index.splits, index.visits, width), PACKED)
-    packed = index.rows * (index.visits + 1) * width * 2
+    sent = _vectors(df, width).mapInArrow(_send(index.tree, index.splits, index.visits, index.margin, width), PACKED)
+    packed = index.rows * index.mean_visits * width * 2
     tasks = min(int(index.splits.sum()), max(2 * spark.sparkContext.defaultParallelism, math.ceil(packed / TASK_BYTES)))
     found = sent.repartition(max(1, tasks), "cell").sortWithinPartitions("cell", "kind").mapInArrow(_search(k, floor, width), FOUND)
     once = found.repartition("node_a", "chunk_a").groupBy("node_a", "chunk_a", "node_b", "chunk_b").agg(F.max("similarity").alias("similarity"))
