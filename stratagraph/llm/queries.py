@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from stratagraph.llm.chunking import present_messages, split_long
 from stratagraph.llm.leakage import leaked_items
 from stratagraph.llm.mixing import mixture, shares
+from stratagraph.llm.names import identities, same_author_pairs
 from stratagraph.llm.neighbours import similar_pairs
 from stratagraph.llm.repetition import repeated_documents
 from stratagraph.llm.sql import SQL  # noqa: F401 - read by the driver contract
@@ -30,6 +31,14 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(_t(spark, sf_dir, "node_vectors"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_author_pairs(_t(spark, sf_dir, "authors"))
+
+
+def p4_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identities(_t(spark, sf_dir, "authors"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -47,4 +56,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_documents(_t(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p7_found, p8_mixture, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p4_found, p4_identities, p7_found, p8_mixture, p8_shares, p9_found)}
