@@ -71,6 +71,12 @@ def near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
+def _surname(blob: str, s: str, heads: set[str]) -> tuple[int, str] | None:
+    """(errors, surname) as an address of one word spells it: the surname alone or behind an initial of ``heads``."""
+    ways = [(int(b != s), b) for b in ([blob[1:]] if blob[:1] in heads else []) + [blob] if len(b) > 1 and near(b, s)]
+    return min(ways, key=lambda w: w[0]) if ways else None
+
+
 def _address(email: str | None) -> tuple[str | None, list[str], str]:
     """(mailbox, folded words of its local part, domain) of an address; numbers before + and at the end don't count."""
     if not email or "@" not in email:
@@ -124,31 +130,26 @@ def read(name: str | None, email: str | None) -> dict:
             out.update(full=[f"{x} {s}" for x in givens(g)], sure=True, box=box, domain=domain)
             return out
     if pairs:
-        agreed = []
-        for g, s in pairs:  # the address may confirm and correct the surname
-            heads = {g[0], *(x[0] for x in givens(g))}
-            if blob and near(blob, s):
-                agreed.append((g, blob))
-            elif blob and blob[0] in heads and near(blob[1:], s):
-                agreed.append((g, blob[1:]))
+        ways = [(way, g) for g, s in pairs if blob and (way := _surname(blob, s, {g[0], *(x[0] for x in givens(g))}))]
+        least = min((way[0] for way, _ in ways), default=0)
+        agreed = [(g, way[1]) for way, g in ways if way[0] == least]  # the address may confirm and correct the surname
         if agreed:
             out.update(box=box, domain=domain)
         out["full"] = list(dict.fromkeys(f"{x} {s}" for g, s in (agreed or pairs) for x in givens(g)))
         return out
     if len(long) == 1 and initials:
         s = long[0]
-        if blob and near(blob, s):
-            s = blob
-            out.update(box=box, domain=domain)
-        elif blob and blob[0] == initials[0] and near(blob[1:], s):
-            s = blob[1:]
+        if blob and (way := _surname(blob, s, {initials[0]})):
+            s = way[1]
             out.update(box=box, domain=domain)
         out["partial"] = [f"{initials[0]} {s}"]
         return out
     if len(long) == 1:
         t = long[0]
         guesses = [(t[0], t[1:]), (t[-1], t[:-1])]
-        confirmed = [(i, blob) for i, s in guesses if blob and near(blob, s)] + [(i, blob[1:]) for i, s in guesses if blob and i == blob[0] and near(blob[1:], s)]
+        ways = [(way, i) for i, s in guesses if blob and (way := _surname(blob, s, {i}))]
+        least = min((way[0] for way, _ in ways), default=0)
+        confirmed = [(i, way[1]) for way, i in ways if way[0] == least]
         if confirmed:
             out.update(box=box, domain=domain)
         elif blob and near(blob, t):
@@ -277,7 +278,7 @@ def _settle(scratch: Scratch, asked: DataFrame, known: DataFrame) -> DataFrame:
     """(s, t, grade): where each asked spelling belongs.
 
     ``known`` has s, sure (rows whose address spells it out) and n (rows). A sure spelling stays. Any other
-    moves to the best attested neighbour that is sure, or else is used by more rows; grade 0 is a sure
+    moves to the best attested neighbour that is sure, or else is used by more rows (of as many, the smallest); grade 0 is a sure
     spelling met exactly, 1 a sure neighbour, 2 another known spelling met exactly or nearby, 3 none.
     """
     near_ = trie_join(asked.select("s"), known.select("s"))
@@ -288,7 +289,7 @@ def _settle(scratch: Scratch, asked: DataFrame, known: DataFrame) -> DataFrame:
     # initials and the kind of identity are no typing errors
     fits = F.substring("s", 1, 4) == F.substring("t", 1, 4)
     same_head = F.when(F.col("s").startswith("org:") | F.col("s").startswith("bot:") | F.col("t").startswith("org:") | F.col("t").startswith("bot:"), fits).otherwise(F.when((F.substring("s", 2, 1) == " ") | (F.substring("t", 2, 1) == " "), F.substring("s", 1, 2) == F.substring("t", 1, 2)).otherwise(F.lit(True)))
-    best = rated.where(same_head).groupBy("s").agg(F.min(F.struct(grade.alias("grade"), (-F.col("t_n")).alias("n"), (F.col("s") != F.col("t")).alias("moved"), F.col("t").alias("t"))).alias("b"))
+    best = rated.where(same_head).groupBy("s").agg(F.min(F.struct(grade.alias("grade"), (-F.col("t_n")).alias("n"), F.col("t").alias("t"))).alias("b"))
     moved = asked.select("s").distinct().join(best.withColumnRenamed("s", "b_s"), F.col("s") == F.col("b_s"), "left")
     return scratch.write(moved.select("s", F.coalesce("b.t", "s").alias("t"), F.coalesce("b.grade", F.lit(3)).alias("grade")), "settled")
 
