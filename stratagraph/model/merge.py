@@ -26,11 +26,9 @@ def _attributes(rows: DataFrame, keys: list[str], null_deletes: bool) -> DataFra
 
 
 def _keyed(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
-    on = [left[k].eqNullSafe(right[k]) for k in keys]
-    both = left.join(right, on, "left")
-    for k in keys:
-        both = both.drop(right[k])
-    return both.withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
+    other = right.select(*[F.col(k).alias(f"__{k}") for k in keys], "attributes")
+    on = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
+    return left.join(other, on, "left").drop(*[f"__{k}" for k in keys]).withColumn("attributes", F.coalesce("attributes", F.create_map().cast("map<string,string>")))
 
 
 def merge_nodes(rows: DataFrame, by_type: bool = True, null_deletes: bool = False) -> DataFrame:
