@@ -25,6 +25,18 @@ def p1_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.select(F.col("id").alias("commit_id"), "parent_id", "root_id", "depth", "lo", "hi", "descendants", "on_loop")
 
 
+def p1_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every commit the number of commits below it, from the width of its range."""
+    nodes = build_hierarchy(first_parent_links(_t(spark, sf_dir, "commits"))).nodes
+    return nodes.where("NOT on_loop").select(F.col("id").alias("commit_id"), "root_id", "depth", "descendants")
+
+
+def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of first parents from the root to every commit without children, by stabbing the ranges."""
+    tree = build_hierarchy(first_parent_links(_t(spark, sf_dir, "commits")))
+    return tree.paths(tree.nodes.where("descendants = 0").select("id")).select(F.col("id").alias("commit_id"), F.concat_ws("/", "path").alias("path"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(_t(spark, sf_dir, "amendments")).read().select("entity_type", "entity_key", "amendment_id")
 
@@ -37,7 +49,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(_t(spark, sf_dir, "edges"), _t(spark, sf_dir, "nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranges, p5_found, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranges, p1_subtrees, p1_paths, p5_found, p6_found, p6_report)}
 
 _LINKS = """
 last AS (SELECT id, arg_max(coalesce(parents, []), scanned_at) AS p FROM commits WHERE id IS NOT NULL GROUP BY id),
@@ -59,6 +71,10 @@ kinds AS (SELECT DISTINCT r.id AS edge_id, side,
 
 SQL = {
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT id AS commit_id, root_id, depth FROM tree UNION ALL SELECT id, root_id, CAST(-1 AS BIGINT) FROM looped",
+    "p1_subtrees": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT id AS commit_id, parent_id AS above FROM link UNION ALL SELECT up.commit_id, l.parent_id FROM up JOIN link l ON l.id = up.above JOIN tree t ON t.id = l.id WHERE l.parent_id IS NOT NULL)
+SELECT tree.id AS commit_id, root_id, depth, count(up.commit_id) AS descendants FROM tree LEFT JOIN up ON up.above = tree.id GROUP BY ALL""",
+    "p1_paths": f"""WITH RECURSIVE {_LINKS}, paths AS (SELECT id, id AS path FROM link WHERE parent_id IS NULL UNION ALL SELECT l.id, p.path || '/' || l.id FROM link l JOIN paths p ON l.parent_id = p.id)
+SELECT id AS commit_id, path FROM paths WHERE id NOT IN (SELECT parent_id FROM link WHERE parent_id IS NOT NULL)""",
     "p5_found": """
 WITH parsed AS (
   SELECT *, lower(regexp_replace(trim(action), '[^A-Za-z]+', '_', 'g')) AS act,
