@@ -100,9 +100,10 @@ def secret_graph(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def symbol_graph(definitions: DataFrame, touched: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Symbols of definitions (file, name, seq) and of touched ones (commit_id, name, seq)."""
+    """Symbols of definitions (file, name, seq) and of touched ones (commit_id, file, name, seq), which may be imported."""
     s = F.col("seq")
-    return node(definitions, "SYMBOL", F.col("name"), s, name=F.col("name"), file=F.col("file")), union(edge(definitions, "HAS_SYMBOL", F.col("file"), F.col("name"), s), edge(touched, "MODIFIED_SYMBOL", F.col("name"), F.col("commit_id"), s))
+    named = lambda df: node(df, "SYMBOL", F.col("name"), s, name=F.col("name"), file=F.col("file"))
+    return union(named(definitions), named(touched)), union(edge(definitions, "HAS_SYMBOL", F.col("file"), F.col("name"), s), edge(touched, "MODIFIED_SYMBOL", F.col("name"), F.col("commit_id"), s))
 
 
 def comment_graph(comments: DataFrame) -> tuple[DataFrame, DataFrame]:

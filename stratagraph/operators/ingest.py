@@ -12,7 +12,7 @@ from stratagraph.model.merge import merge_edges, merge_nodes
 from stratagraph.operators import build as B
 from stratagraph.operators.versions import match_versions, version_graph
 from stratagraph.session import Scratch
-from stratagraph.sources.gitsource import blobs, changes, history
+from stratagraph.sources.gitsource import blobs, changes, history, remotes
 
 
 def added_text(patch):
@@ -20,6 +20,17 @@ def added_text(patch):
     return F.udf(lambda p: parse_patch(p)[1], "string", useArrow=True)(patch)
 
 
+def repository(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """The repository's node: name, root path and remotes (a JSON list, credentials masked)."""
+    import json
+    import os
+
+    root = os.path.abspath(path)
+    one = spark.createDataFrame([(os.path.basename(root), root, json.dumps(remotes(path)))], "name string, root_path string, remotes string")
+    none = B.edge(one.where("false"), "PART_OF_REPO", F.col("name"), F.col("name"), F.lit(0).cast("bigint"))
+    return B.node(one, "REPOSITORY", F.col("name"), F.lit(0).cast("bigint"), name=F.col("name"), root_path=F.col("root_path"), remotes=F.col("remotes")), none
+
+
 def rows_of(spark: SparkSession, commits: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
     """Node and edge rows of commits of one repository (columns of the git source)."""
     scratch = Scratch(spark, "ingest")
@@ -32,15 +43,15 @@ def rows_of(spark: SparkSession, commits: DataFrame, path: str) -> tuple[DataFra
     seen = scratch.write(analyse_changes(files.where("language IS NOT NULL AND content IS NOT NULL")), "analysed")
 
     definitions = seen.select("seq", F.col("path").alias("file"), F.explode("definitions").alias("name"))
-    touched = seen.select("commit_id", "seq", F.explode("touched").alias("name"))
+    touched = seen.select("commit_id", "seq", F.col("path").alias("file"), F.explode("touched").alias("name"))
     comments = seen.select("commit_id", "seq", F.col("path").alias("file"), F.explode("comments").alias("c")).select("commit_id", "seq", "file", "c.text", "c.kind", "c.line")
     functions = seen.select("commit_id", "seq", F.col("path").alias("file_path"), F.explode("functions").alias("f")).select(F.col("f.name").alias("function"), "seq", "commit_id", "file_path", F.col("f.text").alias("content"))
     words = lambda column, code: X.keywords(column, stops, is_code=code)
     sources = B.union(
         commits.select(F.col("id").alias("node_id"), "seq", words(F.col("message"), False).alias("terms")), live.select(F.col("b_path").alias("node_id"), "seq", words(X.base_name(F.col("b_path")), True).alias("terms")),
-        touched.select(F.col("name").alias("node_id"), "seq", words(F.col("name"), True).alias("terms")), live.select(F.col("commit_id").alias("node_id"), "seq", words(added_text(F.col("patch")), True).alias("terms")),
+        definitions.select(F.col("name").alias("node_id"), "seq", words(F.col("name"), True).alias("terms")), live.select(F.col("commit_id").alias("node_id"), "seq", words(added_text(F.col("patch")), True).alias("terms")),
     )
-    parts = [B.commit_graph(commits), B.file_graph(changed), B.secret_graph(contents.select("commit_id", "seq", "content")), B.symbol_graph(definitions, touched), B.comment_graph(comments), version_graph(match_versions(functions)), B.keyword_graph(scratch.write(sources, "sources"))]
+    parts = [B.commit_graph(commits), repository(spark, path), B.file_graph(changed), B.secret_graph(contents.select("commit_id", "seq", "content")), B.symbol_graph(definitions, touched), B.comment_graph(comments), version_graph(match_versions(functions)), B.keyword_graph(scratch.write(sources, "sources"))]
     return scratch.write(B.union(*[n for n, _ in parts]), "nodes"), scratch.write(B.union(*[e for _, e in parts]), "edges")
 
 

@@ -36,6 +36,11 @@ def commit_ids(path: str) -> list[str]:
     return _git(path, "rev-list", "--topo-order", "--reverse", "HEAD").decode().split()
 
 
+def remotes(path: str) -> list[str]:
+    """The distinct remote URLs."""
+    return list(dict.fromkeys(line.split()[1] for line in _git(path, "remote", "-v").decode().splitlines() if len(line.split()) > 1))
+
+
 def _diffs(text: str) -> list[tuple]:
     """(a_path, b_path, change_type, b_blob_sha, patch) of the raw lines and patches of one commit."""
     out, segments, raw = [], re.split(r"(?m)^(?=diff --git )", text), []
