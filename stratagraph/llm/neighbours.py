@@ -18,14 +18,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratagraph.session import Scratch
+
 #: Bounds of what is fitted and measured on the driver: vectors of the fitting sample, calibration queries.
 SAMPLE, PROBES = 16_384, 512
 #: Vectors that a leaf should hold, and the most that one task compares at once (larger leaves are split).
-LEAF_ROWS, CELL_ROWS = 3_000, 4_096
+LEAF_ROWS, CELL_ROWS = 5_000, 16_384
 BRANCHES, ROUNDS = 16, 8
 #: Leaves a search reaches at least before it ranks them: a greedy descent alone often misses the best leaf.
 LOOK = 12
-TARGET_RECALL = 0.995
+TARGET_RECALL = 0.998
+#: Groups of copies (with their keys about 100 bytes each) up to which they are broadcast.
+FEW_COPIES = 200_000
 #: Packed bytes that one search task should read.
 TASK_BYTES = 24 << 20
 PACKED = "cell bigint, kind int, node array<string>, chunk array<bigint>, same binary, vectors binary"
@@ -147,10 +151,58 @@ def _unpack(packed: bytes, width: int) -> np.ndarray:
 
 def _vectors(df: DataFrame, width: int) -> DataFrame:
     return df.where(F.size("embedding") == width).where("node_id IS NOT NULL AND chunk_id IS NOT NULL").select(
-        "node_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding", F.xxhash64("node_id").alias("same"), F.xxhash64("node_id", "chunk_id").alias("key")
+        "node_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding", F.xxhash64("node_id").alias("same"), F.xxhash64("node_id", "chunk_id").alias("key"),
+        F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"),
     )
 
 
+def _copies(scratch: Scratch, vectors: DataFrame) -> DataFrame | None:
+    """(h1, h2, node_r, chunk_r, mixed): vectors that several keys share, with the key that stands for them; None if there are none.
+
+    ``mixed`` tells whether they belong to more than one node.
+    """
+    key = F.struct("node_id", "chunk_id")
+    groups = vectors.groupBy("h1", "h2").agg(F.min(key).alias("a"), F.max(key).alias("z")).where("a != z")
+    table = scratch.write(groups.select("h1", "h2", F.col("a.node_id").alias("node_r"), F.col("a.chunk_id").alias("chunk_r"), (F.col("a.node_id") != F.col("z.node_id")).alias("mixed")), "groups")
+    if not table.head(1):
+        return None
+    usable = F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    few = table.count() <= FEW_COPIES
+    one = (F.col("node_id") == F.col("node_r")) & (F.col("chunk_id") == F.col("chunk_r"))
+    good = vectors.join(F.broadcast(table) if few else table, ["h1", "h2"]).where(one).where(usable).select("h1", "h2", "node_r", "chunk_r", "mixed").distinct()
+    copies = scratch.write(good, "copies")
+    return copies if copies.head(1) else None
+
+
+def _standing(vectors: DataFrame, copies: DataFrame) -> DataFrame:
+    """The vectors without the copies another key stands for; one that stands for several nodes excludes none of them."""
+    few = copies.count() <= FEW_COPIES
+    joined = vectors.join(F.broadcast(copies) if few else copies, ["h1", "h2"], "left")
+    kept = joined.where(F.col("node_r").isNull() | ((F.col("node_id") == F.col("node_r")) & (F.col("chunk_id") == F.col("chunk_r"))))
+    return kept.select("node_id", "chunk_id", "embedding", F.when(F.col("mixed"), F.xxhash64("h1", "h2", F.lit("copies"))).otherwise(F.col("same")).alias("same"), "key", "h1", "h2")
+
+
+def _spread(found: DataFrame, vectors: DataFrame, copies: DataFrame, k: int) -> DataFrame:
+    """From neighbours of standing vectors to neighbours of all: copies are neighbours of each other and share the others.
+
+    Of a group at most ``k`` keys of a node and 2 * ``k`` in all can be among anyone's ``k`` nearest, since a
+    query leaves out one node only; longer lists are cut there (before the shuffle, by Spark's partial
+    ranking), and every key of a group then picks from its group's list.
+    """
+    first = lambda df, by, order, n: df.withColumn("__i", F.row_number().over(W.partitionBy(*by).orderBy(*order))).where(F.col("__i") <= n).drop("__i")
+    members = vectors.select("node_id", "chunk_id", "h1", "h2").distinct().join(copies, ["h1", "h2"]).select("node_r", "chunk_r", F.col("node_id").alias("node_m"), F.col("chunk_id").alias("chunk_m"))
+    listed = first(first(members, ["node_r", "chunk_r", "node_m"], ["chunk_m"], k), ["node_r", "chunk_r"], ["node_m", "chunk_m"], 2 * k)
+    at = (F.col("node_b") == F.col("node_r")) & (F.col("chunk_b") == F.col("chunk_r"))
+    opened = found.join(listed, at, "left").select("node_a", "chunk_a", F.coalesce("node_m", "node_b").alias("node_b"), F.coalesce("chunk_m", "chunk_b").alias("chunk_b"), "similarity")
+    own = listed.select(F.col("node_r").alias("node_a"), F.col("chunk_r").alias("chunk_a"), F.col("node_m").alias("node_b"), F.col("chunk_m").alias("chunk_b"), F.lit(1.0).alias("similarity"))
+    order = [F.desc("similarity"), "node_b", "chunk_b"]
+    both = first(first(opened.unionByName(own), ["node_a", "chunk_a", "node_b"], [F.desc("similarity"), "chunk_b"], k), ["node_a", "chunk_a"], order, 2 * k)
+    lists = both.groupBy("node_a", "chunk_a").agg(F.sort_array(F.collect_list(F.struct((-F.col("similarity")).alias("minus"), "node_b", "chunk_b"))).alias("list"))
+    who = lists.join(members, (F.col("node_a") == F.col("node_r")) & (F.col("chunk_a") == F.col("chunk_r")), "left").select(F.coalesce("node_m", "node_a").alias("node_a"), F.coalesce("chunk_m", "chunk_a").alias("chunk_a"), "list")
+    picked = F.slice(F.filter("list", lambda x: x["node_b"] != F.col("node_a")), 1, k)
+    return who.select("node_a", "chunk_a", F.explode(picked).alias("x")).select("node_a", "chunk_a", "x.node_b", "x.chunk_b", (-F.col("x.minus")).alias("similarity"))
+
+
 def _probe(tree: Tree, probes: np.ndarray, same: np.ndarray, order: np.ndarray, gaps: np.ndarray, k: int, floor: float, width: int):
     """Brute force of the probes against every batch: (probe, similarity, rank and gap of the neighbour's leaf)."""
     rank, gap = np.empty_like(order), np.empty_like(gaps)
@@ -251,6 +303,10 @@ def _compare(q: _Block, base: _Block, k: int, floor: float) -> Iterator[pa.Recor
         i, j = i[different], j[different]
         if not len(i):
             continue
+        rough = sims[i, j]
+        if len(i) > 2 * k * len(sims):  # dense neighbourhoods: only what can still be among the k, with room for rounding
+            near = _top(i, rough, 2 * k)
+            i, j = i[near], j[near]
         exact = np.einsum("ij,ij->i", q.x[a + i], base.x[j], dtype=np.float64)
         enough = exact >= floor
         i, j, exact = i[enough], j[enough], exact[enough]
@@ -311,7 +367,7 @@ class Index:
 def fit_index(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, target: float = TARGET_RECALL) -> Index | None:
     """Fit the tree on the sample and calibrate the number of visits; None if there is no usable vector."""
     rows = df.count()
-    vectors = _vectors(df, width)
+    vectors = _vectors(df, width).drop("h1", "h2")
     share = min(1.0, SAMPLE / max(rows, 1))
     chosen = vectors.where(F.pmod("key", F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
     table = chosen.toArrow().combine_chunks()
@@ -352,20 +408,26 @@ def nearest(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, t
     Only neighbours of a cosine of at least ``floor`` are given, and the recall is calibrated on these.
     Vectors that are null, of another width, all zero or hold a null, NaN or infinity, and rows without
     node or chunk take no part; repeated (node_id, chunk_id) rows count once. Of equal similarities the
-    smaller (node_b, chunk_b) comes first. A leaf that holds many rows is split into cells, each compared
+    smaller (node_b, chunk_b) comes first, except within rounding. Copies of one vector under several keys go
+    through the search once and get their neighbours afterwards. A leaf that holds many rows is split into cells, each compared
     with all queries of the leaf, so no task gathers it. An empty table gives an empty result.
     """
     index = index or fit_index(df, k, floor, width, target)
     if index is None:
         return df.sparkSession.createDataFrame([], FOUND)
     spark = df.sparkSession
-    sent = _vectors(df, width).mapInArrow(_send(index.tree, index.splits, index.visits, index.margin, width), PACKED)
+    vectors = _vectors(df, width)
+    copies = _copies(Scratch(spark, "neighbours"), vectors)
+    standing = vectors if copies is None else _standing(vectors, copies)
+    wanted = k if copies is None else 2 * k
+    sent = standing.drop("h1", "h2").mapInArrow(_send(index.tree, index.splits, index.visits, index.margin, width), PACKED)
     packed = index.rows * index.mean_visits * width * 2
     tasks = min(int(index.splits.sum()), max(2 * spark.sparkContext.defaultParallelism, math.ceil(packed / TASK_BYTES)))
-    found = sent.repartition(max(1, tasks), "cell").sortWithinPartitions("cell", "kind").mapInArrow(_search(k, floor, width), FOUND)
+    found = sent.repartition(max(1, tasks), "cell").sortWithinPartitions("cell", "kind").mapInArrow(_search(wanted, floor, width), FOUND)
     once = found.repartition("node_a", "chunk_a").groupBy("node_a", "chunk_a", "node_b", "chunk_b").agg(F.max("similarity").alias("similarity"))
     place = F.row_number().over(W.partitionBy("node_a", "chunk_a").orderBy(F.desc("similarity"), "node_b", "chunk_b"))
-    return once.withColumn("place", place).where(F.col("place") <= k).drop("place")
+    best = once.withColumn("place", place).where(F.col("place") <= wanted).drop("place")
+    return best if copies is None else _spread(best, vectors, copies, k)
 
 
 def similar_pairs(df: DataFrame, k: int = 10, floor: float = 0.6, width: int = 384) -> DataFrame:
