@@ -10,6 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.operators.prefix import exclusive_prefix_sum
+from stratagraph.session import Scratch
 
 TOKENIZERS = "/opt/tokenizers"
 RANKS = "byte_bpe_50k.tiktoken"
@@ -31,8 +32,8 @@ def language(lang: Column) -> Column:
     return F.when(F.coalesce(low, F.lit("")) == "", "und").otherwise(F.coalesce(F.try_element_at(names, low), F.substring(low, 1, 2)))
 
 
-def token_counter(tokenizers: str, ranks: str):
-    """An Arrow function from (key, text) batches to (key, tokens)."""
+def _counter(tokenizers: str, ranks: str):
+    """An Arrow function that replaces the last column, a text, by its number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import base64
@@ -48,16 +49,17 @@ def token_counter(tokenizers: str, ranks: str):
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         encoding = tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=merges, special_tokens={})
         for batch in batches:
-            counts = [len(encoding.encode_ordinary(t)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], names=["doc_id", "tokens"])
+            counts = [len(encoding.encode_ordinary(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            names = [*batch.schema.names[:-1], "tokens"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(counts, pa.int64())], names=names)
 
     return run
 
 
 def count_tokens(docs: DataFrame, tokenizers: str = TOKENIZERS, ranks: str = RANKS) -> DataFrame:
-    """(doc_id, tokens) of the whole texts; null texts have no row here."""
-    rows = docs.select("doc_id", "text").where("text IS NOT NULL")
-    return rows.mapInArrow(token_counter(tokenizers, ranks), "doc_id bigint, tokens bigint")
+    """(doc_id, source, lang, tokens) of the whole texts, names normalised; null ids and null texts have no row here."""
+    rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), language(F.col("lang")).alias("lang"), "text")
+    return rows.mapInArrow(_counter(tokenizers, ranks), "doc_id bigint, source string, lang string, tokens bigint")
 
 
 class Node:
@@ -128,16 +130,14 @@ def mixture(docs: DataFrame, targets: DataFrame, total: int | None = None, seed:
     ``total`` is the size of the mixture in tokens, by default that of all usable documents once. Each leaf
     takes whole epochs while its budget lasts and of the last epoch the documents in seeded order whose
     token range starts inside the budget, so it exceeds its budget by less than one document and never
-    its repeat cap. Null, empty and unknown-source documents are not used; repeated target rows count
-    once (the largest share and cap).
+    its repeat cap. Null, empty and unknown-source documents are not used; repeated documents count once,
+    repeated target rows too (with the largest share and cap).
     """
     marked = targets.where("source IS NOT NULL").groupBy(source_name(F.col("source")).alias("source")).agg(F.max("target_share").alias("share"), F.max("max_repeats").alias("cap")).collect()  # one row per source named in the target table
     share, cap = {r["source"]: r["share"] or 0.0 for r in marked}, {r["source"]: max(0, r["cap"] or 0) for r in marked}
-    counted = count_tokens(docs.where(source_name(F.col("source")).isin(list(share))), tokenizers, ranks).where("tokens > 0")
-    kinds = docs.select("doc_id", source_name(F.col("source")).alias("source"), language(F.col("lang")).alias("lang"))
-    from stratagraph.session import Scratch
-
-    sized = Scratch(docs.sparkSession, "mixing").write(counted.join(kinds, "doc_id"), "sized")
+    used = docs.where(source_name(F.col("source")).isin(list(share)))
+    once = count_tokens(used, tokenizers, ranks).where("tokens > 0").groupBy("doc_id").agg(F.min(F.struct("source", "lang", "tokens")).alias("d")).select("doc_id", "d.*")
+    sized = Scratch(docs.sparkSession, "mixing").write(once, "sized")
     leaves = [r.asDict() for r in sized.groupBy("source", "lang").agg(F.sum("tokens").alias("tokens")).collect()]  # at most sources x languages
     plan = budgets(leaves, share, cap, float(total if total is not None else sum(r["tokens"] for r in leaves)))
     have = {(r["source"], r["lang"]): r["tokens"] for r in leaves}
