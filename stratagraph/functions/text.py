@@ -39,7 +39,7 @@ def singular(word: Column) -> Column:
     """A light lemma: plural endings off (no dictionary is at hand)."""
     return (
         F.when(word.rlike("(ss|us|is)$"), word).when(word.rlike("ies$") & (F.length(word) > 4), F.regexp_replace(word, "ies$", "y"))
-        .when(word.rlike("(ches|shes|xes|sses|zes)$"), F.regexp_replace(word, "es$", "")).when(word.rlike("s$") & (F.length(word) > 3), F.regexp_replace(word, "s$", "")).otherwise(word)
+        .when(word.rlike("([nrt]ch|each|oach|sh|x|ss|zz)es$"), F.regexp_replace(word, "es$", "")).when(word.rlike("s$") & (F.length(word) > 3), F.regexp_replace(word, "s$", "")).otherwise(word)
     )
 
 
