@@ -33,7 +33,7 @@ class Engine:
     def index(self, repositories: str, skip_bots: bool = True, vectors: bool = True, parameters: Sequence[str] = ()) -> int:
         """Ingest a comma-separated list of local repositories; the number of nodes afterwards. Known commits are skipped."""
         for path in filter(None, (p.strip() for p in repositories.split(","))):
-            self.catalog.append(*ingest(self.spark, path, self.catalog.nodes(), skip_bots))
+            self.catalog.append(*ingest(self.spark, path, self.catalog.graph(), skip_bots))
         self.catalog.compact()
         for nodes, edges in self.plugins.run("build", P.in_context(self.catalog.graph()), list(parameters)):
             self.catalog.append(nodes, edges)

@@ -10,7 +10,8 @@ from stratagraph.functions.patch import parse_patch
 from stratagraph.functions.syntax import analyse_changes
 from stratagraph.model.merge import merge_edges, merge_nodes
 from stratagraph.operators import build as B
-from stratagraph.operators.versions import match_versions, version_graph
+from stratagraph.operators.search import Graph
+from stratagraph.operators.versions import match_versions, open_histories, version_graph
 from stratagraph.session import Scratch
 from stratagraph.sources.gitsource import blobs, changes, history, remotes
 
@@ -31,8 +32,8 @@ def repository(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     return B.node(one, "REPOSITORY", F.col("name"), F.lit(0).cast("bigint"), name=F.col("name"), root_path=F.col("root_path"), remotes=F.col("remotes")), none
 
 
-def rows_of(spark: SparkSession, commits: DataFrame, path: str) -> tuple[DataFrame, DataFrame]:
-    """Node and edge rows of commits of one repository (columns of the git source)."""
+def rows_of(spark: SparkSession, commits: DataFrame, path: str, known: Graph | None = None) -> tuple[DataFrame, DataFrame]:
+    """Node and edge rows of commits of one repository (columns of the git source); function histories of ``known`` go on."""
     scratch = Scratch(spark, "ingest")
     commits = scratch.write(commits, "commits")
     stops = X.stop_words(spark)
@@ -51,18 +52,18 @@ def rows_of(spark: SparkSession, commits: DataFrame, path: str) -> tuple[DataFra
         commits.select(F.col("id").alias("node_id"), "seq", words(F.col("message"), False).alias("terms")), live.select(F.col("b_path").alias("node_id"), "seq", words(X.base_name(F.col("b_path")), True).alias("terms")),
         definitions.select(F.col("name").alias("node_id"), "seq", words(F.col("name"), True).alias("terms")), live.select(F.col("commit_id").alias("node_id"), "seq", words(added_text(F.col("patch")), True).alias("terms")),
     )
-    parts = [B.commit_graph(commits), repository(spark, path), B.file_graph(changed), B.secret_graph(contents.select("commit_id", "seq", "content")), B.symbol_graph(definitions, touched), B.comment_graph(comments), version_graph(match_versions(functions)), B.keyword_graph(scratch.write(sources, "sources"))]
+    parts = [B.commit_graph(commits), repository(spark, path), B.file_graph(changed), B.secret_graph(contents.select("commit_id", "seq", "content")), B.symbol_graph(definitions, touched), B.comment_graph(comments), version_graph(match_versions(functions, open_histories(known.nodes, known.edges) if known else None)), B.keyword_graph(scratch.write(sources, "sources"))]
     return scratch.write(B.union(*[n for n, _ in parts]), "nodes"), scratch.write(B.union(*[e for _, e in parts]), "edges")
 
 
-def ingest(spark: SparkSession, path: str, known: DataFrame | None = None, skip_bots: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) rows of a repository, without commits that ``known`` nodes already hold."""
+def ingest(spark: SparkSession, path: str, known: Graph | None = None, skip_bots: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(nodes, edges) rows of a repository, without commits that the graph ``known`` already holds."""
     commits = history(spark, path)
     if skip_bots:
         commits = B.without_bots(commits)
     if known is not None:
-        commits = B.unseen(commits, known)
-    return rows_of(spark, commits, path)
+        commits = B.unseen(commits, known.nodes)
+    return rows_of(spark, commits, path, known)
 
 
 def graph_of(spark: SparkSession, path: str, skip_bots: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -33,15 +33,18 @@ class Graph:
         return self.nodes.where("type = 'COMMIT'")
 
 
-def contains(text: Column, word: str) -> Column:
-    """Case-insensitive substring, % and _ taken literally; null contains nothing."""
+def contains(text: Column, word: str, wildcards: bool = False) -> Column:
+    """Case-insensitive substring; null contains nothing. % and _ are literal unless ``wildcards``."""
+    if wildcards:
+        pattern = F.lit("%" + word.lower().replace("!", "!!") + "%")  # ! escapes, so that a backslash of the user stays one
+        return F.coalesce(F.call_function("like", F.lower(text), pattern, F.lit("!")), F.lit(False))
     return F.coalesce(F.lower(text).contains(word.lower()), F.lit(False))
 
 
-def keyword_hits(nodes: DataFrame, words: Sequence[str]) -> DataFrame:
+def keyword_hits(nodes: DataFrame, words: Sequence[str], wildcards: bool = False) -> DataFrame:
     """(node_id, type, attributes, word): nodes whose id or a text attribute contains a word; one scan for all words."""
     fields = [F.col("id"), *[F.col("attributes")[f] for f in FIELDS]]
-    any_ = lambda w: F.greatest(*[contains(f, w) for f in fields])
+    any_ = lambda w: F.greatest(*[contains(f, w, wildcards) for f in fields])
     matched = F.filter(F.array(*[F.when(any_(w), F.lit(w)) for w in words]), lambda w: w.isNotNull())
     return nodes.select(F.col("id").alias("node_id"), "type", "attributes", F.explode(matched).alias("word"))
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as X
@@ -328,10 +327,12 @@ def h2_version_order(spark, sf_dir):
     return ordered_versions(merge_edges(edges))
 
 
-@query("""WITH p AS (SELECT doc_id, text AS a, lag(text) OVER (PARTITION BY repo ORDER BY doc_id) AS b FROM documents)
+@query("""WITH p AS (SELECT x.doc_id, x.text AS a, y.text AS b FROM documents x JOIN documents y ON y.doc_id = x.doc_id - 1)
 SELECT doc_id, round(CASE WHEN length(a) + length(b) = 0 THEN 1.0 ELSE 2.0 * list_sum(list_transform(list_distinct(list_filter(string_split(a, ''), lambda c: c <> '')), lambda c: least(length(a) - length(replace(a, c, '')), length(b) - length(replace(b, c, ''))))) / (length(a) + length(b)) END, 6) AS ratio FROM p WHERE length(a) > 0 AND length(b) > 0""")
 def h3_history_similarity(spark, sf_dir):
-    pairs = _t(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("a"), F.lag("text").over(W.partitionBy("repo").orderBy("doc_id")).alias("b")).where("length(a) > 0 AND length(b) > 0")
+    docs = _t(spark, sf_dir, "documents")
+    before = docs.select((F.col("doc_id") + 1).alias("next_id"), F.col("text").alias("b"))
+    pairs = docs.select("doc_id", F.col("text").alias("a")).join(before, F.col("doc_id") == F.col("next_id")).where("length(a) > 0 AND length(b) > 0")
     return pairs.select("doc_id", F.round(quick_ratio_column(F.col("a"), F.col("b")), 6).alias("ratio"))
 
 

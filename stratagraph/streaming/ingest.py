@@ -1,4 +1,4 @@
-"""Streams: commits appended as they arrive, windowed counts with late data, function histories with kept state."""
+"""Streams: commits appended as they arrive (function histories go on where they stopped), windowed counts with late data."""
 
 from __future__ import annotations
 
@@ -20,7 +20,7 @@ def follow_repository(spark: SparkSession, path: str, catalog: Catalog, checkpoi
     def merge(batch: DataFrame, _: int) -> None:
         rows = B.unseen(B.without_bots(batch) if skip_bots else batch, catalog.nodes())
         if rows.head(1):
-            catalog.append(*rows_of(batch.sparkSession, rows, path))
+            catalog.append(*rows_of(batch.sparkSession, rows, path, catalog.graph()))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(once=True).start()
 

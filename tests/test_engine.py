@@ -152,6 +152,10 @@ def test_streaming_follows_new_commits(spark, repo, tmp_path):
     commit("Later change", later_dot_py="def later():\n    return 3\n")
     follow_repository(spark, path, c, str(tmp_path / "cp")).awaitTermination()
     assert before == 3 and c.of_type("COMMIT").count() == 4
+    commit("Change it again", utils_dot_py="def helper(x):\n    y = x + 2\n    return y\n")
+    follow_repository(spark, path, c, str(tmp_path / "cp")).awaitTermination()
+    helper = c.edges().where("type = 'HAS_HISTORY' AND source_id = 'helper'")
+    assert helper.count() == 1 and c.edges().join(helper.select(F.col("target_id").alias("h")), F.col("source_id") == F.col("h")).where("type = 'HAS_VERSION'").count() == 3
 
 
 def test_windows_are_the_same_in_batch_and_stream(spark, tmp_path):

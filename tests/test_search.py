@@ -111,6 +111,12 @@ def test_penalty_begins_above_ten_files(spark):
     assert got == pytest.approx({"c9": 10, "c10": 10, "c11": 10 / math.log10(11), "c100": 5}, abs=1e-5)
 
 
+def test_wildcards_only_where_asked_for(spark):
+    nodes = spark.createDataFrame([("a_b", "FILE", {}), ("axb", "FILE", {}), ("a!b", "FILE", None), ("a\\b", "FILE", {})], NODES)
+    hits = lambda w, f: {r.node_id for r in S.keyword_hits(nodes, [w], f).collect()}
+    assert hits("A_B", False) == {"a_b"} and hits("A_B", True) == {"a_b", "axb", "a!b", "a\\b"} and hits("a!b", True) == {"a!b"} and hits("a\\b", True) == {"a\\b"}
+
+
 def test_query_words(spark):
     stops = stop_words(spark)
     assert query_words("the Cache of the graph cache", stops) == ["cache", "graph"] and query_words("the of", stops) == ["the", "of"] and query_words("", stops) == []

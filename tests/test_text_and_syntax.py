@@ -86,3 +86,13 @@ def test_histories(spark):
     places = {r.version_id: r.place for r in ordered_versions(edges).collect()}
     assert [places[got["f", s].version_id] for s in (1, 2, 4, 3)] == [1, 2, 3, 1]
     assert match_versions(v.limit(0).select("function", "seq", "commit_id", "file_path", "content")).count() == 0
+
+
+def test_histories_go_on_from_what_is_stored(spark):
+    schema = "function string, seq bigint, commit_id string, file_path string, content string"
+    rows = [("f", i, f"c{i}", "a.py", f"return {i}") for i in range(4)]
+    whole = {r.version_id: r.previous_id for r in match_versions(spark.createDataFrame(rows, schema)).collect()}
+    first = match_versions(spark.createDataFrame(rows[:2], schema)).collect()
+    known = spark.createDataFrame([(r.function, r.history_id, r.version_id, r.file_path, r.content) for r in first[1:]], "function string, history_id string, version_id string, file_path string, content string")
+    later = match_versions(spark.createDataFrame(rows[2:], schema), known).collect()
+    assert {r.version_id: r.previous_id for r in [*first, *later]} == whole
