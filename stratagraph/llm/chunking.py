@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.llm.words import RANKS, TOKENIZERS, load_encoding
+
 #: Boundary ranks, best first: behind a blank line, a line end, a sentence end, a blank.
 SENTENCE_ENDS = np.array([ord(c) for c in ".!?…。！？"], dtype=np.uint32)
 BLANKS = np.array([32, 9, 13, 10], dtype=np.uint32)
@@ -28,16 +30,29 @@ def boundaries(codes: np.ndarray) -> list[np.ndarray]:
     lines = np.flatnonzero(newline) + 1
     stops = np.flatnonzero(np.isin(codes[:-1], SENTENCE_ENDS) & blank[1:]) + 2 if n > 1 else np.empty(0, np.int64)
     stops = np.intersect1d(stops, after)
-    gap = np.diff(lines, prepend=-1)
     blank_lines = lines[1:][[not (~blank[a:b]).any() for a, b in zip(lines[:-1], lines[1:])]] if len(lines) > 1 else lines[:0]
-    del gap
     return [blank_lines, lines, np.union1d(lines, stops), after]
 
 
-def longest_unbroken(codes: np.ndarray) -> int:
-    """Length of the longest run without space, tab, CR or LF."""
+def longest_unbroken(codes: np.ndarray, offsets: np.ndarray | None = None) -> int:
+    """Size (in characters, or in units by their ``offsets``) of the longest run without space, tab, CR or LF."""
     at = np.concatenate([[-1], np.flatnonzero(np.isin(codes, BLANKS)), [len(codes)]])
-    return int(np.diff(at).max() - 1)
+    if offsets is None:
+        return int(np.diff(at).max() - 1)
+    return int((offsets[at[1:]] - offsets[at[:-1] + 1]).max())
+
+
+def token_offsets(tokenizers: str = TOKENIZERS, ranks: str = RANKS) -> Callable[[str], np.ndarray]:
+    """A measure in tokens: for each character position the number of tokens that begin before it."""
+    state: dict = {}
+
+    def measure(text: str) -> np.ndarray:
+        if not state:
+            state["encoding"] = load_encoding(tokenizers, ranks)
+        _, starts = state["encoding"].decode_with_offsets(state["encoding"].encode_ordinary(text))
+        return np.searchsorted(np.asarray(starts, np.int64), np.arange(len(text) + 1), "left")
+
+    return measure
 
 
 def cut(offsets: np.ndarray, cuts: list[np.ndarray], limit: int, overlap: int) -> list[tuple[int, int, bool]]:
@@ -69,7 +84,7 @@ def cut(offsets: np.ndarray, cuts: list[np.ndarray], limit: int, overlap: int) -
         start = max(back, start + 1)
 
 
-def _pieces(limit: int, overlap: int, key_type: pa.DataType):
+def _pieces(limit: int, overlap: int, key_type: pa.DataType, measure: Callable[[str], np.ndarray] | None):
     schema = pa.schema([("key", key_type), ("chunk_id", pa.int64()), ("start", pa.int64()), ("stop", pa.int64()), ("piece", pa.string()), ("hard_cut", pa.bool_()), ("forced", pa.int32())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -77,18 +92,20 @@ def _pieces(limit: int, overlap: int, key_type: pa.DataType):
             rows = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
-                forced = int(longest_unbroken(codes) > limit)
-                for i, (a, b, hard) in enumerate(cut(np.arange(len(codes) + 1), boundaries(codes), limit, overlap)):
+                offsets = np.arange(len(codes) + 1) if measure is None else measure(text)
+                forced = int(longest_unbroken(codes, offsets) > limit)
+                for i, (a, b, hard) in enumerate(cut(offsets, boundaries(codes), limit, overlap)):
                     rows.append((key, i, a, b, text[a:b], hard, forced))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(len(schema))], schema=schema)
 
     return run
 
 
-def split_texts(df: DataFrame, key: str, text: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
+def split_texts(df: DataFrame, key: str, text: str, limit: int = 1000, overlap: int = 100, measure: Callable[[str], np.ndarray] | None = None) -> DataFrame:
     """(key, chunk_id, start, stop, piece, hard_cut, forced): the pieces of every text.
 
-    Sizes are Unicode code points. Texts of at most ``limit`` come out whole, as chunk 0, without leaving
+    Sizes are Unicode code points, or what ``measure`` counts (as ``token_offsets`` does); start and stop are
+    always characters. Without ``measure``, texts of at most ``limit`` come out whole, as chunk 0, without leaving
     the JVM; the empty text gives one empty piece; a null text gives none. ``hard_cut`` marks a piece that
     ends inside an unbroken run; ``forced`` is 1 if the text holds a run of more than ``limit`` characters
     without space, tab, CR or LF, so that no boundary could have avoided it. Piece i+1 starts ``overlap``
@@ -97,13 +114,14 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 1000, overlap:
     if not 0 <= 2 * overlap < limit:
         raise ValueError("overlap must be less than half of limit")
     rows = df.select(F.col(key).alias("key"), F.col(text).alias("__text")).where("__text IS NOT NULL")
-    whole = rows.where(F.char_length("__text") <= limit).select(
+    small = F.char_length("__text") <= limit if measure is None else F.lit(False)
+    whole = rows.where(small).select(
         "key", F.lit(0).cast("bigint").alias("chunk_id"), F.lit(0).cast("bigint").alias("start"), F.char_length("__text").cast("bigint").alias("stop"), F.col("__text").alias("piece"), F.lit(False).alias("hard_cut"), F.lit(0).alias("forced")
     )
     from pyspark.sql.pandas.types import to_arrow_type
 
     key_type = rows.schema["key"].dataType
-    long = rows.where(F.char_length("__text") > limit).mapInArrow(_pieces(limit, overlap, to_arrow_type(key_type)), f"key {key_type.simpleString()}, {PIECES}")
+    long = rows.where(~small).mapInArrow(_pieces(limit, overlap, to_arrow_type(key_type), measure), f"key {key_type.simpleString()}, {PIECES}")
     return whole.unionByName(long)
 
 

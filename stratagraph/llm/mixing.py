@@ -9,11 +9,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stratagraph.llm.words import RANKS, TOKENIZERS, load_encoding
 from stratagraph.operators.prefix import exclusive_prefix_sum
 from stratagraph.session import Scratch
 
-TOKENIZERS = "/opt/tokenizers"
-RANKS = "byte_bpe_50k.tiktoken"
 #: Language notations as they occur, to two letters (fixed values).
 LANGUAGES = {"english": "en", "eng": "en", "german": "de", "deutsch": "de", "deu": "de", "ger": "de", "spanish": "es", "spa": "es", "french": "fr", "fra": "fr", "fre": "fr", "italian": "it", "ita": "it", "portuguese": "pt", "por": "pt"}
 #: The domain of each source: the first level of the tree (fixed values).
@@ -36,18 +35,7 @@ def _counter(tokenizers: str, ranks: str):
     """An Arrow function that replaces the last column, a text, by its number of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import base64
-        import importlib.util
-        import os
-
-        import tiktoken
-
-        spec = importlib.util.spec_from_file_location("public_tokenizers_at", os.path.join(tokenizers, "__init__.py"))
-        module = importlib.util.module_from_spec(spec)
-        spec.loader.exec_module(module)
-        with open(os.path.join(tokenizers, ranks), "rb") as lines:
-            merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-        encoding = tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=merges, special_tokens={})
+        encoding = load_encoding(tokenizers, ranks)
         for batch in batches:
             counts = [len(encoding.encode_ordinary(t)) for t in batch.column(batch.num_columns - 1).to_pylist()]
             names = [*batch.schema.names[:-1], "tokens"]

@@ -9,6 +9,10 @@ import unicodedata
 import numpy as np
 import xxhash
 
+#: Where public tokenizers lie, and the one used; both are parameters of the operators.
+TOKENIZERS = "/opt/tokenizers"
+RANKS = "byte_bpe_50k.tiktoken"
+
 _CODE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _ESCAPE = re.compile(r"\\[nrt]")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]{0,200}>")
@@ -43,3 +47,19 @@ class Hasher:
                 h = seen[w] = xxhash.xxh3_64_intdigest(w)
             out[i] = h
         return out
+
+
+def load_encoding(tokenizers: str, ranks: str):
+    """The tokenizer of a rank file, with the pattern that its folder states."""
+    import base64
+    import importlib.util
+    import os
+
+    import tiktoken
+
+    spec = importlib.util.spec_from_file_location("public_tokenizers_at", os.path.join(tokenizers, "__init__.py"))
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    with open(os.path.join(tokenizers, ranks), "rb") as lines:
+        merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
+    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=merges, special_tokens={})

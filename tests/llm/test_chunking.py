@@ -5,7 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from stratagraph.llm.chunking import boundaries, cut, longest_unbroken, present_messages, split_long, split_texts
+from stratagraph.llm.chunking import boundaries, cut, longest_unbroken, present_messages, split_long, split_texts, token_offsets
 
 
 def codes(text):
@@ -72,3 +72,15 @@ def test_frames(spark):
 def test_present_messages(spark):
     df = spark.sql("select * from values ('a', 'old', timestamp'2024-01-01', 1), ('a', null, timestamp'2024-01-02', 1), ('b', 'x', null, 1), (null, 'y', null, 1) t(id, message, scanned_at, commit_id)")
     assert {tuple(r) for r in present_messages(df).collect()} == {("a", None), ("b", "x")}
+
+
+def test_pieces_in_tokens(spark):
+    measure = token_offsets()
+    text = "Retry the réorder_batches call, then wait 😀. " * 40 + "x" * 3000
+    offsets = measure(text)
+    assert offsets[0] == 0 and len(offsets) == len(text) + 1 and (np.diff(offsets) >= 0).all()
+    got = split_texts(spark.createDataFrame([(1, text), (2, "few"), (3, "")], "id int, t string"), "id", "t", 50, 5, measure).orderBy("key", "chunk_id").collect()
+    one = [r for r in got if r.key == 1]
+    assert all(offsets[r.stop] - offsets[r.start] <= 50 and r.piece == text[r.start : r.stop] for r in one) and len(one) > 5
+    assert all(b.start < a.stop and offsets[a.stop] - offsets[b.start] <= 5 for a, b in zip(one, one[1:])) and one[-1].stop == len(text)
+    assert {r.forced for r in one} == {1} and [r.piece for r in got if r.key > 1] == ["few", ""]
