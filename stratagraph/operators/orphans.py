@@ -5,6 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stratagraph.session import Scratch
+
+#: Keys up to which the bad ones are broadcast (some 100 bytes each) instead of shuffling all references to them.
+FEW_KEYS = 200_000
 SIDES = {"source": "source_id", "target": "target_id"}
 
 
@@ -35,8 +39,9 @@ def orphan_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(edge_id, side, kind, period): edges whose source or target is missing, deleted or arrives later.
 
     The distinct foreign keys are reduced first (with their earliest use, so that a key used only after
-    its arrival drops out), outer-joined once against the parent keys, and only the keys that are a case
-    for some edge are joined back; a hot key is one row on that side, and AQE splits its edges. Exact
+    its arrival drops out), outer-joined once against the parent keys, and written out. Only the keys that
+    are a case for some edge are joined back: broadcast if they are few, so that the references stay where
+    they are, else shuffled, where a hot key is one row on its side and AQE splits its edges. Exact
     repeats of an edge give one row. Null references are no cases; a null edge date gives a null period
     and cannot be late; a null node arrival is never late. Empty tables give empty results.
     """
@@ -45,7 +50,10 @@ def orphan_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     used = refs.groupBy("ref").agg(F.min("created_at").alias("first_use"))
     states = parent_states(nodes).select(F.col("ref").alias("key"), "deleted", "arrival")
     joined = used.join(states, F.col("ref") == F.col("key"), "left").select("ref", "first_use", F.col("key").isNotNull().alias("present"), "deleted", "arrival")
-    bad = joined.where(_kind(F.col("first_use")).isNotNull()).select(F.col("ref").alias("bad_ref"), "present", "deleted", "arrival")
+    cases = joined.where(_kind(F.col("first_use")).isNotNull()).select(F.col("ref").alias("bad_ref"), "present", "deleted", "arrival")
+    bad = Scratch(edges.sparkSession, "orphans").write(cases, "keys")
+    if bad.count() <= FEW_KEYS:
+        bad = F.broadcast(bad)
     return (
         refs.join(bad, F.col("ref") == F.col("bad_ref"))
         .select("edge_id", "side", _kind(F.col("created_at")).alias("kind"), F.date_format("created_at", "yyyy-MM").alias("period"))

@@ -1,5 +1,8 @@
 from datetime import datetime as D
 
+import pytest
+
+from stratagraph.operators import orphans
 from stratagraph.operators.orphans import orphan_references, orphan_report
 
 NODES = "id string, created_at timestamp, updated_at timestamp, deleted_at timestamp, ref string, deleted string"
@@ -25,7 +28,9 @@ def test_empty_tables(spark):
     assert orphan_references(one, n).count() == 2
 
 
-def test_hot_key(spark):
+@pytest.mark.parametrize("few", [0, 200_000])
+def test_hot_key(spark, monkeypatch, few):
+    monkeypatch.setattr(orphans, "FEW_KEYS", few)
     e = spark.range(3000).selectExpr("cast(id as string) id", "concat('s', id) source_id", "if(id % 3 = 0, 'hot', 'ok') target_id", "timestamp'2024-01-01' created_at", "'' side", "'' ref", "'' kind")
     n = spark.createDataFrame([("ok", D(2023, 1, 1), D(2023, 1, 1), None, "", "")], NODES)
     assert {(r.side, r.kind): r.n for r in orphan_report(e, n).collect()} == {("source", "missing"): 3000, ("target", "missing"): 1000}
