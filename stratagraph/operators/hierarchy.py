@@ -90,49 +90,43 @@ def build_hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "par
     that is no id makes the node a root; a node that names itself is a loop of one. An empty table gives
     an empty result. Other columns are ignored, so they may clash with the names used here.
     """
-    spark = links.sparkSession
-    scratch = Scratch(spark, "hierarchy")
+    scratch = Scratch(links.sparkSession, "hierarchy")
     raw = links.select(F.col(id_col).alias("id"), F.col(parent_col).alias("parent_id")).where("id IS NOT NULL").groupBy("id").agg(F.min("parent_id").alias("parent_id"))
-    raw = scratch.write(raw, "links")
-    known = raw.select(F.col("id").alias("known"))
-    base = scratch.write(raw.join(known, raw.parent_id == known.known, "left").select("id", F.col("known").alias("parent_id")), "base")
+    # the rounds run on numbers, fixed by this one write, instead of ids
+    raw = scratch.write(raw.withColumn("num", F.monotonically_increasing_id()), "links")
+    known = raw.select(F.col("id").alias("known"), F.col("num").alias("parent_num"))
+    base = scratch.write(raw.join(known, raw.parent_id == known.known, "left").select("num", "id", F.col("known").alias("parent_id"), "parent_num"), "base")
     scratch.drop(raw)
 
     # upward: jump = the ancestor min(2^k, depth) steps up, size = descendants within 2^k steps, itself included
-    state = base.select(
-        "id",
-        F.coalesce("parent_id", "id").alias("jump"),
-        F.when(F.col("parent_id").isNull(), 0).otherwise(1).cast("bigint").alias("dist"),
-        F.lit(1).cast("bigint").alias("size"),
-        F.col("parent_id").isNull().alias("done"),
-    )
+    root = F.col("parent_num").isNull()
+    state = base.select("num", F.coalesce("parent_num", "num").alias("jump"), F.when(root, 0).otherwise(1).cast("bigint").alias("dist"), F.lit(1).cast("bigint").alias("size"), root.alias("done"))
     state, left = _write_round(scratch, state, "up")
-    # a node whose parent is a root is done as well; the first round finds that out
     for k in range(MAX_DOUBLINGS):
         if left == 0:
             break
-        step = 1 << k
-        far = state.select(F.col("id").alias("far_id"), F.col("jump").alias("far_jump"), F.col("dist").alias("far_dist"), F.col("done").alias("far_done"))
-        gains = state.where(F.col("dist") == step).groupBy(F.col("jump").alias("gain_id")).agg(F.sum("size").alias("gain"))
+        far = state.select(F.col("num").alias("far_num"), F.col("jump").alias("far_jump"), F.col("dist").alias("far_dist"), F.col("done").alias("far_done"))
+        gains = state.where(F.col("dist") == 1 << k).groupBy(F.col("jump").alias("gain_num")).agg(F.sum("size").alias("gain"))
         moved = (
-            state.where(~F.col("done")).join(far, F.col("jump") == F.col("far_id"))
-            .select("id", F.col("far_jump").alias("jump"), (F.col("dist") + F.col("far_dist")).alias("dist"), "size", F.col("far_done").alias("done"))
+            state.where(~F.col("done")).join(far, F.col("jump") == F.col("far_num"))
+            .select("num", F.col("far_jump").alias("jump"), (F.col("dist") + F.col("far_dist")).alias("dist"), "size", F.col("far_done").alias("done"))
         )
-        grown = moved.unionByName(state.where("done")).join(gains, F.col("id") == F.col("gain_id"), "left")
+        grown = moved.unionByName(state.where("done")).join(gains, F.col("num") == F.col("gain_num"), "left")
         before, was = state, left
-        state, left = _write_round(scratch, grown.select("id", "jump", "dist", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"), "done"), "up")
+        state, left = _write_round(scratch, grown.select("num", "jump", "dist", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"), "done"), "up")
         scratch.drop(before)
         if left == was and k:
             break  # depths are contiguous: nothing resolved between 2^k and 2^(k+1) means nothing deeper exists
 
-    trees = state.where("done").select("id", F.col("jump").alias("root_id"), F.col("dist").alias("depth"), "size")
-    resolved = scratch.write(trees.join(base.withColumnRenamed("id", "b_id"), F.col("id") == F.col("b_id")).select("id", "parent_id", "root_id", "depth", "size"), "resolved")
+    trees = state.where("done").select(F.col("num").alias("t_num"), F.col("jump").alias("root_num"), F.col("dist").alias("depth"), "size")
+    resolved = scratch.write(base.join(trees, F.col("num") == F.col("t_num")).drop("t_num"), "resolved")
     placed = _preorder(scratch, resolved)
-    nodes = placed.select(
+    roots = resolved.where("parent_num IS NULL").select(F.col("num").alias("r_num"), F.col("id").alias("root_id"))
+    nodes = placed.join(roots, F.col("root_num") == F.col("r_num")).select(
         "id", "parent_id", "root_id", "depth", "lo", (F.col("lo") + F.col("size")).alias("hi"), (F.col("size") - 1).alias("descendants"), F.lit(False).alias("on_loop")
     )
     if left:
-        loops = _loops(scratch, state.where(~F.col("done")).select("id", "jump"), base)
+        loops = _loops(scratch, state.where(~F.col("done")).select("num", "jump"), base)
         nothing = F.lit(None).cast("bigint")
         nodes = nodes.unionByName(
             loops.select("id", "parent_id", "root_id", F.lit(-1).cast("bigint").alias("depth"), nothing.alias("lo"), nothing.alias("hi"), nothing.alias("descendants"), F.lit(True).alias("on_loop"))
@@ -148,19 +142,19 @@ def _write_round(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame,
 
 
 def _preorder(scratch: Scratch, resolved: DataFrame) -> DataFrame:
-    """Add lo, the preorder position inside the root, to (id, parent_id, root_id, depth, size)."""
-    children = resolved.where("parent_id IS NOT NULL").select("id", "parent_id", "size")
+    """Add lo, the preorder position inside the root; siblings are ordered by (hash bucket, id)."""
+    children = resolved.where("parent_num IS NOT NULL").select("id", "num", "parent_num", "size")
     bucket = F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS))
-    offsets = exclusive_prefix_sum(children, ["parent_id"], "id", "size", "before", bucket).select("id", F.col("parent_id").alias("jump"), (F.col("before") + 1).alias("acc"), F.lit(False).alias("done"))
-    roots = resolved.where("parent_id IS NULL").select("id", F.col("id").alias("jump"), F.lit(0).cast("bigint").alias("acc"), F.lit(True).alias("done"))
+    offsets = exclusive_prefix_sum(children, ["parent_num"], "id", "size", "before", bucket).select("num", F.col("parent_num").alias("jump"), (F.col("before") + 1).alias("acc"), F.lit(False).alias("done"))
+    roots = resolved.where("parent_num IS NULL").select("num", F.col("num").alias("jump"), F.lit(0).cast("bigint").alias("acc"), F.lit(True).alias("done"))
     state, left = _write_round(scratch, offsets.unionByName(roots), "down")
     while left:
-        far = state.select(F.col("id").alias("far_id"), F.col("jump").alias("far_jump"), F.col("acc").alias("far_acc"), F.col("done").alias("far_done"))
-        moved = state.where(~F.col("done")).join(far, F.col("jump") == F.col("far_id")).select("id", F.col("far_jump").alias("jump"), (F.col("acc") + F.col("far_acc")).alias("acc"), F.col("far_done").alias("done"))
+        far = state.select(F.col("num").alias("far_num"), F.col("jump").alias("far_jump"), F.col("acc").alias("far_acc"), F.col("done").alias("far_done"))
+        moved = state.where(~F.col("done")).join(far, F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump"), (F.col("acc") + F.col("far_acc")).alias("acc"), F.col("far_done").alias("done"))
         before = state
         state, left = _write_round(scratch, moved.unionByName(state.where("done")), "down")
         scratch.drop(before)
-    return resolved.join(state.select(F.col("id").alias("s_id"), F.col("acc").alias("lo")), F.col("id") == F.col("s_id")).drop("s_id")
+    return resolved.join(state.select(F.col("num").alias("s_num"), F.col("acc").alias("lo")), F.col("num") == F.col("s_num")).drop("s_num")
 
 
 def _loops(scratch: Scratch, stuck: DataFrame, base: DataFrame) -> DataFrame:
@@ -169,26 +163,26 @@ def _loops(scratch: Scratch, stuck: DataFrame, base: DataFrame) -> DataFrame:
     The image of the doubled pointer shrinks to the loops themselves; on them the smallest id of ever
     longer stretches is taken until it no longer changes, and the others read it through their pointer.
     """
-    own = scratch.write(base.join(stuck.select("id"), "id", "left_semi"), "stuck")
-    jump, count = scratch.write(stuck.select("id", "jump"), "jump"), -1
+    own = scratch.write(base.join(stuck.select("num"), "num", "left_semi"), "stuck")
+    jump, count = scratch.write(stuck.select("num", "jump"), "jump"), -1
     while True:
         image = jump.select("jump").distinct().count()
         if image == count:
             break
         count = image
-        far = jump.select(F.col("id").alias("far_id"), F.col("jump").alias("far_jump"))
+        far = jump.select(F.col("num").alias("far_num"), F.col("jump").alias("far_jump"))
         before = jump
-        jump = scratch.write(jump.join(far, F.col("jump") == F.col("far_id")).select("id", F.col("far_jump").alias("jump")), "jump")
+        jump = scratch.write(jump.join(far, F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump")), "jump")
         scratch.drop(before)
-    on = own.join(jump.select(F.col("jump").alias("id")).distinct(), "id", "left_semi")
-    ring = scratch.write(on.select("id", F.col("parent_id").alias("next"), F.least("id", "parent_id").alias("low"), F.lit(False).alias("done")), "ring")
+    on = own.join(jump.select(F.col("jump").alias("num")).distinct(), "num", "left_semi")
+    ring = scratch.write(on.select("num", F.col("parent_num").alias("next"), F.least("id", "parent_id").alias("low"), F.lit(False).alias("done")), "ring")
     changed = -1
     while changed:
-        far = ring.select(F.col("id").alias("far_id"), F.col("next").alias("far_next"), F.col("low").alias("far_low"))
+        far = ring.select(F.col("num").alias("far_num"), F.col("next").alias("far_next"), F.col("low").alias("far_low"))
         low = F.least("low", "far_low")
         before = ring
-        ring, changed = _write_round(scratch, ring.join(far, F.col("next") == F.col("far_id")).select("id", F.col("far_next").alias("next"), low.alias("low"), (low == F.col("low")).alias("done")), "ring")
+        ring, changed = _write_round(scratch, ring.join(far, F.col("next") == F.col("far_num")).select("num", F.col("far_next").alias("next"), low.alias("low"), (low == F.col("low")).alias("done")), "ring")
         scratch.drop(before)
-    low = ring.select(F.col("id").alias("ring_id"), F.col("low").alias("root_id"))
-    found = jump.join(low, F.col("jump") == F.col("ring_id")).select("id", "root_id")
-    return own.join(found, "id")
+    low = ring.select(F.col("num").alias("ring_num"), F.col("low").alias("root_id"))
+    found = jump.join(low, F.col("jump") == F.col("ring_num")).select("num", "root_id")
+    return own.join(found, "num")
