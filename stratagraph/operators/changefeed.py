@@ -17,8 +17,10 @@ from stratagraph.session import Scratch
 SEP = "\x1f"
 WRAPPERS = ("data",)
 IMAGE = "entity string, kind string, entity_type string, entity_key string, amendment_id string, at_us bigint, deletes boolean, payload string"
-INDEX = "entity string, amendment_id string, at_us bigint, deletes boolean, file string, pos bigint"
-VECTOR = "file string, word bigint, bits bigint"
+#: The index names an entity by two 64-bit hashes, which together do not collide, and a file by the hash of its name.
+INDEX = "e1 bigint, e2 bigint, amendment_id string, at_us bigint, deletes boolean, file bigint, pos bigint"
+ENTITY = ["e1", "e2"]
+VECTOR = "file bigint, word bigint, bits bigint"
 
 
 def epoch_micros(ts: Column) -> Column:
@@ -70,21 +72,24 @@ class DeleteVectorTable:
     def _all(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _locate(self, path: str) -> DataFrame:
+        """The key index of the images in ``path``: only their key columns are read."""
+        hashes = [F.xxhash64("entity").alias("e1"), F.xxhash64(F.lit(1), "entity").alias("e2")]
+        return self._all([path], IMAGE).select(*hashes, "amendment_id", "at_us", "deletes", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos"))
+
     def apply(self, batch: DataFrame) -> None:
         """Apply a batch of ``normalise_changes`` rows.
 
         Of the changes that count, the latest time decides, then the smallest id; a change any copy of
         which is reverted, now or in a later batch, does not count. Applying a batch again changes nothing.
         """
-        first = ["entity", "kind", "entity_type", "entity_key", "at_us", "deletes", "payload"]
-        images = batch.where("valid").groupBy("amendment_id").agg(F.min(F.struct(*first)).alias("c")).select("c.*", "amendment_id").select(*[c.split()[0] for c in IMAGE.split(", ")])
+        images = batch.where("valid").select(*[c.split()[0] for c in IMAGE.split(", ")])  # a copy is one more image, superseded by the first
         path = self.scratch.path("images")
         images.write.parquet(path)
         self.files.append(path)
 
         where = self.scratch.path("index")
-        new = self.spark.read.schema(IMAGE).parquet(path)
-        new.select("entity", "amendment_id", "at_us", "deletes", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos")).write.parquet(where)
+        self._locate(path).write.parquet(where)
         self.indexes.append(where)
 
         gone = self.scratch.path("revoked")
@@ -93,10 +98,10 @@ class DeleteVectorTable:
 
         index, revoked = self._all(self.indexes, INDEX), self._all(self.revoked, "amendment_id string").distinct()
         now_revoked = self._all([gone], "amendment_id string")
-        touched = self._all([where], INDEX).select("entity").unionByName(index.join(now_revoked, "amendment_id", "left_semi").select("entity")).distinct()
-        located = index.join(touched, "entity", "left_semi")
+        touched = self._all([where], INDEX).select(*ENTITY).unionByName(index.join(now_revoked, "amendment_id", "left_semi").select(*ENTITY)).distinct()
+        located = index.join(touched, ENTITY, "left_semi")
         counts = located.join(revoked, "amendment_id", "left_anti")
-        decides = counts.groupBy("entity").agg(F.min(F.struct(-F.coalesce("at_us", F.lit(-(2**63) + 1)), F.col("amendment_id"), F.col("file"), F.col("pos"), F.col("deletes"))).alias("d"))
+        decides = counts.groupBy(*ENTITY).agg(F.min(F.struct(-F.coalesce("at_us", F.lit(-(2**63) + 1)), F.col("amendment_id"), F.col("file"), F.col("pos"), F.col("deletes"))).alias("d"))
         keep = decides.where("NOT d.deletes").select(F.col("d.file").alias("keep_file"), F.col("d.pos").alias("keep_pos"))
         marked = located.join(keep, (F.col("file") == F.col("keep_file")) & (F.col("pos") == F.col("keep_pos")), "left")
         bit = F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))")
@@ -113,7 +118,7 @@ class DeleteVectorTable:
         rows = self._all(self.files, IMAGE)
         if not self.files:
             return rows
-        placed = rows.select("*", F.col("_metadata.file_name").alias("file"), F.expr("shiftright(_metadata.row_index, 6)").alias("word"), F.expr("cast(pmod(_metadata.row_index, 64) as int)").alias("bit"))
+        placed = rows.select("*", F.xxhash64("_metadata.file_name").alias("file"), F.expr("shiftright(_metadata.row_index, 6)").alias("word"), F.expr("cast(pmod(_metadata.row_index, 64) as int)").alias("bit"))
         live = F.expr("bits IS NULL OR (shiftright(bits, bit) & 1) = 0")
         return placed.join(self.vectors, ["file", "word"], "left").where(live).select(*rows.columns)
 
@@ -122,7 +127,7 @@ class DeleteVectorTable:
         live, path = self.read(), self.scratch.path("images")
         live.write.parquet(path)
         where = self.scratch.path("index")
-        self._all([path], IMAGE).select("entity", "amendment_id", "at_us", "deletes", F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos")).write.parquet(where)
+        self._locate(path).write.parquet(where)
         self.files, self.indexes, self.vectors = [path], [where], self.spark.createDataFrame([], VECTOR)
 
 
