@@ -37,14 +37,19 @@ KINDS = {"networks": "networks", "network": "networks", "nets": "networks", "ana
 HOLLOW = {"the", "team", "ltd", "limited", "inc", "incorporated", "gmbh", "llc", "corp", "corporation", "co", "company", "ag"}
 BOTS = {"bot", "automation", "robot", "ci"}
 
-_SPELLED = str.maketrans({"ß": "ss", "ø": "o", "æ": "a", "œ": "o", "ł": "l", "đ": "d", "ð": "d", "þ": "th"})
+_SPELLED = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th"})
 _NICKS: dict[str, list[str]] = {}
 
 
+def wide(text: str) -> str:
+    """Lower case without marks, umlauts as addresses write them: ae, oe, ue."""
+    composed = unicodedata.normalize("NFC", text.lower()).translate(_SPELLED)
+    return "".join(c for c in unicodedata.normalize("NFKD", composed) if not unicodedata.combining(c))
+
+
 def fold(text: str) -> str:
-    """Lower case without marks; ae, oe, ue as their first letter, as addresses write umlauts that way."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text.lower().translate(_SPELLED)) if not unicodedata.combining(c))
-    return plain.replace("ae", "a").replace("oe", "o").replace("ue", "u")
+    """``wide`` with ae, oe, ue as their first letter, so that umlauts typed without marks agree as well."""
+    return wide(text).replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
 for _given, _shorts in SHORT_FORMS.items():
@@ -71,45 +76,57 @@ def near(a: str, b: str) -> bool:
     return x[1:] == y[1:] or x[1:] == y or x == y[1:] or (len(x) > 1 and len(y) > 1 and x[0] == y[1] and x[1] == y[0] and x[2:] == y[2:])
 
 
+def agree(a: str, b: str) -> bool:
+    """Whether two wide spellings are at most one edit apart, with umlauts spelled out or as plain vowels."""
+    return near(a, b) or near(fold(a), fold(b))
+
+
 def _surname(blob: str, s: str, heads: set[str]) -> tuple[int, str] | None:
-    """(errors, surname) as an address of one word spells it: the surname alone or behind an initial of ``heads``."""
-    ways = [(int(b != s), b) for b in ([blob[1:]] if blob[:1] in heads else []) + [blob] if len(b) > 1 and near(b, s)]
+    """(errors, folded surname) as an address of one word spells it: the surname alone or behind an initial of ``heads``."""
+    ways = [(int(fold(b) != fold(s)), fold(b)) for b in ([blob[1:]] if blob[:1] in heads else []) + [blob] if len(b) > 1 and agree(b, s)]
     return min(ways, key=lambda w: w[0]) if ways else None
 
 
 def _address(email: str | None) -> tuple[str | None, list[str], str]:
-    """(mailbox, folded words of its local part, domain) of an address; numbers before + and at the end don't count."""
+    """(mailbox, wide words of its local part, domain) of an address; numbers before + and at the end don't count."""
     if not email or "@" not in email:
         return None, [], ""
     local, domain = email.strip().lower().rsplit("@", 1)
     domain = re.sub(r"^(mail|email|smtp)\.", "", domain)
-    words = [fold(w) for w in re.split(r"[._\-]+", re.sub(r"\d+$", "", re.sub(r"^\d+\+", "", local))) if w]
+    words = [wide(w) for w in re.split(r"[._\-]+", re.sub(r"\d+$", "", re.sub(r"^\d+\+", "", local))) if w]
     return f"{local}@{domain}", words, domain
 
 
+def _kind(typed: str, dotted: bool) -> str | None:
+    """The kind of organisation a word names, also if it is cut short with a full stop."""
+    t = fold(typed)
+    return KINDS.get(t) or (next((k for k in sorted(set(KINDS.values())) if k.startswith(t)), None) if dotted and len(t) > 2 else None)
+
+
 def read(name: str | None, email: str | None) -> dict:
     """What a row may stand for.
 
     cls: person, org, bot or none; full: candidate "given surname" strings (or the one string of an
-    organisation or account), best first; sure: whether the address spells the first one out; partial:
-    candidate "initial surname" strings for rows that give no more; box and domain: the mailbox, if the
-    name agrees with it, and its domain.
+    organisation or account), best first; sure: whether the address spells the first one out; clear:
+    whether the given name is no short form of several; partial: candidate "initial surname" strings for
+    rows that give no more; box and domain: the mailbox, if the name agrees with it, and its domain.
     """
-    out = {"cls": "person", "full": [], "sure": False, "partial": [], "box": None, "domain": ""}
+    out = {"cls": "person", "full": [], "sure": False, "clear": True, "partial": [], "box": None, "domain": ""}
     box, words, domain = _address(email)
     raw = name or ""
+    known = {"box": box, "domain": domain}
     aside = [fold(w) for part in re.findall(r"[(\[]([^)\]]*)[)\]]", raw) for w in re.findall(r"[^\W\d_]+", part)]
     bare = re.sub(r"[(\[][^)\]]*[)\]]", " ", raw)
     typed = re.findall(r"[^\W\d_]+", bare)
-    tokens = [fold(t) for t in typed]
+    tokens = [wide(t) for t in typed]
     if BOTS & set(aside) or BOTS & set(tokens):
-        core = sorted(t for t in tokens if t not in BOTS) or words
-        out.update(cls="bot", full=["bot:" + " ".join(core)])
+        out.update(cls="bot", full=["bot:" + " ".join(sorted(fold(t) for t in tokens if t not in BOTS) or [fold(w) for w in words])])
         return out
-    kinds = [KINDS[t] for t in tokens if t in KINDS]
+    dots = [m[2] == "." for m in re.finditer(r"([^\W\d_]+)(\W?)", bare)]
+    kinds = [k for t, d in zip(typed, dots) if (k := _kind(t, d))] if len(tokens) > 1 else []
     if kinds or (len(tokens) > 1 and HOLLOW & set(tokens)):
-        core = sorted(t for t in tokens if t not in KINDS and t not in HOLLOW)
-        out.update(cls="org", full=["org:" + " ".join([*core, *sorted(kinds)])], box=box, domain=domain)
+        core = sorted(fold(t) for t, y, d in zip(tokens, typed, dots) if not _kind(y, d) and t not in HOLLOW)
+        out.update(cls="org", full=["org:" + " ".join([*core, *sorted(kinds)])], **known)
         return out
     long = [t for t in tokens if len(t) > 1]
     initials = [t for t in tokens if len(t) == 1]
@@ -118,30 +135,33 @@ def read(name: str | None, email: str | None) -> dict:
     pairs: list[tuple[str, str]] = []  # (given, surname), likelier first
     if len(long) >= 2:
         a, b = long[0], long[-1]
-        caps = [len(t) > 1 and t.isupper() for t in typed if len(t) > 1]
+        caps = [t.isupper() for t in typed if len(wide(t)) > 1]
         pairs = [(a, b), (b, a)]
         if re.match(r"\s*[^\W\d_]+(?:[-'\s][^\W\d_]+)*\s*,", bare) or (caps[0] and not caps[-1]):
             pairs.reverse()
+    meant = lambda g: givens(fold(g))
     if spelled:
         g, s = spelled
-        if any(near(y, s) and (near(x, g) or set(givens(x)) & set(givens(g))) for x, y in pairs) or (
-            len(long) == 1 and near(long[0], s) and (not initials or initials[0] == g[0])) or (
-            len(long) == 1 and not initials and any(near(long[0], x) for x in (g[0] + s, s + g[0], g + s, s + g))) or not tokens:
-            out.update(full=[f"{x} {s}" for x in givens(g)], sure=True, box=box, domain=domain)
+        whole = any(agree(y, s) and (agree(x, g) or set(meant(x)) & set(meant(g))) for x, y in pairs)
+        short = len(long) == 1 and agree(long[0], s) and (not initials or initials[0] == g[0])
+        login = len(long) == 1 and not initials and any(agree(long[0], x) for x in (g[0] + s, s + g[0], g + s, s + g))
+        if whole or short or login or not tokens:
+            out.update(full=[f"{x} {fold(s)}" for x in meant(g)], sure=True, clear=len(meant(g)) == 1, **known)
             return out
     if pairs:
-        ways = [(way, g) for g, s in pairs if blob and (way := _surname(blob, s, {g[0], *(x[0] for x in givens(g))}))]
+        ways = [(way, g) for g, s in pairs if blob and (way := _surname(blob, s, {g[0], *(x[0] for x in meant(g))}))]
         least = min((way[0] for way, _ in ways), default=0)
         agreed = [(g, way[1]) for way, g in ways if way[0] == least]  # the address may confirm and correct the surname
         if agreed:
-            out.update(box=box, domain=domain)
-        out["full"] = list(dict.fromkeys(f"{x} {s}" for g, s in (agreed or pairs) for x in givens(g)))
+            out.update(known)
+        chosen = agreed or [(g, fold(s)) for g, s in pairs]
+        out.update(full=list(dict.fromkeys(f"{x} {s}" for g, s in chosen for x in meant(g))), clear=len(meant(chosen[0][0])) == 1)
         return out
     if len(long) == 1 and initials:
-        s = long[0]
-        if blob and (way := _surname(blob, s, {initials[0]})):
+        s = fold(long[0])
+        if blob and (way := _surname(blob, long[0], {initials[0]})):
             s = way[1]
-            out.update(box=box, domain=domain)
+            out.update(known)
         out["partial"] = [f"{initials[0]} {s}"]
         return out
     if len(long) == 1:
@@ -151,18 +171,18 @@ def read(name: str | None, email: str | None) -> dict:
         least = min((way[0] for way, _ in ways), default=0)
         confirmed = [(i, way[1]) for way, i in ways if way[0] == least]
         if confirmed:
-            out.update(box=box, domain=domain)
-        elif blob and near(blob, t):
-            confirmed = [(blob[0], blob[1:]), (blob[-1], blob[:-1])]
-            out.update(box=box, domain=domain)
-        out["partial"] = list(dict.fromkeys(f"{i} {s}" for i, s in (confirmed or guesses) if len(s) > 1))
+            out.update(known)
+        elif blob and agree(blob, t):
+            confirmed = [(blob[0], fold(blob[1:])), (blob[-1], fold(blob[:-1]))]
+            out.update(known)
+        out["partial"] = list(dict.fromkeys(f"{i} {s}" for i, s in (confirmed or [(i, fold(s)) for i, s in guesses]) if len(s) > 1))
         return out
     if not tokens and blob and len(blob) > 2:
-        out.update(partial=[f"{blob[0]} {blob[1:]}"], box=box, domain=domain)
+        out.update(partial=[f"{blob[0]} {fold(blob[1:])}"], **known)
     return out
 
 
-READ = pa.schema([("author_id", pa.int64()), ("cls", pa.string()), ("full", pa.list_(pa.string())), ("sure", pa.bool_()), ("partial", pa.list_(pa.string())), ("box", pa.string()), ("domain", pa.string())])
+READ = pa.schema([("author_id", pa.int64()), ("cls", pa.string()), ("full", pa.list_(pa.string())), ("sure", pa.bool_()), ("clear", pa.bool_()), ("partial", pa.list_(pa.string())), ("box", pa.string()), ("domain", pa.string())])
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -307,9 +327,10 @@ def identities(authors: DataFrame) -> DataFrame:
     author_id with different spellings gets the smallest identity.
     """
     scratch = Scratch(authors.sparkSession, "names")
-    rows = scratch.write(authors.where("author_id IS NOT NULL").select(F.col("author_id").cast("bigint").alias("author_id"), "name", "email").mapInArrow(_read, "author_id bigint, cls string, full array<string>, sure boolean, partial array<string>, box string, domain string"), "read")
+    rows = scratch.write(authors.where("author_id IS NOT NULL").select(F.col("author_id").cast("bigint").alias("author_id"), "name", "email").mapInArrow(_read, "author_id bigint, cls string, full array<string>, sure boolean, clear boolean, partial array<string>, box string, domain string"), "read")
 
-    first = rows.where(F.size("full") > 0).select("author_id", F.col("full")[0].alias("s"), "sure")
+    # a short form that several names have is no evidence for the first of them
+    first = rows.where(F.size("full") > 0).where("clear").select("author_id", F.col("full")[0].alias("s"), "sure")
     known = scratch.write(first.groupBy("s").agg(F.sum(F.col("sure").cast("bigint")).alias("sure"), F.count("*").alias("n")), "known")
     asked = rows.select("author_id", "box", "domain", "cls", "sure", F.posexplode("full").alias("rank", "s"))
     settled = _settle(scratch, asked, known)
