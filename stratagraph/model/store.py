@@ -22,7 +22,11 @@ EDGE_ROWS = "source_id string, target_id string, type string, weight double, att
 
 
 class Catalog:
-    """Tables under one folder; a small JSON file names the current versions and is replaced in one step."""
+    """Tables under one folder; numbered JSON files name their versions, and the highest number counts.
+
+    A change writes its tables first and then adds the next number by a rename, which fails if another writer
+    was faster; readers see the state before or after, never between.
+    """
 
     def __init__(self, spark: SparkSession, root: str, overwrite: bool = False) -> None:
         self.spark, self.root = spark, root.rstrip("/")
@@ -32,28 +36,30 @@ class Catalog:
         if overwrite:
             self._fs.delete(self._path(self.root), True)
         self._fs.mkdirs(self._path(self.root))
-        if not self._fs.exists(self._path(self._state_path)):
+        if not self._states():
             self._commit({"seq": 0, "nodes": [], "edges": [], "amendments": [], "embeddings": None, "base_nodes": None, "base_edges": None})
 
-    @property
-    def _state_path(self) -> str:
-        return f"{self.root}/current.json"
+    def _states(self) -> list[str]:
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(self.root))]
+        return sorted(n for n in names if n.startswith("state-"))
 
     @property
     def state(self) -> dict:
-        stream = self._fs.open(self._path(self._state_path))
+        stream = self._fs.open(self._path(f"{self.root}/{self._states()[-1]}"))
         try:
             return json.loads(bytes(stream.readAllBytes()).decode())
         finally:
             stream.close()
 
     def _commit(self, state: dict) -> None:
-        temporary = f"{self.root}/.current-{uuid.uuid4().hex}"
+        number = state.pop("number", -1) + 1
+        temporary = f"{self.root}/.new-{uuid.uuid4().hex}"
         out = self._fs.create(self._path(temporary), True)
-        out.write(bytearray(json.dumps(state).encode()))
+        out.write(bytearray(json.dumps(state | {"number": number}).encode()))
         out.close()
-        self._fs.delete(self._path(self._state_path), False)
-        self._fs.rename(self._path(temporary), self._path(self._state_path))
+        target = self._path(f"{self.root}/state-{number:012d}.json")
+        if self._fs.exists(target) or not self._fs.rename(self._path(temporary), target):
+            raise RuntimeError("another writer changed the graph; read it again and repeat")
 
     def _new(self, name: str) -> str:
         return os.path.join(self.root, name, uuid.uuid4().hex)

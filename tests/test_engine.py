@@ -141,6 +141,10 @@ def test_store_versions(spark, tmp_path):
     c.compact()
     c.append(spark.createDataFrame([("n", "FILE", {"b": "3"}, 0)], rows))
     assert c.get_node("n")["attributes"] == {"a": "2", "b": "3"} and c.of_type("FILE").count() == 1
+    stale = c.state
+    c.compact()
+    with pytest.raises(RuntimeError):
+        c._commit(stale)
     assert Catalog(spark, str(tmp_path / "s")).count_nodes() == 1 and Catalog(spark, str(tmp_path / "s"), overwrite=True).count_nodes() == 0
 
 
