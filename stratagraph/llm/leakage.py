@@ -55,7 +55,7 @@ class ItemIndex:
 
     @classmethod
     def build(cls, ids: list[int], words: list[np.ndarray]) -> ItemIndex:
-        per = [np.unique(fingerprints(w, min(WINDOW, max(1, len(w))))) for w in words]
+        per = [np.unique(fingerprints(w)) for w in words]
         prints = np.concatenate([*per, np.empty(0, np.uint64)])
         owner = np.repeat(np.arange(len(ids)), [len(p) for p in per])
         starts, members = [], []
@@ -162,16 +162,15 @@ def _search(index: ItemIndex, least: float):
 def leaked_items(docs: DataFrame, items: DataFrame, least: float = 0.4) -> DataFrame:
     """(doc_id, item_id, share): documents that hold at least ``least`` of an item's words in passages.
 
-    Null and blank texts on either side give nothing; items shorter than WINDOW words are found by
-    windows of their own length only if a document window of WINDOW words equals them, so they must be
-    longer to be reported reliably. Repeated rows are reported once per (doc_id, item_id). The items are
+    Null and blank texts on either side give nothing; an item of fewer than WINDOW words is no more than a
+    short quotation and is never reported. Repeated rows are reported once per (doc_id, item_id). The items are
     read to the driver in passes of INDEX_WORDS words; documents are scanned once per pass and never
     shuffled, whatever repository or source holds most of them.
     """
     hasher, passes, ids, words, size = Hasher(), [], [], [], 0
     for row in items.where("text IS NOT NULL AND item_id IS NOT NULL").select("item_id", "text").distinct().orderBy("item_id", "text").toLocalIterator():
         w = hasher(plain_words(row["text"]))
-        if not len(w):
+        if len(w) < WINDOW:
             continue
         if size and size + len(w) > INDEX_WORDS:
             passes.append(ItemIndex.build(ids, words))

@@ -377,7 +377,7 @@ def fit_index(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384,
         return None
     kept, x = _usable(table.to_batches(max_chunksize=table.num_rows)[0], width)
     if not len(x):
-        kept, x = kept, np.eye(1, width, dtype=np.float32)
+        x = np.eye(1, width, dtype=np.float32)  # no usable vector in the sample: one leaf for all
     sample = _unit(x)
     leaf_size = max(8, round(LEAF_ROWS * len(sample) / max(rows, 1)))
     tree = fit_tree(sample, leaf_size)

@@ -33,6 +33,8 @@ def test_leaks_whole_part_and_changed(spark):
     e = spark.createDataFrame(ITEMS + [(99, None), (98, ""), (1, item[1]), (None, item[1])], "item_id bigint, text string")
     got = {(r.doc_id, r.item_id) for r in K.leaked_items(d, e).collect()}
     assert got == {(1, 1), (2, 2), (3, 3), (4, 4), (10, 6), (10, 7)}
+    short = spark.createDataFrame([(1, "only four words here")], "item_id bigint, text string")
+    assert K.leaked_items(d, short).count() == 0
     assert K.leaked_items(d.limit(0), e).count() == 0 and K.leaked_items(d, e.limit(0)).count() == 0
 
 
