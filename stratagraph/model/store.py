@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.model.merge import merge_edges, merge_nodes
 from stratagraph.model.sanitize import sanitize, sanitize_map
-from stratagraph.model.schemas import AMENDMENTS, EMBEDDINGS
+from stratagraph.model.schemas import AMENDMENTS, EDGES, EMBEDDINGS, NODES
 from stratagraph.operators.changefeed import DeleteVectorTable, normalise_changes
 from stratagraph.operators.search import Graph
 from stratagraph.operators.vectors import upsert_embeddings
@@ -88,7 +88,7 @@ class Catalog:
         rows = self._rows("nodes", NODE_ROWS)
         if not base:
             return merge_nodes(rows)
-        old = self.spark.read.parquet(base)
+        old = self.spark.read.schema(NODES).parquet(base)
         return old.select("id", "type", "attributes") if not self.state["nodes"] else merge_nodes(old.select("id", "type", "attributes", F.lit(-1).cast("bigint").alias("seq")).unionByName(rows))
 
     def edges(self) -> DataFrame:
@@ -96,7 +96,7 @@ class Catalog:
         rows = self._rows("edges", EDGE_ROWS)
         if not base:
             return merge_edges(rows)
-        old = self.spark.read.parquet(base).select("id", "source_id", "target_id", "type", "weight", "attributes")
+        old = self.spark.read.schema(EDGES).parquet(base).select("id", "source_id", "target_id", "type", "weight", "attributes")
         return old if not self.state["edges"] else merge_edges(old.drop("id").withColumn("seq", F.lit(-1).cast("bigint")).unionByName(rows))
 
     def compact(self) -> None:
