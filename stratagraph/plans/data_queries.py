@@ -37,6 +37,18 @@ def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tree.paths(tree.nodes.where("descendants = 0").select("id")).select(F.col("id").alias("commit_id"), F.concat_ws("/", "path").alias("path"))
 
 
+def p1_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chain of first parents from the root to every commit that is not on a loop or leading into one."""
+    tree = build_hierarchy(first_parent_links(_t(spark, sf_dir, "commits")))
+    return tree.paths(tree.nodes.where("NOT on_loop").select("id")).select(F.col("id").alias("commit_id"), F.concat_ws("/", "path").alias("path"))
+
+
+def p1_below(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Of every commit all commits below it, one row each, by stabbing the ranges."""
+    tree = build_hierarchy(first_parent_links(_t(spark, sf_dir, "commits")))
+    return tree.descendants(tree.nodes.where("descendants > 0").select("id")).select(F.col("id").alias("commit_id"), "descendant_id")
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return replay(_t(spark, sf_dir, "amendments")).read().select("entity_type", "entity_key", "amendment_id")
 
@@ -49,7 +61,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(_t(spark, sf_dir, "edges"), _t(spark, sf_dir, "nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranges, p1_subtrees, p1_paths, p5_found, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranges, p1_subtrees, p1_paths, p1_chains, p1_below, p5_found, p6_found, p6_report)}
 
 _LINKS = """
 last AS (SELECT id, arg_max(coalesce(parents, []), scanned_at) AS p FROM commits WHERE id IS NOT NULL GROUP BY id),
@@ -75,6 +87,11 @@ SQL = {
 SELECT tree.id AS commit_id, root_id, depth, count(up.commit_id) AS descendants FROM tree LEFT JOIN up ON up.above = tree.id GROUP BY ALL""",
     "p1_paths": f"""WITH RECURSIVE {_LINKS}, paths AS (SELECT id, id AS path FROM link WHERE parent_id IS NULL UNION ALL SELECT l.id, p.path || '/' || l.id FROM link l JOIN paths p ON l.parent_id = p.id)
 SELECT id AS commit_id, path FROM paths WHERE id NOT IN (SELECT parent_id FROM link WHERE parent_id IS NOT NULL)""",
+    "p1_chains": f"""WITH RECURSIVE {_LINKS}, paths AS (SELECT id, id AS path FROM link WHERE parent_id IS NULL UNION ALL SELECT l.id, p.path || '/' || l.id FROM link l JOIN paths p ON l.parent_id = p.id)
+SELECT id AS commit_id, path FROM paths""",
+    "p1_below": f"""WITH RECURSIVE {_LINKS}, below AS (SELECT l.parent_id AS commit_id, l.id AS descendant_id FROM link l JOIN tree t ON t.id = l.id WHERE l.parent_id IS NOT NULL
+  UNION ALL SELECT l.parent_id, b.descendant_id FROM below b JOIN link l ON l.id = b.commit_id WHERE l.parent_id IS NOT NULL)
+SELECT commit_id, descendant_id FROM below""",
     "p5_found": """
 WITH parsed AS (
   SELECT *, lower(regexp_replace(trim(action), '[^A-Za-z]+', '_', 'g')) AS act,

@@ -51,3 +51,12 @@ def test_no_query_pairs_everything(spark):
 def test_pushdown_reaches_the_scan(spark):
     plan = entry.queries()["p6_found"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "ReadSchema" in plan and "attributes" not in plan
+
+
+def test_chains_and_descendants_of_every_commit(spark):
+    q = entry.queries()
+    found = {r.commit_id: r.depth for r in q["p1_found"](spark, SF).collect() if r.depth >= 0}
+    chains = {r.commit_id: r.path.split("/") for r in q["p1_chains"](spark, SF).collect()}
+    assert {c: len(p) - 1 for c, p in chains.items()} == found
+    below = [(r.commit_id, r.descendant_id) for r in q["p1_below"](spark, SF).collect()]
+    assert len(below) == len(set(below)) and set(below) == {(a, c) for c, p in chains.items() for a in p[:-1]}
