@@ -205,8 +205,9 @@ def v4_index_items(spark, sf_dir):
 
 @query()
 def v5_embed_symbols(spark, sf_dir):
+    """Vectors of all item kinds, not of symbols only; the digest stands for the numbers of a vector."""
     g = graph(spark, sf_dir)
-    return V.embed_items(V.items(g.nodes, g.edges).where("node_type = 'SYMBOL'")).select("node_id", "chunk_id", "node_type", F.size("embedding").alias("width"))
+    return V.embed_items(V.items(g.nodes, g.edges)).select("node_id", "chunk_id", "node_type", F.size("embedding").alias("width"), F.xxhash64("embedding").alias("digest"))
 
 
 _SEM = f"""{_V}, near AS (SELECT * FROM best WHERE similarity >= 0.2 ORDER BY similarity DESC, node_id LIMIT 20),

@@ -3,8 +3,10 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from stratagraph.operators.vectors import hashing_embedder
 
 SF = "/root/testdata/sf0.001"
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -60,3 +62,12 @@ def test_chains_and_descendants_of_every_commit(spark):
     assert {c: len(p) - 1 for c, p in chains.items()} == found
     below = [(r.commit_id, r.descendant_id) for r in q["p1_below"](spark, SF).collect()]
     assert len(below) == len(set(below)) and set(below) == {(a, c) for c, p in chains.items() for a in p[:-1]}
+
+
+def test_all_item_kinds_are_embedded_in_chunks(spark, duck):
+    embed, rows = hashing_embedder(), []
+    for node, kind, text in duck.execute(f"SELECT node_id, node_type, text FROM ({entry.oracle_sql()['v4_index_items']})").fetchall():
+        rows += [(node, i, kind, [float(x) for x in v]) for i, v in enumerate(embed(text))]
+    want = spark.createDataFrame(rows, "node_id string, chunk_id int, node_type string, embedding array<float>").select("node_id", "chunk_id", "node_type", F.size("embedding").alias("width"), F.xxhash64("embedding").alias("digest"))
+    assert {r[2] for r in rows} == {"SYMBOL", "COMMIT_MESSAGE", "COMMIT_SYMBOLS"} and max(r[1] for r in rows) > 0
+    assert sorted(map(tuple, entry.queries()["v5_embed_symbols"](spark, SF).collect())) == sorted(map(tuple, want.collect()))
