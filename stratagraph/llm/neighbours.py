@@ -2,7 +2,8 @@
 
 The tree is fitted on a bounded sample (``SAMPLE`` rows); every vector is then put into its leaf and sent,
 packed, to the few leaves its best-bin-first search visits. How many leaves are visited is widened until
-the recall against brute force, measured with ``PROBES`` queries over all rows, reaches the target.
+the recall against brute force, measured with ``PROBES`` queries over all rows, reaches the target. Where
+these have too few neighbours to measure it, more are drawn; where the whole sample has, all leaves are visited.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.session import Scratch
 
-#: Bounds of what is fitted and measured on the driver: vectors of the fitting sample, calibration queries.
+#: Bounds of what is fitted and measured on the driver: vectors of the fitting sample, calibration queries drawn at first.
 SAMPLE, PROBES = 16_384, 512
 #: Vectors that a leaf should hold, and the most that one task compares at once (larger leaves are split).
 LEAF_ROWS, CELL_ROWS = 5_000, 16_384
@@ -203,11 +204,8 @@ def _spread(found: DataFrame, vectors: DataFrame, copies: DataFrame, k: int) ->
     return who.select("node_a", "chunk_a", F.explode(picked).alias("x")).select("node_a", "chunk_a", "x.node_b", "x.chunk_b", (-F.col("x.minus")).alias("similarity"))
 
 
-def _probe(tree: Tree, probes: np.ndarray, same: np.ndarray, order: np.ndarray, gaps: np.ndarray, k: int, floor: float, width: int):
-    """Brute force of the probes against every batch: (probe, similarity, rank and gap of the neighbour's leaf)."""
-    rank, gap = np.empty_like(order), np.empty_like(gaps)
-    np.put_along_axis(rank, order, np.arange(order.shape[1])[None, :].repeat(len(order), 0), 1)
-    np.put_along_axis(gap, order, gaps, 1)
+def _probe(tree: Tree, probes: np.ndarray, same: np.ndarray, k: int, floor: float, width: int):
+    """Brute force of the probes against every batch: (probe, similarity, leaf and key of the neighbour)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -215,17 +213,18 @@ def _probe(tree: Tree, probes: np.ndarray, same: np.ndarray, order: np.ndarray,
             if not len(x):
                 continue
             x = _unit(x)
-            sims = probes @ x.T
-            sims[same[:, None] == rows.column("same").to_numpy()[None, :]] = -2
-            p, j = np.nonzero(sims >= floor)
-            if not len(p):
-                continue
-            top = _top(p, sims[p, j], k)
-            p, j = p[top], j[top]
-            used, inverse = np.unique(j, return_inverse=True)
-            leaf = tree.visit(x[used], 1)[0][inverse, 0]
-            key = rows.column("key").to_numpy()[j]
-            yield pa.RecordBatch.from_arrays([pa.array(p), pa.array(sims[p, j].astype(np.float64)), pa.array(rank[p, leaf]), pa.array(gap[p, leaf].astype(np.float64)), pa.array(key)], names=["probe", "similarity", "rank", "gap", "key"])
+            for a in range(0, len(probes), PROBES):
+                sims = probes[a : a + PROBES] @ x.T
+                sims[same[a : a + PROBES, None] == rows.column("same").to_numpy()[None, :]] = -2
+                p, j = np.nonzero(sims >= floor)
+                if not len(p):
+                    continue
+                top = _top(p, sims[p, j], k)
+                p, j = p[top], j[top]
+                used, inverse = np.unique(j, return_inverse=True)
+                leaf = tree.visit(x[used], 1)[0][inverse, 0]
+                key = rows.column("key").to_numpy()[j]
+                yield pa.RecordBatch.from_arrays([pa.array(a + p), pa.array(sims[p, j].astype(np.float64)), pa.array(leaf), pa.array(key)], names=["probe", "similarity", "leaf", "key"])
 
     return run
 
@@ -385,21 +384,31 @@ def fit_index(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384,
     splits = np.maximum(1, np.ceil(filled / len(sample) * rows / CELL_ROWS)).astype(np.int64)
     if not kept.num_rows or tree.leaves == 1:
         return Index(tree, splits, rows)
-    probes, same = sample[:PROBES], kept.column("same").to_numpy()[:PROBES]
-    order, gaps = tree.visit(probes, tree.leaves)
-    hits = vectors.mapInArrow(_probe(tree, probes, same, order, gaps, k, floor, width), "probe bigint, similarity double, rank bigint, gap double, key bigint").distinct()
+    # a key is a hash, so the probes come from everywhere in the table; repeated rows are drawn once
+    drawn = np.unique(kept.column("key").to_numpy(), return_index=True)[1]
+    enough = math.ceil(1 / max(1 - target, 1e-9))  # fewer neighbours can't show a miss of 1 - target
     place = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("similarity"), "key"))
-    best = hits.withColumn("place", place).where(F.col("place") <= k).select("rank", "gap").collect()  # at most PROBES * k
-    if not best:
-        return Index(tree, splits, rows)
-    rank, gap = np.array([r["rank"] for r in best]), np.array([r["gap"] for r in best])
+    rank, gap, a, size = np.empty(0, np.int64), np.empty(0, np.float32), 0, PROBES
+    while a < len(drawn) and len(rank) < enough:
+        now = drawn[a : a + size]
+        hits = vectors.mapInArrow(_probe(tree, sample[now], kept.column("same").to_numpy()[now], k, floor, width), "probe bigint, similarity double, leaf bigint, key bigint").distinct()
+        best = hits.withColumn("place", place).where(F.col("place") <= k).select("probe", "leaf").collect()  # at most k a probe
+        if best:
+            who, at = np.unique([r["probe"] for r in best], return_inverse=True)
+            order, gaps = tree.visit(sample[now[who]], tree.leaves)
+            ranks = np.argsort(order, axis=1)[at, [r["leaf"] for r in best]]
+            rank, gap = np.append(rank, ranks), np.append(gap, gaps[at, ranks])
+        a, size = a + len(now), 4 * size
+    if len(rank) < enough:
+        return Index(tree, splits, rows, tree.leaves, math.inf, 1.0, float(tree.leaves))  # too little to calibrate on: compare all
     # the visits alone reach somewhat more than the target, the margin then takes back what is above it
     more = target + 0.5 * (1 - target)
     visits = next((v for v in range(1, tree.leaves + 1) if (rank < v).mean() >= more), tree.leaves)
     inside = np.sort(gap[rank < visits])
     margin = float(inside[min(len(inside), math.ceil(target * len(gap))) - 1]) + 1e-6
     found = (rank < visits) & (gap <= margin)
-    return Index(tree, splits, rows, visits, margin, float(found.mean()), float((gaps[:, :visits] <= margin).sum(1).mean()))
+    gaps = tree.visit(sample[drawn[:PROBES]], visits)[1]
+    return Index(tree, splits, rows, visits, margin, float(found.mean()), float((gaps <= margin).sum(1).mean()))
 
 
 def nearest(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, target: float = TARGET_RECALL, index: Index | None = None) -> DataFrame:

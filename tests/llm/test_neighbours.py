@@ -109,3 +109,26 @@ def test_best_bin_first_reaches_every_leaf_once():
     assert (np.diff(gaps, axis=1) >= 0).all()
     copies = N.fit_tree(np.repeat(x[:1], 300, 0), 20)
     assert copies.leaves == 1
+
+
+def rare(pairs, n=1500, seed=4):
+    """``n`` vectors without a neighbour at 0.93, then ``pairs`` pairs of neighbours, at the end of the table."""
+    rng, out = np.random.default_rng(seed), []
+    for i in range(n + pairs):
+        v = rng.normal(size=WIDTH)
+        twins = [v] if i < n else [v, v + 0.3 * rng.normal(size=WIDTH)]
+        out += [(f"r{i}-{j}", 0, "SYMBOL", [float(x) for x in w.astype(np.float32)], "k", 1) for j, w in enumerate(twins)]
+    return out
+
+
+@pytest.mark.parametrize("pairs", [0, 40, 600])
+def test_rare_neighbours_are_not_lost(spark, monkeypatch, pairs):
+    monkeypatch.setattr(N, "LEAF_ROWS", 40)
+    monkeypatch.setattr(N, "PROBES", 64)
+    data = rare(pairs)
+    df = spark.createDataFrame(data, SCHEMA)
+    index = N.fit_index(df, 5, 0.93, WIDTH)
+    want, found = as_pairs(brute(data, 5, 0.93)), got(N.nearest(df, 5, 0.93, WIDTH, index=index))
+    assert found <= want and len(found) >= 0.95 * len(want)
+    if pairs < 100:  # too few to calibrate on
+        assert index.visits == index.tree.leaves > 5 and found == want
