@@ -1,9 +1,11 @@
 """Evaluation passages in training text: SimHash windows, multi-index Hamming search, exact verification.
 
-Whole-item windows cannot see a leak of two fifths of an item, so items and documents are both cut into
-windows of ``WINDOW`` words at every position. Fingerprints within ``RADIUS`` bits agree in at least one of
-RADIUS + 1 blocks, so looking up every block of every document window finds all of them. The pairs found
-are verified by aligning shingles: words of the item covered by passages that follow its wording.
+Whole-item windows cannot see a leak of two fifths of an item, and one changed word moves more bits of a longer
+window than the radius holds, so items and documents are both cut into windows of ``SHINGLE`` words, of which
+every passage holds unchanged ones. Fingerprints within ``RADIUS`` bits agree in at least one of RADIUS + 1
+blocks, so looking up every block of every document window finds all of them. Where a document's hits of an
+item lie as a passage can, the pair is verified by aligning shingles: words of the item covered by passages
+that follow its wording.
 """
 
 from __future__ import annotations
@@ -55,7 +57,7 @@ class ItemIndex:
 
     @classmethod
     def build(cls, ids: list[int], words: list[np.ndarray]) -> ItemIndex:
-        per = [np.unique(fingerprints(w)) for w in words]
+        per = [np.unique(fingerprints(w, SHINGLE)) for w in words]
         prints = np.concatenate([*per, np.empty(0, np.uint64)])
         owner = np.repeat(np.arange(len(ids)), [len(p) for p in per])
         starts, members = [], []
@@ -87,6 +89,20 @@ class ItemIndex:
         return np.concatenate([none, *at]), np.concatenate([none, *item])
 
 
+def _passages(doc: np.ndarray, item: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """(document, item) pairs as columns, each once, with hits so close together and so far on that they can be a passage.
+
+    A passage of PASSAGE words is a chain of equal shingles over gaps of at most GAP words, so its hits begin at
+    most SHINGLE + GAP words apart and the last at least PASSAGE - SHINGLE after the first: no passage is missed.
+    """
+    order = np.lexsort((place, item, doc))
+    doc, item, place = doc[order], item[order], place[order]
+    new = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (item[1:] != item[:-1]) | (np.diff(place) > SHINGLE + GAP)))
+    last = np.append(new[1:], len(place)) - 1
+    long = new[place[last] - place[new] >= PASSAGE - SHINGLE]
+    return np.unique(np.stack([doc[long], item[long]]), axis=1)
+
+
 def covered_share(item: np.ndarray, doc: np.ndarray) -> float:
     """Share of the item's words in passages of ``doc`` that follow its wording.
 
@@ -141,15 +157,14 @@ def _search(index: ItemIndex, least: float):
                 docs = [w for _, w in group]
                 sizes = np.array([len(w) for w in docs])
                 ends = np.cumsum(sizes)
-                prints = fingerprints(np.concatenate(docs))
+                prints = fingerprints(np.concatenate(docs), SHINGLE)
                 owner = np.searchsorted(ends, np.arange(len(prints)), "right")
-                inside = np.arange(len(prints)) + WINDOW <= ends[owner]
+                inside = np.arange(len(prints)) + SHINGLE <= ends[owner]
                 where = np.flatnonzero(inside)
                 at, item = index.candidates(prints[where])
                 if not len(at):
                     continue
-                pairs = np.unique(np.stack([owner[where[at]], item]), axis=1)
-                for d, i in pairs.T:
+                for d, i in _passages(owner[where[at]], item, where[at]).T:
                     share = covered_share(index.words[i], docs[d])
                     if share >= least:
                         found.append((group[d][0], index.ids[i], share))

@@ -69,3 +69,15 @@ def test_fingerprints_in_stretches(monkeypatch):
     assert len(K.fingerprints(hashes[:3])) == 0
     doc, item = hashes, hashes[200:260]
     assert K.covered_share(item, doc) == 1.0 and K.covered_share(item, doc[:210]) < 0.4 and K.covered_share(item, doc[:0]) == 0.0
+
+
+def test_a_changed_word_in_every_sixth_place(spark):
+    own = random.Random(11)
+    word = lambda: f"v{own.randrange(10**6)}"
+    items = [(i, [word() for _ in range((32, 80)[i % 2])]) for i in range(24)]
+    docs = []
+    for i, words in items:
+        changed = [word() if j % (6, 8)[i // 12] == i % 5 else w for j, w in enumerate(words)]
+        docs.append((i, " ".join([word() for _ in range(40)] + changed + [word() for _ in range(40)]), "a", 1.0))
+    e = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id bigint, text string")
+    assert {(r.doc_id, r.item_id) for r in K.leaked_items(spark.createDataFrame(docs, DOCS), e).collect()} == {(i, i) for i, _ in items}
