@@ -285,6 +285,14 @@ def d1_dependencies(spark, sf_dir):
     return L.neighbours(g, g.nodes.where("type = 'FUNCTION'"))
 
 
+@query(f"""WITH {_G}, d AS (SELECT source_id AS id, 'out' AS direction, type AS edge_type, target_id AS other_id FROM e WHERE type NOT IN ('CONTAINS_COMMENT', 'HAS_KEYWORD') UNION SELECT target_id, 'in', type, source_id FROM e WHERE type NOT IN ('CONTAINS_COMMENT', 'HAS_KEYWORD'))
+SELECT d.id, direction, edge_type, other_id, m.type AS other_type, {_NAME} AS name FROM d JOIN (SELECT DISTINCT id FROM g) w ON w.id = d.id JOIN g m ON m.id = d.other_id""")
+def d1_all_dependencies(spark, sf_dir):
+    """The dependencies of all present nodes, whatever their type."""
+    g = graph(spark, sf_dir)
+    return L.neighbours(g, g.nodes)
+
+
 @query(f"WITH {_G} SELECT id, type, (ends_with(id, '/cache') OR ends_with(id, '.cache')) AS suffix FROM g WHERE type IN ('FILE', 'FUNCTION', 'SYMBOL', 'COMMIT') AND contains(lower(id), 'cache')")
 def d2_fuzzy_candidates(spark, sf_dir):
     return L.candidates(graph(spark, sf_dir).nodes, "cache").withColumn("suffix", F.col("id").endswith("/cache") | F.col("id").endswith(".cache"))

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from stratagraph.operators import build as B
 from stratagraph.operators.vectors import hashing_embedder
 
 SF = "/root/testdata/sf0.001"
@@ -71,3 +72,11 @@ def test_all_item_kinds_are_embedded_in_chunks(spark, duck):
     want = spark.createDataFrame(rows, "node_id string, chunk_id int, node_type string, embedding array<float>").select("node_id", "chunk_id", "node_type", F.size("embedding").alias("width"), F.xxhash64("embedding").alias("digest"))
     assert {r[2] for r in rows} == {"SYMBOL", "COMMIT_MESSAGE", "COMMIT_SYMBOLS"} and max(r[1] for r in rows) > 0
     assert sorted(map(tuple, entry.queries()["v5_embed_symbols"](spark, SF).collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_dependencies_of_every_type(spark):
+    q = entry.queries()
+    every = q["d1_all_dependencies"](spark, SF)
+    nodes = B.present(spark.read.parquet(f"{SF}/nodes.parquet")).select("id", "type")
+    assert {"FILE", "FUNCTION", "SYMBOL", "COMMIT"} <= {r.type for r in every.join(nodes, "id").select("type").distinct().collect()}
+    assert q["d1_dependencies"](spark, SF).exceptAll(every).count() == 0
