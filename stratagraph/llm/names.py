@@ -14,8 +14,7 @@ import unicodedata
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from stratagraph.session import Scratch
@@ -38,7 +37,6 @@ HOLLOW = {"the", "team", "ltd", "limited", "inc", "incorporated", "gmbh", "llc",
 BOTS = {"bot", "automation", "robot", "ci"}
 
 _SPELLED = str.maketrans({"ä": "ae", "ö": "oe", "ü": "ue", "ß": "ss", "ø": "o", "æ": "ae", "œ": "oe", "ł": "l", "đ": "d", "ð": "d", "þ": "th"})
-_NICKS: dict[str, list[str]] = {}
 
 
 def wide(text: str) -> str:
@@ -52,15 +50,25 @@ def fold(text: str) -> str:
     return wide(text).replace("ae", "a").replace("oe", "o").replace("ue", "u")
 
 
-for _given, _shorts in SHORT_FORMS.items():
-    _NICKS.setdefault(fold(_given), []).append(fold(_given))
-    for _short in _shorts.split():
-        _NICKS.setdefault(fold(_short), []).append(fold(_given))
+class Lexicon:
+    """The word lists that names are read with; each is a parameter, and each may be empty."""
 
+    def __init__(self, short_forms: dict[str, str] | None = None, kinds: dict[str, str] | None = None, hollow: set[str] | None = None, bots: set[str] | None = None) -> None:
+        self.kinds, self.hollow, self.bots = KINDS if kinds is None else kinds, HOLLOW if hollow is None else hollow, BOTS if bots is None else bots
+        self.nicks: dict[str, list[str]] = {}
+        for given, shorts in (SHORT_FORMS if short_forms is None else short_forms).items():
+            self.nicks.setdefault(fold(given), []).append(fold(given))
+            for short in shorts.split():
+                self.nicks.setdefault(fold(short), []).append(fold(given))
 
-def givens(name: str) -> list[str]:
-    """The given names that ``name`` may stand for."""
-    return _NICKS.get(name, [name])
+    def givens(self, name: str) -> list[str]:
+        """The given names that ``name`` may stand for."""
+        return self.nicks.get(name, [name])
+
+    def kind(self, typed: str, dotted: bool) -> str | None:
+        """The kind of organisation a word names, also if it is cut short with a full stop."""
+        t = fold(typed)
+        return self.kinds.get(t) or (next((k for k in sorted(set(self.kinds.values())) if k.startswith(t)), None) if dotted and len(t) > 2 else None)
 
 
 def near(a: str, b: str) -> bool:
@@ -97,21 +105,15 @@ def _address(email: str | None) -> tuple[str | None, list[str], str]:
     return f"{local}@{domain}", words, domain
 
 
-def _kind(typed: str, dotted: bool) -> str | None:
-    """The kind of organisation a word names, also if it is cut short with a full stop."""
-    t = fold(typed)
-    return KINDS.get(t) or (next((k for k in sorted(set(KINDS.values())) if k.startswith(t)), None) if dotted and len(t) > 2 else None)
-
-
-def read(name: str | None, email: str | None) -> dict:
+def read(name: str | None, email: str | None, lexicon: Lexicon) -> dict:
     """What a row may stand for.
 
     cls: person, org, bot or none; full: candidate "given surname" strings (or the one string of an
-    organisation or account), best first; sure: whether the address spells the first one out; clear:
+    organisation or account), best first; spare: the same of other pairs of words, for names of three and more; sure: whether the address spells the first one out; clear:
     whether the given name is no short form of several; partial: candidate "initial surname" strings for
     rows that give no more; box and domain: the mailbox, if the name agrees with it, and its domain.
     """
-    out = {"cls": "person", "full": [], "sure": False, "clear": True, "partial": [], "box": None, "domain": ""}
+    out = {"cls": "person", "full": [], "spare": [], "sure": False, "clear": True, "partial": [], "box": None, "domain": ""}
     box, words, domain = _address(email)
     raw = name or ""
     known = {"box": box, "domain": domain}
@@ -119,13 +121,13 @@ def read(name: str | None, email: str | None) -> dict:
     bare = re.sub(r"[(\[][^)\]]*[)\]]", " ", raw)
     typed = re.findall(r"[^\W\d_]+", bare)
     tokens = [wide(t) for t in typed]
-    if BOTS & set(aside) or BOTS & set(tokens):
-        out.update(cls="bot", full=["bot:" + " ".join(sorted(fold(t) for t in tokens if t not in BOTS) or [fold(w) for w in words])])
+    if lexicon.bots & set(aside) or lexicon.bots & set(tokens):
+        out.update(cls="bot", full=["bot:" + " ".join(sorted(fold(t) for t in tokens if t not in lexicon.bots) or [fold(w) for w in words])])
         return out
     dots = [m[2] == "." for m in re.finditer(r"([^\W\d_]+)(\W?)", bare)]
-    kinds = [k for t, d in zip(typed, dots) if (k := _kind(t, d))] if len(tokens) > 1 else []
-    if kinds or (len(tokens) > 1 and HOLLOW & set(tokens)):
-        core = sorted(fold(t) for t, y, d in zip(tokens, typed, dots) if not _kind(y, d) and t not in HOLLOW)
+    kinds = [k for t, d in zip(typed, dots) if (k := lexicon.kind(t, d))] if len(tokens) > 1 else []
+    if kinds or (len(tokens) > 1 and lexicon.hollow & set(tokens)):
+        core = sorted(fold(t) for t, y, d in zip(tokens, typed, dots) if not lexicon.kind(y, d) and t not in lexicon.hollow)
         out.update(cls="org", full=["org:" + " ".join([*core, *sorted(kinds)])], **known)
         return out
     long = [t for t in tokens if len(t) > 1]
@@ -139,7 +141,9 @@ def read(name: str | None, email: str | None) -> dict:
         pairs = [(a, b), (b, a)]
         if re.match(r"\s*[^\W\d_]+(?:[-'\s][^\W\d_]+)*\s*,", bare) or (caps[0] and not caps[-1]):
             pairs.reverse()
-    meant = lambda g: givens(fold(g))
+        # of three and more words any two may be the given name and the surname
+        pairs += [(x, y) for x in long for y in long if x is not y and (x, y) not in pairs]
+    meant = lambda g: lexicon.givens(fold(g))
     if spelled:
         g, s = spelled
         whole = any(agree(y, s) and (agree(x, g) or set(meant(x)) & set(meant(g))) for x, y in pairs)
@@ -155,7 +159,8 @@ def read(name: str | None, email: str | None) -> dict:
         if agreed:
             out.update(known)
         chosen = agreed or [(g, fold(s)) for g, s in pairs]
-        out.update(full=list(dict.fromkeys(f"{x} {s}" for g, s in chosen for x in meant(g))), clear=len(meant(chosen[0][0])) == 1)
+        plain = list(dict.fromkeys(f"{x} {s}" for g, s in chosen[:2] for x in meant(g)))
+        out.update(full=plain, spare=[x for x in dict.fromkeys(f"{x} {s}" for g, s in chosen[2:] for x in meant(g)) if x not in plain], clear=len(meant(chosen[0][0])) == 1)
         return out
     if len(long) == 1 and initials:
         s = fold(long[0])
@@ -182,120 +187,162 @@ def read(name: str | None, email: str | None) -> dict:
     return out
 
 
-READ = pa.schema([("author_id", pa.int64()), ("cls", pa.string()), ("full", pa.list_(pa.string())), ("sure", pa.bool_()), ("clear", pa.bool_()), ("partial", pa.list_(pa.string())), ("box", pa.string()), ("domain", pa.string())])
+READ = pa.schema([("author_id", pa.int64()), ("cls", pa.string()), ("full", pa.list_(pa.string())), ("spare", pa.list_(pa.string())), ("sure", pa.bool_()), ("clear", pa.bool_()), ("partial", pa.list_(pa.string())), ("box", pa.string()), ("domain", pa.string())])
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = [read(n, e) for n, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[c] for r in rows], READ.field(c).type) for c in READ.names[1:]]], schema=READ)
+def _read(lexicon: Lexicon):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [read(n, e, lexicon) for n, e in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([r[c] for r in rows], READ.field(c).type) for c in READ.names[1:]]], schema=READ)
+
+    return run
 
 
 # ---- trie join ---------------------------------------------------------------------------------------
 
-#: Spellings that one trie holds at most; a shard with more is split and its queries go to every part.
-TRIE_SIZE = 20_000
+#: Entries of a shard above which its rest is halved again, and how often at most; entries and queries one task takes of what is still larger.
+SPLIT, LEVELS = 256, 3
+TRIE_SIZE, QUERY_SIZE = 20_000, 20_000
+ROW = "kind int, shard string, r string, s string"
+_FRONT, _BACK, _REST = "\x01", "\x02", "\x03"
 
 
-def _half(s: str, n: int) -> int:
+def _half(n: int) -> int:
     return max(1, (n - 1) // 2)
 
 
-def shards(s: str, query: bool) -> list[str]:
-    """Shard keys: the first and the last half without the middle.
+def shards(shard: str, rest: str, query: bool) -> list[tuple[str, str]]:
+    """(shard key, what is left) by the first and by the last half of ``rest``, without the middle.
 
-    One edit (or swap of neighbours) leaves the first or the last half unharmed, since at least one character lies
-    between them; a query also tries the halves of spellings one shorter and one longer.
+    One edit (or swap of neighbours) leaves one of the halves unharmed, since at least one character lies between
+    them; a query also tries the halves of spellings one shorter and one longer. What is left of a last half is
+    turned round, so that it can be halved again in the same way. Rests of up to three characters stay whole.
     """
-    lengths = (len(s) - 1, len(s), len(s) + 1) if query else (len(s),)
-    sizes = {_half(s, n) for n in lengths}
-    return sorted({f"<{s[:h]}" for h in sizes} | {f">{s[-h:]}" for h in sizes})
-
+    n = len(rest)
+    out = {(shard + _REST, rest)} if n <= (4 if query else 3) else set()
+    lengths = [m for m in ((n - 1, n, n + 1) if query else (n,)) if m > 3]
+    for h in {_half(m) for m in lengths}:
+        if h <= n:
+            out |= {(shard + _FRONT + rest[:h], rest[h:]), (shard + _BACK + rest[n - h :], rest[: n - h][::-1])}
+    return sorted(out)
 
-def _keys(query: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs = [(k, s) for s in batch.column(0).to_pylist() for k in shards(s, query)]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], pa.string())], names=["shard", "s"])
 
-    return run
+def _halve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = [(kind, k, left, s) for kind, shard, r, s in zip(*[c.to_pylist() for c in batch.columns]) for k, left in shards(shard, r, kind == 1)]
+        yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.string(), pa.string()))], names=["kind", "shard", "r", "s"])
 
 
 class Trie:
-    """Spellings as nested dictionaries; ``None`` marks an end."""
+    """Strings as nested dictionaries; under ``None`` the values of the strings that end here."""
 
     def __init__(self) -> None:
         self.root: dict = {}
 
-    def add(self, s: str) -> None:
+    def add(self, s: str, value: str | None = None) -> None:
         node = self.root
         for c in s:
             node = node.setdefault(c, {})
-        node[None] = s
+        node.setdefault(None, []).append(s if value is None else value)
 
     def within(self, q: str, bound: int = 1) -> list[str]:
-        """All spellings within ``bound`` edits (swaps of neighbours count once) of ``q``.
+        """The values of all strings within ``bound`` edits (swaps of neighbours count once) of ``q``.
 
-        The automaton's state is the row of edit distances of the prefix read so far to all prefixes of
-        ``q``; a branch ends when no entry of its row is within the bound.
+        The Levenshtein automaton of ``q`` runs along the trie as bit sets: bit i of set e says that i characters
+        of ``q`` are read with e errors. A branch ends when all sets are empty.
         """
-        found, n = [], len(q)
-        stack = [(self.root, list(range(n + 1)), None, "")]
+        n, found = len(q), []
+        at: dict[str, int] = {}
+        for i, c in enumerate(q):
+            at[c] = at.get(c, 0) | 1 << i
+        end, full = 1 << n, (1 << (n + 1)) - 1
+        first = tuple(((1 << (e + 1)) - 1) & full for e in range(bound + 1))
+        stack = [(self.root, first, (0,) * (bound + 1))]
         while stack:
-            node, row, before, last = stack.pop()
+            node, sets, swaps = stack.pop()
             for c, child in node.items():
                 if c is None:
-                    if row[n] <= bound:
-                        found.append(child)
+                    if any(x & end for x in sets):
+                        found.extend(child)
                     continue
-                new = [row[0] + 1]
-                for j in range(1, n + 1):
-                    best = min(row[j] + 1, new[j - 1] + 1, row[j - 1] + (q[j - 1] != c))
-                    if before is not None and j > 1 and q[j - 1] == last and q[j - 2] == c:
-                        best = min(best, before[j - 2] + 1)
-                    new.append(best)
-                if min(new) <= bound or (min(row) <= bound - 1):
-                    stack.append((child, new, row, c))
+                here = at.get(c, 0)
+                moved, begun, last = [], [0], 0
+                for e in range(bound + 1):
+                    x = (sets[e] & here) << 1
+                    if e:
+                        before = sets[e - 1]
+                        x |= before | before << 1 | last << 1 | (swaps[e] & here) << 2
+                        begun.append(before & here >> 1)
+                    last = x & full
+                    moved.append(last)
+                if last or begun[-1]:
+                    stack.append((child, tuple(moved), tuple(begun)))
         return found
 
 
 def _tries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Over rows sorted by (shard, part, kind): build the shard's trie, then stream its queries past it."""
-    here, trie, entries = None, Trie(), 0
+    """Over rows sorted by (shard, part, block, kind): build the shard's trie, then stream its queries past it."""
+    here, trie, entries, least, longest = None, Trie(), 0, 0, 0
     for batch in batches:
         out = []
-        for shard, part, kind, s in zip(*[batch.column(c).to_pylist() for c in ("shard", "part", "kind", "s")]):
-            if (shard, part) != here:
-                here, trie, entries = (shard, part), Trie(), 0
+        for shard, part, block, kind, r, s in zip(*[batch.column(c).to_pylist() for c in ("shard", "part", "block", "kind", "r", "s")]):
+            if (shard, part, block) != here:
+                here, trie, entries, least, longest = (shard, part, block), Trie(), 0, len(r), len(r)
             if kind == 0:
-                trie.add(s)
+                trie.add(r, s)
                 entries += 1
-            elif entries:
-                out.extend((s, t) for t in trie.within(s))
+                least, longest = min(least, len(r)), max(longest, len(r))
+            elif entries and least - 1 <= len(r) <= longest + 1:
+                out.extend((s, t) for t in trie.within(r))
         yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.string()), pa.array([o[1] for o in out], pa.string())], names=["s", "t"])
 
 
 def trie_join(queries: DataFrame, names: DataFrame) -> DataFrame:
     """(s, t): every spelling s of ``queries`` with every spelling t of ``names`` at most one edit apart, itself included.
 
-    Both have one string column s; null and empty strings pair with nothing, repeats count once.
+    Both have one string column s; null and empty strings pair with nothing, repeats count once. Shards of more
+    than ``SPLIT`` entries (a frequent given name) are halved again by what is left, so that the trie a query
+    walks stays small however often its first half occurs; what ``LEVELS`` halvings leave larger than
+    ``TRIE_SIZE`` is a grid of entry parts and query blocks.
     """
-    clean = lambda df: df.select(F.col(df.columns[0]).alias("s")).where("s IS NOT NULL AND s != ''").distinct()
-    held = clean(names).mapInArrow(_keys(False), "shard string, s string")
-    asked = clean(queries).mapInArrow(_keys(True), "shard string, s string")
-    large = held.groupBy("shard").count().where(F.col("count") > TRIE_SIZE).select(F.col("shard").alias("big"), F.ceil(F.col("count") / TRIE_SIZE).cast("int").alias("parts"))
-    parts = F.coalesce("parts", F.lit(1))
-    left = held.join(large, F.col("shard") == F.col("big"), "left").select("shard", F.pmod(F.xxhash64("s"), parts).cast("int").alias("part"), F.lit(0).alias("kind"), "s")
-    right = asked.join(large, F.col("shard") == F.col("big"), "left").select("shard", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"), F.lit(1).alias("kind"), "s")
-    both = left.unionByName(right).repartition("shard", "part").sortWithinPartitions("shard", "part", "kind")
-    return both.mapInArrow(_tries, "s string, t string").distinct()
+    spark = queries.sparkSession
+    scratch = Scratch(spark, "tries")
+    clean = lambda df, kind: df.select(F.col(df.columns[0]).alias("s")).where("s IS NOT NULL AND s != ''").distinct().select(F.lit(kind).alias("kind"), F.lit("").alias("shard"), F.col("s").alias("r"), "s")
+    inside = F.col("shard") == F.col("k")
+    work, out = 0, []
+    todo = clean(names, 0).unionByName(clean(queries, 1))
+    for level in range(LEVELS):
+        rows = scratch.write(todo.mapInArrow(_halve, ROW), "rows")
+        # shards without entries or without queries drop out here
+        sizes = rows.groupBy(F.col("shard").alias("k")).agg(F.count_if(F.col("kind") == 0).alias("held"), F.count_if(F.col("kind") == 1).alias("asked")).where("held > 0 AND asked > 0")
+        large = (F.col("held") > SPLIT) & ~F.col("k").endswith(_REST) & F.lit(level < LEVELS - 1)
+        seen = Observation()
+        sizes = scratch.write(sizes.select("k", "held", "asked", F.ceil(F.col("held") / TRIE_SIZE).cast("int").alias("parts"), F.ceil(F.col("asked") / QUERY_SIZE).cast("int").alias("blocks"), large.alias("large")).observe(seen, F.count_if("large").alias("n"), F.sum((F.col("held") + F.col("asked")).cast("bigint")).alias("work")), "sizes")
+        out.append(rows.join(sizes.where("NOT large"), inside))
+        work += seen.get["work"] or 0
+        if not seen.get["n"]:
+            break
+        todo = rows.join(sizes.where("large"), inside, "left_semi")
+    both = out[0]
+    for part in out[1:]:
+        both = both.unionByName(part)
+    # a grid of entry parts and query blocks: an entry goes to its part of every block, a query to every part of its block
+    of = lambda n: F.array(F.pmod(F.xxhash64("s"), F.col(n)).cast("int"))
+    every = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    entry = F.col("kind") == 0
+    both = both.select("shard", F.explode(F.when(entry, of("parts")).otherwise(every("parts"))).alias("part"), "kind", "r", "s", "blocks")
+    both = both.select("shard", "part", F.explode(F.when(entry, every("blocks")).otherwise(of("blocks"))).alias("block"), "kind", "r", "s")
+    # a stated number of partitions is kept, where AQE would merge the few bytes of much work into two tasks
+    tasks = max(spark.sparkContext.defaultParallelism, -(-work // QUERY_SIZE))
+    return both.repartition(tasks, "shard", "part", "block").sortWithinPartitions("shard", "part", "block", "kind").mapInArrow(_tries, "s string, t string").distinct()
 
 
 # ---- resolution --------------------------------------------------------------------------------------
 
 
 def _settle(scratch: Scratch, asked: DataFrame, known: DataFrame) -> DataFrame:
-    """(s, t, grade): where each asked spelling belongs.
+    """(s, t, grade, n): where each asked spelling belongs, and the rows that use that.
 
     ``known`` has s, sure (rows whose address spells it out) and n (rows). A sure spelling stays. Any other
     moves to the best attested neighbour that is sure, or else is used by more rows (of as many, the smallest); grade 0 is a sure
@@ -311,7 +358,22 @@ def _settle(scratch: Scratch, asked: DataFrame, known: DataFrame) -> DataFrame:
     same_head = F.when(F.col("s").startswith("org:") | F.col("s").startswith("bot:") | F.col("t").startswith("org:") | F.col("t").startswith("bot:"), fits).otherwise(F.when((F.substring("s", 2, 1) == " ") | (F.substring("t", 2, 1) == " "), F.substring("s", 1, 2) == F.substring("t", 1, 2)).otherwise(F.lit(True)))
     best = rated.where(same_head).groupBy("s").agg(F.min(F.struct(grade.alias("grade"), (-F.col("t_n")).alias("n"), F.col("t").alias("t"))).alias("b"))
     moved = asked.select("s").distinct().join(best.withColumnRenamed("s", "b_s"), F.col("s") == F.col("b_s"), "left")
-    return scratch.write(moved.select("s", F.coalesce("b.t", "s").alias("t"), F.coalesce("b.grade", F.lit(3)).alias("grade")), "settled")
+    return scratch.write(moved.select("s", F.coalesce("b.t", "s").alias("t"), F.coalesce("b.grade", F.lit(3)).alias("grade"), F.coalesce(-F.col("b.n"), F.lit(0)).alias("n")), "settled")
+
+
+def _mended(scratch: Scratch, asked: DataFrame, first: DataFrame) -> DataFrame:
+    """(s, m): spellings of people whose given name no address spells out, with the given name one edit off that one does.
+
+    Together with one edit in the whole this allows one typing error in each of the two words. Of several given
+    names the one of most rows counts, of as many the smallest; short ones (under four letters) stay.
+    """
+    head = F.substring_index("s", " ", 1)
+    people = lambda df: df.where(~F.col("s").rlike("^(org|bot):")).withColumn("g", head).where(F.length("g") > 3)
+    sound = people(first.where("sure")).groupBy("g").agg(F.count("*").alias("n"))
+    doubtful = people(asked).select("g").distinct().join(sound.select(F.col("g").alias("k")), F.col("g") == F.col("k"), "left_anti")
+    best = trie_join(doubtful.select("g"), sound.select("g")).join(sound, F.col("t") == F.col("g")).groupBy(F.col("s").alias("old")).agg(F.min(F.struct((-F.col("n")).alias("n"), F.col("t").alias("t"))).alias("b"))
+    pairs = people(asked).select("s", "g").distinct().join(best, F.col("g") == F.col("old"))
+    return scratch.write(pairs.select("s", F.concat("b.t", F.lit(" "), F.substring_index("s", " ", -1)).alias("m")), "mended")
 
 
 def _only(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -319,24 +381,39 @@ def _only(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     return df.groupBy(*keys).agg(F.min(value).alias("only"), F.max(value).alias("__m")).where(F.col("only") == F.col("__m")).drop("__m")
 
 
-def identities(authors: DataFrame) -> DataFrame:
+def identities(authors: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
     """(author_id, identity): the person, organisation or account a row stands for.
 
     Rows without a readable name and address have no row here. A null address, or one that the name does
     not agree with (shared mailboxes), is no evidence; a null name is read from the address. A repeated
-    author_id with different spellings gets the smallest identity.
+    author_id with different spellings gets the smallest identity. A name of three and more words is read by
+    its first and last; its other pairs of words count only if an address spells them out and nobody else uses
+    the first reading. ``lexicon`` holds the short forms of given names and the words of organisations and
+    accounts; without short forms only spellings of the same names are linked.
     """
     scratch = Scratch(authors.sparkSession, "names")
-    rows = scratch.write(authors.where("author_id IS NOT NULL").select(F.col("author_id").cast("bigint").alias("author_id"), "name", "email").mapInArrow(_read, "author_id bigint, cls string, full array<string>, sure boolean, clear boolean, partial array<string>, box string, domain string"), "read")
+    columns = "author_id bigint, cls string, full array<string>, spare array<string>, sure boolean, clear boolean, partial array<string>, box string, domain string"
+    rows = scratch.write(authors.where("author_id IS NOT NULL").select(F.col("author_id").cast("bigint").alias("author_id"), "name", "email").mapInArrow(_read(lexicon or Lexicon()), columns), "read")
 
     # a short form that several names have is no evidence for the first of them
     first = rows.where(F.size("full") > 0).where("clear").select("author_id", F.col("full")[0].alias("s"), "sure")
     known = scratch.write(first.groupBy("s").agg(F.sum(F.col("sure").cast("bigint")).alias("sure"), F.count("*").alias("n")), "known")
-    asked = rows.select("author_id", "box", "domain", "cls", "sure", F.posexplode("full").alias("rank", "s"))
-    settled = _settle(scratch, asked, known)
-    again = _settle(scratch, settled.select(F.col("t").alias("s")), known).select(F.col("s").alias("a"), F.col("t").alias("u"))
-    home = settled.join(again, F.col("t") == F.col("a")).select(F.col("s").alias("h"), F.col("u").alias("identity"), "grade")
-    pick = F.min(F.struct(F.when(F.col("sure") & (F.col("rank") == 0), -1).otherwise(F.col("grade")).alias("grade"), F.col("rank"), F.col("identity")))
+    listed = F.transform("full", lambda x, i: F.struct(i.alias("rank"), x.alias("s"), F.lit(False).alias("spare")))
+    others = F.transform("spare", lambda x, i: F.struct((i + 1000).alias("rank"), x.alias("s"), F.lit(True).alias("spare")))
+    asked = rows.select("author_id", "box", "domain", "cls", "sure", F.explode(F.concat(listed, others)).alias("x")).select("author_id", "box", "domain", "cls", "sure", "x.*")
+    mended = _mended(scratch, asked, first)
+    settled = _settle(scratch, asked.select("s").unionByName(mended.select(F.col("m").alias("s"))), known)
+    # where the spelling moved to may itself move on
+    again = settled.select(F.col("s").alias("a"), F.col("t").alias("u"))
+    home = settled.join(again, F.col("t") == F.col("a")).select(F.col("s").alias("h"), F.col("u").alias("identity"), "grade", "n")
+    # a mended given name counts if that finds a sure spelling, where the one typed finds none
+    detour = mended.join(home, F.col("m") == F.col("h")).where("grade < 2").select("s", F.struct("identity", F.lit(1).alias("grade"), "n").alias("via"))
+    home = home.join(detour, F.col("h") == F.col("s"), "left").select("h", F.when((F.col("grade") > 1) & (F.col("n") < 2) & F.col("via").isNotNull(), F.col("via")).otherwise(F.struct("identity", "grade", "n")).alias("w")).select("h", "w.*")
+    order = (
+        F.when(F.col("sure") & (F.col("rank") == 0), -1).when(F.col("spare"), F.when(F.col("grade") < 2, 3).otherwise(6))
+        .when(F.col("grade") < 2, F.col("grade")).when(F.col("grade") == 2, F.when(F.col("n") > 1, 2).otherwise(4)).otherwise(5)
+    )
+    pick = F.min(F.struct(order.alias("order"), F.col("rank"), F.col("identity")))
     whole = asked.join(home, F.col("s") == F.col("h")).groupBy("author_id", "box", "domain", "cls").agg(pick.alias("p")).select("author_id", "box", "domain", "cls", F.col("p.identity").alias("identity"))
     whole = scratch.write(whole, "whole")
 
@@ -360,9 +437,20 @@ def identities(authors: DataFrame) -> DataFrame:
     return whole.select("author_id", "identity").unionByName(reached).groupBy("author_id").agg(F.min("identity").alias("identity"))
 
 
-def same_author_pairs(authors: DataFrame) -> DataFrame:
-    """(author_a, author_b): every pair of rows of one identity, smaller id first; pairs are what the table asks for."""
+#: Rows of an identity above which its pairs are formed in salted blocks, and the blocks.
+LARGE, BLOCKS = 1_000, 32
+
+
+def same_author_pairs(authors: DataFrame, lexicon: Lexicon | None = None) -> DataFrame:
+    """(author_a, author_b): every pair of rows of one identity, smaller id first; pairs are what the table asks for.
+
+    One side of a large identity is spread over ``BLOCKS`` blocks and the other sent to each of them, so that no
+    task forms all its pairs.
+    """
     scratch = Scratch(authors.sparkSession, "pairs")
-    who = scratch.write(identities(authors), "identities")
-    other = who.select(F.col("author_id").alias("author_b"), F.col("identity").alias("i"))
-    return who.join(other, (F.col("identity") == F.col("i")) & (F.col("author_id") < F.col("author_b"))).select(F.col("author_id").alias("author_a"), "author_b")
+    who = scratch.write(identities(authors, lexicon), "identities")
+    many = who.groupBy(F.col("identity").alias("i")).count().where(F.col("count") > LARGE).select("i", F.lit(BLOCKS).alias("blocks"))
+    sized = who.join(many, F.col("identity") == F.col("i"), "left").select("author_id", "identity", F.coalesce("blocks", F.lit(1)).alias("blocks"))
+    left = sized.select(F.col("author_id").alias("author_a"), "identity", F.pmod(F.xxhash64("author_id"), F.col("blocks")).cast("int").alias("block"))
+    right = sized.select(F.col("author_id").alias("author_b"), F.col("identity").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
+    return left.join(right, (F.col("identity") == F.col("i")) & (F.col("block") == F.col("b")) & (F.col("author_a") < F.col("author_b"))).select("author_a", "author_b")

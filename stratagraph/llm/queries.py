@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.llm.chunking import present_messages, split_long
+from stratagraph.llm.labelled import SPELLINGS
 from stratagraph.llm.leakage import leaked_items
 from stratagraph.llm.mixing import mixture, shares
 from stratagraph.llm.names import identities, same_author_pairs
@@ -39,6 +40,11 @@ def p4_identities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identities(_t(spark, sf_dir, "authors"))
 
 
+def p4_labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pairs of a small table whose owners are known; its SQL pairs the rows of each owner."""
+    return same_author_pairs(spark.createDataFrame([(i, n, e) for i, (_, n, e) in enumerate(SPELLINGS)], "author_id bigint, name string, email string"))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked_items(_t(spark, sf_dir, "documents"), _t(spark, sf_dir, "eval_items")).select("doc_id", "item_id")
 
@@ -56,4 +62,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_documents(_t(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p4_found, p4_identities, p7_found, p8_mixture, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p4_found, p4_identities, p4_labelled, p7_found, p8_mixture, p8_shares, p9_found)}

@@ -1,6 +1,13 @@
 """SQL counterparts of the training-data queries where SQL can express them over whole tables."""
 
+from stratagraph.llm.labelled import SPELLINGS
+
+_OWNERS = ", ".join(f"({i}, '{owner}')" for i, (owner, _, _) in enumerate(SPELLINGS))
+
 SQL = {
+    "p4_labelled": f"""
+WITH l(author_id, owner) AS (VALUES {_OWNERS})
+SELECT CAST(a.author_id AS BIGINT) AS author_a, CAST(b.author_id AS BIGINT) AS author_b FROM l a JOIN l b ON a.owner = b.owner AND a.author_id < b.author_id""",
     "p2_found": """
 WITH last AS (SELECT id, arg_max(struct_pack(m := message), scanned_at).m AS message FROM commits WHERE id IS NOT NULL GROUP BY id)
 SELECT id AS commit_id, CAST(CASE WHEN list_max(list_transform(string_split_regex(message, '[ \\t\\r\\n]'), lambda x: length(x))) > 1000 THEN 1 ELSE 0 END AS BIGINT) AS forced
