@@ -1,6 +1,8 @@
 import random
 
 import numpy as np
+import pyarrow as pa
+import pytest
 
 from stratagraph.llm import leakage as K
 from stratagraph.llm.words import Hasher, plain_words
@@ -55,9 +57,9 @@ def test_every_fingerprint_within_the_radius_is_found():
     for _ in range(K.RADIUS):
         flips |= np.uint64(1) << random_bits.integers(0, 64, 300).astype(np.uint64)
     asked = base ^ flips
-    at, item = index.candidates(asked)
-    got = set(zip(at.tolist(), item.tolist()))
-    want = {(q, int(index.owner[j])) for q in range(300) for j in np.flatnonzero(np.bitwise_count(index.prints ^ asked[q]) <= K.RADIUS)}
+    at, window = index.candidates(asked)
+    got = set(zip(at.tolist(), window.tolist()))
+    want = {(q, int(j)) for q in range(300) for j in np.flatnonzero(np.bitwise_count(index.prints ^ asked[q]) <= K.RADIUS)}
     assert got == want and {q for q, _ in want} == set(range(300))
 
 
@@ -66,11 +68,65 @@ def test_fingerprints_in_stretches(monkeypatch):
     whole = K.fingerprints(hashes)
     monkeypatch.setattr(K, "STRETCH", 97)
     assert (K.fingerprints(hashes) == whole).all() and len(whole) == 1000 - K.WINDOW + 1
-    assert len(K.fingerprints(hashes[:3])) == 0
+    assert len(K.fingerprints(hashes[: K.WINDOW - 1])) == 0
     doc, item = hashes, hashes[200:260]
     assert K.covered_share(item, doc) == 1.0 and K.covered_share(item, doc[:210]) < 0.4 and K.covered_share(item, doc[:0]) == 0.0
 
 
+@pytest.mark.parametrize("every", [4, 5, 6, 7, 8])
+def test_single_changed_words(every):
+    """Items of 60 words of which every 4th to 8th word is changed."""
+    own, h = random.Random(every), Hasher()
+    word = lambda: f"v{own.randrange(10**6)}"
+    items = [[word() for _ in range(60)] for _ in range(100)]
+    docs = [" ".join([word() for _ in range(40)] + [word() if j % every == i % every else w for j, w in enumerate(ws)] + [word() for _ in range(40)]) for i, ws in enumerate(items)]
+    index = K.ItemIndex.build(list(range(100)), [h(w) for w in items])
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(docs)], names=["doc_id", "text"])
+    found = {(d, i) for out in K._search(index, 0.4)(iter([batch])) for d, i in zip(out.column(0).to_pylist(), out.column(1).to_pylist())}
+    assert found <= {(i, i) for i in range(100)} and len(found) >= 98
+
+
+def brute_share(item, doc):
+    """Word by word along every diagonal: runs of three and more equal words, chained over one or two others."""
+    covered = [False] * len(item)
+    for diagonal in range(-len(item), len(doc)):
+        same = [0 <= p + diagonal < len(doc) and item[p] == doc[p + diagonal] for p in range(len(item))]
+        starts = [p for p in range(len(item) - 2) if all(same[p : p + 3])]
+        chains = []
+        for p in starts:
+            if chains and p - chains[-1][1] <= 5:
+                chains[-1][1] = p
+            else:
+                chains.append([p, p])
+        for a, z in chains:
+            if z + 3 - a >= 8:
+                covered[a : z + 3] = [True] * (z + 3 - a)
+    return sum(covered) / len(item)
+
+
+def test_shares_equal_brute_force(monkeypatch):
+    own, h = random.Random(4), Hasher()
+    monkeypatch.setattr(K, "ALIGNED", 40)
+    for _ in range(60):
+        item = [own.choice("abcdefgh") * 2 for _ in range(own.randrange(8, 40))]
+        doc = [own.choice("abcdefgh") * 2 for _ in range(own.randrange(0, 60))] + [w if own.random() > 0.15 else "new" for w in item] + item[:12]
+        assert abs(K.covered_share(h(item), h(doc)) - brute_share(item, doc)) < 1e-9
+
+
+def test_long_items_and_one_word_over_and_over():
+    h = Hasher()
+    item = h([f"n{i % 9000}" for i in range(20_000)])
+    assert K.covered_share(item, np.concatenate([h(["x"] * 30_000), item[:9000]])) == 1.0  # the item says the same twice
+    same = h(["again"] * 3000)
+    assert K.covered_share(same, h(["again"] * 5000)) == 1.0
+
+
+def test_short_items_stand_as_a_whole(spark):
+    items = spark.createDataFrame([(1, "commit"), (2, "never force push"), (3, "rebase onto the main branch first"), (4, "?!")], "item_id bigint, text string")
+    docs = spark.createDataFrame([(1, "Commit often.", "a", 1.0), (2, "we never force-push, never", "a", 1.0), (3, "rebase onto the old main branch first", "a", 1.0), (4, "Rebase onto the main branch FIRST", "a", 1.0), (5, "", "a", 1.0)], DOCS)
+    assert {(r.doc_id, r.item_id, r.share) for r in K.leaked_items(docs, items).collect()} == {(1, 1, 1.0), (2, 2, 1.0), (4, 3, 1.0)}
+
+
 def test_a_changed_word_in_every_sixth_place(spark):
     own = random.Random(11)
     word = lambda: f"v{own.randrange(10**6)}"
