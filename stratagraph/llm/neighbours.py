@@ -1,9 +1,11 @@
 """The k most similar vectors of every vector: a hierarchical k-means tree searched best bin first.
 
-The tree is fitted on a bounded sample (``SAMPLE`` rows); every vector is then put into its leaf and sent,
-packed, to the few leaves its best-bin-first search visits. How many leaves are visited is widened until
-the recall against brute force, measured with ``PROBES`` queries over all rows, reaches the target. Where
-these have too few neighbours to measure it, more are drawn; where the whole sample has, all leaves are visited.
+The tree grows level by level: the top is fitted on a bounded sample (``SAMPLE`` rows) on the driver, then every leaf
+that would still hold more than ``leaf_rows`` vectors is split on the executors by k-means over a bounded sample of
+its own (``SUB_SAMPLE`` rows), until leaves have their size. Every vector is put into its leaf and sent, packed, to
+the few leaves its best-bin-first search visits. How many leaves are visited is widened until the recall against
+brute force, measured with ``PROBES`` queries from outside the fitting sample over all rows, reaches the target.
+Where these have too few neighbours to measure it, more are drawn; where all drawn ones have, all leaves are visited.
 """
 
 from __future__ import annotations
@@ -23,6 +25,10 @@ from stratagraph.session import Scratch
 
 #: Bounds of what is fitted and measured on the driver: vectors of the fitting sample, calibration queries drawn at first.
 SAMPLE, PROBES = 16_384, 512
+#: Vectors that one leaf is split with, and how many of a sample a leaf stands on at least.
+SUB_SAMPLE, LEAST = 8_192, 64
+#: Leaves up to which the tree grows (its centroids, 1.5 KB each, go to every executor); beyond 330 million vectors leaves grow instead.
+MAX_LEAVES = 65_536
 #: Vectors that a leaf should hold, and the most that one task compares at once (larger leaves are split).
 LEAF_ROWS, CELL_ROWS = 5_000, 16_384
 BRANCHES, ROUNDS = 16, 8
@@ -47,43 +53,78 @@ class Tree:
     root: tuple[int, int]
     leaf_of: np.ndarray = field(default_factory=lambda: np.empty(0, np.int64))
 
+    reach: int = 0
+
     @property
     def leaves(self) -> int:
         return int((self.count == 0).sum())
 
+    @property
+    def levels(self) -> int:
+        depth = np.ones(len(self.count), np.int64)
+        for i in range(len(self.count)):  # children come behind their parent
+            depth[self.first[i] : self.first[i] + self.count[i]] = depth[i] + 1
+        return int(depth.max()) if len(depth) else 0
+
     def visit(self, x: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarray]:
-        """The ``wanted`` leaves of each row of ``x`` with the most similar centroids, of the first LOOK or more
-        that a best-bin-first search reaches, and how much less similar each centroid is than the first.
+        """The ``wanted`` leaves of each row of ``x`` with the most similar centroids, of the first ``reach`` or more
+        that a best-bin-first search comes to, and how much less similar each centroid is than the first.
 
         Every query holds a priority queue of nodes by cosine; the best is taken out, an inner node puts its
-        children in, a leaf is visited. All queries advance together; queues are rows of one matrix.
+        children in, a leaf is visited. All queries advance together; queues are rows of one matrix that
+        widens as nodes are opened.
         """
-        given, wanted = min(wanted, self.leaves), min(max(wanted, LOOK), self.leaves)
+        given, wanted = min(wanted, self.leaves), min(max(wanted, self.reach or LOOK), self.leaves)
         out, score = np.full((len(x), wanted), -1, np.int64), np.zeros((len(x), wanted), np.float32)
+        lo, n = self.root
         for a in range(0, len(x), 1024):
             q = x[a : a + 1024]
-            queue = np.full((len(q), len(self.centroids)), -np.inf, np.float32)
-            lo, n = self.root
-            queue[:, lo : lo + n] = q @ self.centroids[lo : lo + n].T
-            seen, rows = np.zeros(len(q), np.int64), np.arange(len(q))
+            width = n + 8 * BRANCHES
+            ids, queue = np.zeros((len(q), width), np.int32), np.full((len(q), width), -np.inf, np.float32)
+            ids[:, :n], queue[:, :n] = np.arange(lo, lo + n), q @ self.centroids[lo : lo + n].T
+            seen, used, rows = np.zeros(len(q), np.int64), np.full(len(q), n), np.arange(len(q))
             while len(rows):
-                best = queue[rows].argmax(1)
-                value = queue[rows, best]
-                queue[rows, best] = -np.inf
+                slot = queue[rows, : used.max()].argmax(1)
+                value, best = queue[rows, slot], ids[rows, slot]
+                queue[rows, slot] = -np.inf
                 leaf = self.count[best] == 0
                 at = rows[leaf]
                 out[a + at, seen[at]], score[a + at, seen[at]] = self.leaf_of[best[leaf]], value[leaf]
                 seen[at] += 1
                 inner, opened = rows[~leaf], best[~leaf]
-                for node in np.unique(opened):
-                    who = inner[opened == node]
-                    lo, n = self.first[node], self.count[node]
-                    queue[who, lo : lo + n] = q[who] @ self.centroids[lo : lo + n].T
+                if len(inner) and (used[inner] + self.count[opened]).max() > queue.shape[1]:
+                    more = queue.shape[1]
+                    ids, queue = np.pad(ids, ((0, 0), (0, more))), np.pad(queue, ((0, 0), (0, more)), constant_values=-np.inf)
+                by = np.argsort(opened, kind="stable")
+                inner, opened = inner[by], opened[by]
+                edge = np.append(np.flatnonzero(np.append(True, opened[1:] != opened[:-1])), len(opened)) if len(opened) else ()
+                for i, j in zip(edge[:-1], edge[1:]):
+                    who, child, m = inner[i:j], self.first[opened[i]], self.count[opened[i]]
+                    place = used[who][:, None] + np.arange(m)
+                    ids[who[:, None], place], queue[who[:, None], place] = np.arange(child, child + m), q[who] @ self.centroids[child : child + m].T
+                    used[who] += m
                 rows = rows[seen[rows] < wanted]
         rank = np.argsort(-score, axis=1, kind="stable")[:, :given]
         out, score = np.take_along_axis(out, rank, 1), np.take_along_axis(score, rank, 1)
         return out, score[:, :1] - score
 
+    def graft(self, below: dict[int, Tree]) -> Tree:
+        """This tree with its leaves, by number, opened into the trees of ``below``; leaves are numbered anew."""
+        centroids, first, count, at = [self.centroids], self.first.copy(), self.count.copy(), len(self.centroids)
+        firsts, counts, node_of = [first], [count], np.flatnonzero(self.count == 0)
+        for leaf, tree in sorted(below.items()):
+            first[node_of[leaf]], count[node_of[leaf]] = at + tree.root[0], tree.root[1]
+            centroids.append(tree.centroids)
+            firsts.append(np.where(tree.count > 0, tree.first + at, 0))
+            counts.append(tree.count)
+            at += len(tree.centroids)
+        return _numbered(Tree(np.concatenate(centroids), np.concatenate(firsts), np.concatenate(counts), self.root))
+
+
+def _numbered(tree: Tree) -> Tree:
+    tree.leaf_of = np.cumsum(tree.count == 0) - 1
+    return tree
+
 
 def _means(x: np.ndarray, k: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray]:
     """Spherical k-means: centroids of non-empty clusters and each row's cluster."""
@@ -121,9 +162,84 @@ def fit_tree(sample: np.ndarray, leaf_size: int, seed: int = 7) -> Tree:
             first.append(0)
             count.append(0)
             todo.append((span[0] + j, rows[near == j]))
-    tree = Tree(np.array(centroids, np.float32), np.array(first), np.array(count), root)
-    tree.leaf_of = np.cumsum(tree.count == 0) - 1
-    return tree
+    return _numbered(Tree(np.array(centroids, np.float32), np.array(first), np.array(count), root))
+
+
+def _own(tree: Tree, limits: np.ndarray, width: int):
+    """The vectors that leaves are split with: those of each leaf whose key lies under the leaf's limit."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, x = _usable(batch, width)
+            if not len(x):
+                continue
+            leaf = tree.visit(_unit(x), 1)[0][:, 0]
+            here = _drawn(rows.column("key").to_numpy()) < limits[leaf]
+            if here.any():
+                yield pa.RecordBatch.from_arrays([pa.array(leaf[here]), pa.array([v.tobytes() for v in _unit(x[here])], pa.binary())], names=["leaf", "x"])
+
+    return run
+
+
+def _split(sizes: dict[int, int], width: int):
+    """Over rows sorted by leaf: a tree for every leaf, as arrays; a leaf that can't be split has none."""
+
+    def fit(leaf: int, held: list[bytes]) -> pa.RecordBatch | None:
+        tree = fit_tree(np.frombuffer(b"".join(held), np.float32).reshape(-1, width), max(2, math.ceil(len(held) / sizes[leaf])))
+        if len(tree.centroids) < 2:
+            return None
+        parts = [tree.centroids.tobytes(), tree.first.astype(np.int64).tobytes(), tree.count.astype(np.int64).tobytes(), np.array(tree.root, np.int64).tobytes()]
+        return pa.RecordBatch.from_arrays([pa.array([leaf], pa.int64()), *[pa.array([p], pa.binary()) for p in parts]], names=["leaf", "centroids", "first", "count", "root"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        here, held = None, []
+        for batch in batches:
+            for leaf, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if leaf != here:
+                    if held and (made := fit(here, held)) is not None:
+                        yield made
+                    here, held = leaf, []
+                held.append(x)
+        if held and (made := fit(here, held)) is not None:
+            yield made
+
+    return run
+
+
+def _drawn(key: np.ndarray) -> np.ndarray:
+    """A number in [0, 1) by key: what decides about being drawn; probes are drawn from its upper end, samples from its lower."""
+    return (key.view(np.uint64) >> np.uint64(11)).astype(np.float64) / float(1 << 53)
+
+
+def _grow(vectors: DataFrame, tree: Tree, expected: np.ndarray, leaf_rows: int, width: int) -> tuple[Tree, np.ndarray]:
+    """Split every leaf expected to hold more than ``leaf_rows``, round by round; the tree and the expected rows of its leaves."""
+    spark, whole = vectors.sparkSession, np.zeros(len(expected), bool)  # leaves that can't be split, as they hold copies
+    of = lambda b: np.frombuffer(b, np.int64)
+    while True:
+        wanted = np.where(whole | (expected <= 1.5 * leaf_rows), 1, np.clip(np.ceil(expected / leaf_rows), 1, SUB_SAMPLE // LEAST)).astype(np.int64)
+        room = MAX_LEAVES - tree.leaves
+        for leaf in np.argsort(-expected):  # the largest first, as far as there is room
+            wanted[leaf] = min(wanted[leaf], room + 1)
+            room -= wanted[leaf] - 1
+        opened = np.flatnonzero(wanted > 1)
+        if not len(opened):
+            return tree, expected
+        limits = np.zeros(tree.leaves)
+        limits[opened] = SUB_SAMPLE / expected[opened]
+        drawn = vectors.mapInArrow(_own(tree, limits, width), "leaf bigint, x binary")
+        tasks = min(len(opened), 4 * spark.sparkContext.defaultParallelism)
+        made = drawn.repartition(tasks, "leaf").sortWithinPartitions("leaf").mapInArrow(_split({int(i): int(wanted[i]) for i in opened}, width), "leaf bigint, centroids binary, first binary, count binary, root binary").collect()  # at most MAX_LEAVES centroids
+        below = {r["leaf"]: Tree(np.frombuffer(r["centroids"], np.float32).reshape(-1, width), of(r["first"]), of(r["count"]), tuple(of(r["root"]).tolist())) for r in made}
+        old, tree = np.flatnonzero(tree.count == 0), tree.graft(below)
+        came = np.full(len(tree.count), -1)
+        came[old] = np.arange(len(old))
+        for i in np.flatnonzero(tree.count):
+            if came[i] >= 0:
+                came[tree.first[i] : tree.first[i] + tree.count[i]] = came[i]
+        leaves = came[tree.count == 0]
+        several = np.bincount(leaves, minlength=len(old))
+        whole = whole[leaves] | (np.isin(leaves, opened) & (several[leaves] == 1))
+        expected = expected[leaves] / several[leaves]  # the parts of a leaf are even by its sample
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -152,7 +268,7 @@ def _unpack(packed: bytes, width: int) -> np.ndarray:
 
 def _vectors(df: DataFrame, width: int) -> DataFrame:
     return df.where(F.size("embedding") == width).where("node_id IS NOT NULL AND chunk_id IS NOT NULL").select(
-        "node_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding", F.xxhash64("node_id").alias("same"), F.xxhash64("node_id", "chunk_id").alias("key"),
+        "node_id", F.col("chunk_id").cast("bigint").alias("chunk_id"), "embedding", F.xxhash64("node_id").alias("same"), F.xxhash64("node_id", F.col("chunk_id").cast("bigint")).alias("key"),
         F.xxhash64("embedding").alias("h1"), F.xxhash64(F.lit(1), "embedding").alias("h2"),
     )
 
@@ -212,7 +328,8 @@ def _probe(tree: Tree, probes: np.ndarray, same: np.ndarray, k: int, floor: floa
             rows, x = _usable(batch, width)
             if not len(x):
                 continue
-            x = _unit(x)
+            once = np.unique(rows.column("key").to_numpy(), return_index=True)[1]  # repeated rows would crowd out others
+            rows, x = rows.take(pa.array(once)), _unit(x[once])
             for a in range(0, len(probes), PROBES):
                 sims = probes[a : a + PROBES] @ x.T
                 sims[same[a : a + PROBES, None] == rows.column("same").to_numpy()[None, :]] = -2
@@ -363,55 +480,67 @@ class Index:
     mean_visits: float = 1.0
 
 
-def fit_index(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, target: float = TARGET_RECALL) -> Index | None:
-    """Fit the tree on the sample and calibrate the number of visits; None if there is no usable vector."""
-    rows = df.count()
-    vectors = _vectors(df, width).drop("h1", "h2")
-    share = min(1.0, SAMPLE / max(rows, 1))
-    chosen = vectors.where(F.pmod("key", F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
-    table = chosen.toArrow().combine_chunks()
-    if not table.num_rows:
-        table = vectors.limit(1).toArrow().combine_chunks()
+def _draw(vectors: DataFrame, rows: int, number: int, top: bool, width: int) -> tuple[pa.RecordBatch, np.ndarray] | None:
+    """About ``number`` usable rows by hash of their key, from the lower or the upper end of ``_drawn``; None if there are none."""
+    share, at = min(1.0, number / max(rows, 1)), F.shiftrightunsigned("key", 11) / F.lit(float(1 << 53))
+    table = vectors.where(at >= 1 - share if top else at < share).toArrow().combine_chunks()
     if not table.num_rows:
         return None
     kept, x = _usable(table.to_batches(max_chunksize=table.num_rows)[0], width)
-    if not len(x):
-        x = np.eye(1, width, dtype=np.float32)  # no usable vector in the sample: one leaf for all
-    sample = _unit(x)
-    leaf_size = max(8, round(LEAF_ROWS * len(sample) / max(rows, 1)))
-    tree = fit_tree(sample, leaf_size)
-    filled = np.bincount(tree.visit(sample, 1)[0][:, 0], minlength=tree.leaves)
-    splits = np.maximum(1, np.ceil(filled / len(sample) * rows / CELL_ROWS)).astype(np.int64)
-    if not kept.num_rows or tree.leaves == 1:
+    return (kept, _unit(x)) if len(x) else None
+
+
+def fit_index(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, target: float = TARGET_RECALL, leaf_rows: int | None = None) -> Index | None:
+    """Fit the tree level by level and calibrate the number of visits; None if there is no usable vector."""
+    rows, leaf_rows = df.count(), leaf_rows or LEAF_ROWS
+    vectors = _vectors(df, width).drop("h1", "h2")
+    got = _draw(vectors, rows, SAMPLE, False, width)
+    if got is None and not vectors.head(1):
+        return None
+    kept, sample = got or (None, np.eye(1, width, dtype=np.float32))  # no usable vector in the sample: one leaf for all
+    # a leaf of the top stands on LEAST vectors of the sample at least
+    tree = fit_tree(sample, max(8 if rows <= SAMPLE else LEAST, round(leaf_rows * len(sample) / max(rows, 1))))
+    expected = np.bincount(tree.visit(sample, 1)[0][:, 0], minlength=tree.leaves) / len(sample) * rows
+    if kept is not None and rows > SAMPLE:
+        tree, expected = _grow(vectors, tree, expected, leaf_rows, width)
+    splits = np.maximum(1, np.ceil(expected / CELL_ROWS)).astype(np.int64)
+    if kept is None or tree.leaves == 1:
         return Index(tree, splits, rows)
+    asked = _draw(vectors, rows, 8 * PROBES, True, width) or got
     # a key is a hash, so the probes come from everywhere in the table; repeated rows are drawn once
-    drawn = np.unique(kept.column("key").to_numpy(), return_index=True)[1]
+    drawn = np.unique(asked[0].column("key").to_numpy(), return_index=True)[1][: max(8 * PROBES, SAMPLE)]
     enough = math.ceil(1 / max(1 - target, 1e-9))  # fewer neighbours can't show a miss of 1 - target
     place = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("similarity"), "key"))
-    rank, gap, a, size = np.empty(0, np.int64), np.empty(0, np.float32), 0, PROBES
-    while a < len(drawn) and len(rank) < enough:
+    pairs, a, size = [], 0, PROBES
+    while a < len(drawn) and len(pairs) < enough:
         now = drawn[a : a + size]
-        hits = vectors.mapInArrow(_probe(tree, sample[now], kept.column("same").to_numpy()[now], k, floor, width), "probe bigint, similarity double, leaf bigint, key bigint").distinct()
+        hits = vectors.mapInArrow(_probe(tree, asked[1][now], asked[0].column("same").to_numpy()[now], k, floor, width), "probe bigint, similarity double, leaf bigint, key bigint").distinct()
         best = hits.withColumn("place", place).where(F.col("place") <= k).select("probe", "leaf").collect()  # at most k a probe
-        if best:
-            who, at = np.unique([r["probe"] for r in best], return_inverse=True)
-            order, gaps = tree.visit(sample[now[who]], tree.leaves)
-            ranks = np.argsort(order, axis=1)[at, [r["leaf"] for r in best]]
-            rank, gap = np.append(rank, ranks), np.append(gap, gaps[at, ranks])
+        pairs += [(now[r["probe"]], r["leaf"]) for r in best]
         a, size = a + len(now), 4 * size
-    if len(rank) < enough:
+    if len(pairs) < enough:
         return Index(tree, splits, rows, tree.leaves, math.inf, 1.0, float(tree.leaves))  # too little to calibrate on: compare all
+    who, at = np.unique([p for p, _ in pairs], return_inverse=True)
+    leaf = np.array([x for _, x in pairs])
     # the visits alone reach somewhat more than the target, the margin then takes back what is above it
-    more = target + 0.5 * (1 - target)
-    visits = next((v for v in range(1, tree.leaves + 1) if (rank < v).mean() >= more), tree.leaves)
-    inside = np.sort(gap[rank < visits])
+    more, tree.reach = target + 0.5 * (1 - target), min(LOOK, tree.leaves)
+    while True:
+        order, gaps = tree.visit(asked[1][who], tree.reach)
+        hit = order[at] == leaf[:, None]
+        found, rank = hit.any(1), hit.argmax(1)
+        if found.mean() >= more or tree.reach >= tree.leaves:
+            break
+        tree.reach = min(2 * tree.reach, tree.leaves)  # widen: the search goes on through its queue
+    visits = next((v for v in range(1, tree.reach + 1) if (found & (rank < v)).mean() >= more), tree.reach)
+    gap = gaps[at, rank]
+    inside = np.sort(gap[found & (rank < visits)])
     margin = float(inside[min(len(inside), math.ceil(target * len(gap))) - 1]) + 1e-6
-    found = (rank < visits) & (gap <= margin)
-    gaps = tree.visit(sample[drawn[:PROBES]], visits)[1]
-    return Index(tree, splits, rows, visits, margin, float(found.mean()), float((gaps <= margin).sum(1).mean()))
+    reached = found & (rank < visits) & (gap <= margin)
+    gaps = tree.visit(asked[1][drawn[:PROBES]], visits)[1]
+    return Index(tree, splits, rows, visits, margin, float(reached.mean()), float((gaps <= margin).sum(1).mean()))
 
 
-def nearest(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, target: float = TARGET_RECALL, index: Index | None = None) -> DataFrame:
+def nearest(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, target: float = TARGET_RECALL, index: Index | None = None, leaf_rows: int | None = None) -> DataFrame:
     """(node_a, chunk_a, node_b, chunk_b, similarity): the k most similar vectors of other nodes, of every vector.
 
     Only neighbours of a cosine of at least ``floor`` are given, and the recall is calibrated on these.
@@ -421,7 +550,7 @@ def nearest(df: DataFrame, k: int = 10, floor: float = -1.0, width: int = 384, t
     through the search once and get their neighbours afterwards. A leaf that holds many rows is split into cells, each compared
     with all queries of the leaf, so no task gathers it. An empty table gives an empty result.
     """
-    index = index or fit_index(df, k, floor, width, target)
+    index = index or fit_index(df, k, floor, width, target, leaf_rows)
     if index is None:
         return df.sparkSession.createDataFrame([], FOUND)
     spark = df.sparkSession
@@ -445,3 +574,27 @@ def similar_pairs(df: DataFrame, k: int = 10, floor: float = 0.6, width: int = 3
     turned = F.col("node_a") > F.col("node_b")
     pick = lambda a, b, c: F.when(turned, F.col(b)).otherwise(F.col(a)).alias(c)
     return near.select(pick("node_a", "node_b", "node_a"), pick("chunk_a", "chunk_b", "chunk_a"), pick("node_b", "node_a", "node_b"), pick("chunk_b", "chunk_a", "chunk_b")).distinct()
+
+
+def measured_recall(df: DataFrame, queries: int = 512, k: int = 10, floor: float = 0.6, width: int = 384, leaf_rows: int = 256, least: float = 0.95) -> DataFrame:
+    """(queries, pairs, reached): the neighbours at ``floor`` or above that brute force over all rows finds for a fixed
+    number of queries, and whether a search through leaves of ``leaf_rows`` finds the share ``least`` of them.
+
+    The queries are the keys of the smallest SHA-256; they and their neighbours are bounded by ``queries`` and ``k``.
+    """
+    key = F.sha2(F.concat_ws(":", "node_id", "chunk_id"), 256)
+    vectors = _vectors(df, width)
+    usable = F.exists("embedding", lambda x: x != 0) & F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    asked = vectors.where(usable).select("node_id", "chunk_id", "embedding", "same", key.alias("sha")).distinct().orderBy("sha").limit(queries).toArrow().combine_chunks()
+    spark = df.sparkSession
+    if not asked.num_rows:
+        return spark.createDataFrame([(0, 0, True)], "queries bigint, pairs bigint, reached boolean")
+    x = _unit(asked.column("embedding").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, width))
+    one = _numbered(Tree(np.zeros((1, width), np.float32), np.zeros(1, np.int64), np.zeros(1, np.int64), (0, 1)))
+    hits = vectors.drop("h1", "h2").mapInArrow(_probe(one, x, asked.column("same").to_numpy(), k, floor - 1e-6, width), "probe bigint, similarity double, leaf bigint, key bigint")
+    place = F.row_number().over(W.partitionBy("probe").orderBy(F.desc("similarity"), "key"))
+    true = hits.select("probe", "similarity", "key").distinct().withColumn("place", place).where(F.col("place") <= k).select("probe", "key")
+    number = spark.createDataFrame([(n, c, i) for i, (n, c) in enumerate(zip(asked.column("node_id").to_pylist(), asked.column("chunk_id").to_pylist()))], "node_a string, chunk_a bigint, probe bigint")
+    near = nearest(df, k, floor, width, leaf_rows=leaf_rows).join(F.broadcast(number), ["node_a", "chunk_a"]).select("probe", F.xxhash64("node_b", "chunk_b").alias("key"), F.lit(1).alias("found"))
+    both = true.join(near, ["probe", "key"], "left").agg(F.count("*").alias("pairs"), F.count("found").alias("found"))
+    return both.select(F.lit(asked.num_rows).cast("bigint").alias("queries"), "pairs", (F.col("found") >= least * F.col("pairs")).alias("reached"))

@@ -10,7 +10,7 @@ from stratagraph.llm.labelled import SPELLINGS
 from stratagraph.llm.leakage import leaked_items
 from stratagraph.llm.mixing import mixture, shares
 from stratagraph.llm.names import identities, same_author_pairs
-from stratagraph.llm.neighbours import similar_pairs
+from stratagraph.llm.neighbours import fit_index, measured_recall, similar_pairs
 from stratagraph.llm.repetition import repeated_documents
 from stratagraph.llm.sql import SQL  # noqa: F401 - read by the driver contract
 
@@ -32,6 +32,18 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(_t(spark, sf_dir, "node_vectors"))
 
 
+def p3_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The recall of a search through small leaves, in several levels, against brute force over all rows."""
+    return measured_recall(_t(spark, sf_dir, "node_vectors"))
+
+
+def p3_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of ``p3_found``: its leaves and levels, how many a search visits, and the recall calibrated."""
+    i = fit_index(_t(spark, sf_dir, "node_vectors"), 10, 0.6)
+    row = (i.tree.leaves, i.tree.levels, i.visits, i.mean_visits, i.recall) if i else (0, 0, 0, 0.0, 1.0)
+    return spark.createDataFrame([row], "leaves bigint, levels bigint, visits bigint, mean_visits double, recall double")
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same_author_pairs(_t(spark, sf_dir, "authors"))
 
@@ -62,4 +74,4 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_documents(_t(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p4_found, p4_identities, p4_labelled, p7_found, p8_mixture, p8_shares, p9_found)}
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_recall, p3_index, p4_found, p4_identities, p4_labelled, p7_found, p8_mixture, p8_shares, p9_found)}

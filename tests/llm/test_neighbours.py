@@ -111,6 +111,22 @@ def test_best_bin_first_reaches_every_leaf_once():
     assert copies.leaves == 1
 
 
+def test_levels_are_grown_on_samples_of_their_own(spark, monkeypatch):
+    """A top of few leaves on a small sample, split on the executors; a leaf of copies stays whole."""
+    for name, value in (("SAMPLE", 256), ("SUB_SAMPLE", 128), ("LEAST", 16), ("CELL_ROWS", 200)):
+        monkeypatch.setattr(N, name, value)
+    data = rows(3000, 150)
+    df = spark.createDataFrame(data, SCHEMA)
+    index = N.fit_index(df, 5, 0.6, WIDTH, leaf_rows=30)
+    assert index.tree.leaves > 60 and index.tree.levels > 1 and index.recall >= 0.99
+    order, _ = index.tree.visit(N._unit(np.random.default_rng(1).normal(size=(20, WIDTH))), index.tree.leaves)
+    assert all(sorted(o) == list(range(index.tree.leaves)) for o in order)
+    want, found = as_pairs(brute(data, 5, 0.6)), got(N.nearest(df, 5, 0.6, WIDTH, index=index))
+    assert len(found & want) >= 0.97 * len(want)
+    same = spark.createDataFrame([(f"n{i}", 0, "S", [1.0] * WIDTH, "k", 1) for i in range(600)], SCHEMA)
+    assert N.fit_index(same, 5, 0.6, WIDTH, leaf_rows=30).tree.leaves == 1
+
+
 def rare(pairs, n=1500, seed=4):
     """``n`` vectors without a neighbour at 0.93, then ``pairs`` pairs of neighbours, at the end of the table."""
     rng, out = np.random.default_rng(seed), []
