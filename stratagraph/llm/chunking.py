@@ -126,10 +126,22 @@ def split_texts(df: DataFrame, key: str, text: str, limit: int = 1000, overlap:
 
 
 def split_long(df: DataFrame, key: str, text: str, limit: int = 1000, overlap: int = 100) -> DataFrame:
-    """The pieces of the texts longer than ``limit`` only."""
-    return split_texts(df.where(F.char_length(text) > limit), key, text, limit, overlap)
+    """The pieces of the texts longer than ``limit`` only; as ``split_texts``, without its branch for short ones."""
+    from pyspark.sql.pandas.types import to_arrow_type
 
+    if not 0 <= 2 * overlap < limit:
+        raise ValueError("overlap must be less than half of limit")
+    rows = df.select(F.col(key).alias("key"), F.col(text).alias("__text")).where(F.char_length("__text") > limit)
+    key_type = rows.schema["key"].dataType
+    return rows.mapInArrow(_pieces(limit, overlap, to_arrow_type(key_type), None), f"key {key_type.simpleString()}, {PIECES}")
 
-def present_messages(commits: DataFrame) -> DataFrame:
-    """(commit_id, message) of the present commits: per id the row scanned last."""
-    return commits.where("id IS NOT NULL").groupBy(F.col("id").alias("commit_id")).agg(F.max_by(F.struct("message"), F.struct("scanned_at", "message")).alias("c")).select("commit_id", "c.message")
+
+def present_messages(commits: DataFrame, longer: int = -1) -> DataFrame:
+    """(commit_id, message) of the present commits: per id the row scanned last.
+
+    Messages of at most ``longer`` characters come out as null: they decide which row counts, but do not travel.
+    Rows scanned at the same time, which should not be, are told apart by their message's hash, nulls first.
+    """
+    told = F.when(F.col("message").isNotNull(), F.xxhash64("message"))
+    kept = F.when(F.char_length("message") > longer, F.col("message"))
+    return commits.where("id IS NOT NULL").groupBy(F.col("id").alias("commit_id")).agg(F.max_by(F.struct(kept.alias("message")), F.struct("scanned_at", told)).alias("c")).select("commit_id", "c.message")

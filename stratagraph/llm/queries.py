@@ -11,23 +11,35 @@ from stratagraph.llm.leakage import leaked_items
 from stratagraph.llm.mixing import mixture, shares
 from stratagraph.llm.names import identities, same_author_pairs
 from stratagraph.llm.neighbours import fit_index, measured_recall, similar_pairs
-from stratagraph.llm.repetition import repeated_documents
+from stratagraph.llm.repetition import outlying_documents, repeated_documents, statistics
 from stratagraph.llm.sql import SQL  # noqa: F401 - read by the driver contract
 
 
+#: Characters above which a message is cut.
+LIMIT = 1_000
+
+
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def p2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return split_long(present_messages(_t(spark, sf_dir, "commits")), "commit_id", "message").select(F.col("key").alias("commit_id"), "chunk_id", "start", "stop", "piece", "hard_cut")
+    return split_long(present_messages(_t(spark, sf_dir, "commits"), LIMIT), "commit_id", "message", LIMIT).select(F.col("key").alias("commit_id"), "chunk_id", "start", "stop", "piece", "hard_cut")
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = split_long(present_messages(_t(spark, sf_dir, "commits")), "commit_id", "message")
+    pieces = split_long(present_messages(_t(spark, sf_dir, "commits"), LIMIT), "commit_id", "message", LIMIT)
     return pieces.where("chunk_id = 0").select(F.col("key").alias("commit_id"), F.col("forced").cast("bigint").alias("forced"))
 
 
+def p2_rebuilt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The messages put together again from their pieces without the overlaps, and whether all pieces keep the limit."""
+    pieces = split_long(present_messages(_t(spark, sf_dir, "commits"), LIMIT), "commit_id", "message", LIMIT)
+    rest = F.when(F.col("chunk_id") == 0, F.col("piece")).otherwise(F.expr("substring(piece, 101)"))
+    whole = pieces.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("chunk_id", rest.alias("rest")))).alias("p"), F.max(F.char_length("piece")).alias("longest"))  # the pieces of one message
+    return whole.select(F.col("key").alias("commit_id"), F.sha2(F.concat_ws("", "p.rest"), 256).alias("digest"), (F.col("longest") <= LIMIT).alias("within"))
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar_pairs(_t(spark, sf_dir, "node_vectors"))
 
@@ -74,4 +86,14 @@ def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_documents(_t(spark, sf_dir, "documents")).select("doc_id")
 
 
-QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p3_found, p3_recall, p3_index, p4_found, p4_identities, p4_labelled, p7_found, p8_mixture, p8_shares, p9_found)}
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated share of every document."""
+    return statistics(_t(spark, sf_dir, "documents")).select("doc_id", "words", F.round("run_share", 6).alias("share"))
+
+
+def p9_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that the robust distance rejects, whatever their repeated share: also those of repeated lines, sentences and words."""
+    return outlying_documents(_t(spark, sf_dir, "documents")).select("doc_id", "lang", "source", F.round("run_share", 6).alias("share"), F.round("d2", 3).alias("d2"))
+
+
+QUERIES = {f.__name__: f for f in (p2_found, p2_pieces, p2_rebuilt, p3_found, p3_recall, p3_index, p4_found, p4_identities, p4_labelled, p7_found, p8_mixture, p8_shares, p9_found, p9_shares, p9_outliers)}

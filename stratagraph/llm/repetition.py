@@ -157,26 +157,45 @@ def robust_fits(stats: DataFrame) -> dict:
     return {k: (m, inverse / max(1.0, middle[k] / MEDIAN)) for k, (m, inverse) in fits.items()}
 
 
-def repeated_documents(docs: DataFrame, least: float = 0.3) -> DataFrame:
-    """(doc_id, run_share, d2): the documents rejected as outliers whose exact repeated share is ``least`` or more.
-
-    A group whose own scatter or centre reaches ``least`` cannot single out its repeating documents; all of
-    them count as rejected there, so none is lost. Null texts and texts without words have share 0;
-    repeated rows are reported once per row. Unknown sources form one group, unknown languages another.
-    """
+def _rejected(docs: DataFrame, least: float) -> tuple[DataFrame, bool]:
+    """The rows with their distance, their group's verdict ``open`` (it cannot single out repetition) and ``rejected``; and whether there are any."""
     scratch = Scratch(docs.sparkSession, "repetition")
     stats = scratch.write(statistics(docs).withColumn("lang_source", F.concat_ws("|", "lang", "source")), "stats")
     if not stats.head(1):
-        return stats.select("doc_id", "run_share", F.lit(0.0).alias("d2"))
+        return stats.withColumn("d2", F.lit(0.0)).withColumn("open", F.lit(False)).withColumn("rejected", F.lit(False)), False
     fits = robust_fits(stats)
-    far = _distance(stats, fits)
     mark = float(np.arcsin(np.sqrt(least)))
     # conditional on x0 alone the least distance is (x0 - m0)^2 / var(x0): a group separates if the mark lies beyond the cutoff
-    wide = [k for k, (m, inverse) in fits.items() if k is not None and (mark <= m[0] or (mark - m[0]) ** 2 / np.linalg.inv(inverse)[0, 0] <= CUTOFF)]
-    m0, i0 = fits[None]
-    default_wide = mark <= m0[0] or (mark - m0[0]) ** 2 / np.linalg.inv(i0)[0, 0] <= CUTOFF
+    separates = lambda m, inverse: mark > m[0] and (mark - m[0]) ** 2 / np.linalg.inv(inverse)[0, 0] > CUTOFF
+    named = [k for k in fits if k is not None]
+    wide = [k for k in named if not separates(*fits[k])]
     in_wide = F.col("lang_source").isin(wide) if wide else F.lit(False)
-    if default_wide:
-        in_wide = in_wide | ~F.col("lang_source").isin([k for k in fits if k is not None])
-    rejected = far.where((F.col("side") & (F.col("d2") > CUTOFF)) | in_wide)
+    if not separates(*fits[None]):
+        in_wide = in_wide | ~F.col("lang_source").isin(named)
+    return _distance(stats, fits).withColumn("open", in_wide).withColumn("rejected", F.col("d2") > CUTOFF), True
+
+
+def outlying_documents(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """(doc_id, lang, source, run_share, d2): every document whose statistics lie beyond the cutoff of its group on the repeating side of any of them.
+
+    Here the estimates alone decide, also for documents under ``least``: repeated lines, sentences and words count
+    as well as runs. Null texts and texts without words have shares of 0; repeated rows are reported once per row.
+    """
+    far, _ = _rejected(docs, least)
+    above = F.lit(False)
+    for i in range(P):
+        above = above | (F.col(X[i]) > F.col("m0") if i == 0 else F.col(X[i]) > 0)
+    return far.where("rejected").where(above).select("doc_id", "lang", "source", "run_share", "d2") if "m0" in far.columns else far.where("rejected").select("doc_id", "lang", "source", "run_share", "d2")
+
+
+def repeated_documents(docs: DataFrame, least: float = 0.3) -> DataFrame:
+    """(doc_id, run_share, d2): the documents rejected as outliers whose exact repeated share is ``least`` or more.
+
+    A group whose own scatter or centre reaches ``least`` cannot single out its repeating documents; all of
+    them count as rejected there. So the rejection keeps every document at the mark, in any group: it saves the
+    verification of the others and never decides against one. Null texts and texts without words have share 0;
+    repeated rows are reported once per row. Unknown sources form one group, unknown languages another.
+    """
+    far, any_ = _rejected(docs, least)
+    rejected = far.where((F.col("side") & F.col("rejected")) | F.col("open")) if any_ else far.where("rejected")
     return rejected.where(F.col("run_share") >= least - 1e-12).select("doc_id", "run_share", "d2")
