@@ -18,7 +18,24 @@ from stratagraph.operators import vectors as V
 from stratagraph.operators.build import ranked
 from stratagraph.operators.ingest import ingest
 from stratagraph.operators.versions import history_text
-from stratagraph.sources.gitsource import _git
+from stratagraph.sources.gitsource import _git, acquire
+
+
+CONNECTIONS = "array<struct<type:string,id:string,distance:int,attributes:string>>"
+
+
+def file_text(root: str, path: str) -> str:
+    """A file of a repository: as of HEAD, else in the working tree, else as the last commit that had it left it; empty if none has it."""
+    import os
+
+    text = _git(root, "show", f"HEAD:{path}").decode("utf-8", "replace")
+    inside = os.path.realpath(os.path.join(root, path))
+    if not text and inside.startswith(os.path.realpath(root) + os.sep) and os.path.isfile(inside):
+        with open(inside, encoding="utf-8", errors="replace") as f:
+            text = f.read()
+    if not text and (last := _git(root, "rev-list", "-1", "--diff-filter=AMR", "HEAD", "--", path).decode().strip()):
+        text = _git(root, "show", f"{last}:{path}").decode("utf-8", "replace")
+    return text
 
 
 class Engine:
@@ -30,16 +47,22 @@ class Engine:
     def graph(self) -> S.Graph:
         return self.catalog.amended() if self.catalog.state["amendments"] else self.catalog.graph()
 
-    def index(self, repositories: str, skip_bots: bool = True, vectors: bool = True, parameters: Sequence[str] = ()) -> int:
-        """Ingest a comma-separated list of local repositories; the number of nodes afterwards. Known commits are skipped."""
-        for path in filter(None, (p.strip() for p in repositories.split(","))):
+    def index(self, repositories: str, skip_bots: bool = True, vectors: bool = True, parameters: Sequence[str] = (), cache: str = "", token: str = "") -> int:
+        """Ingest a comma-separated list of local repositories, or of addresses that are cloned or pulled under ``cache``.
+
+        The number of nodes afterwards comes back. Known commits are skipped.
+        """
+        for source in filter(None, (p.strip() for p in repositories.split(","))):
+            path = acquire(source, cache, token) if cache else source
             self.catalog.append(*ingest(self.spark, path, self.catalog.graph(), skip_bots))
         self.catalog.compact()
         for nodes, edges in self.plugins.run("build", P.in_context(self.catalog.graph()), list(parameters)):
             self.catalog.append(nodes, edges)
         if vectors:
             g = self.catalog.graph()
-            self.catalog.put_embeddings(V.embed_items(V.items(g.nodes, g.edges), self.embedder))
+            new = self.catalog_cache(V.changed_items(V.items(g.nodes, g.edges), self.catalog.embedded()))
+            if new.head(1):  # what was embedded with the same text stays
+                self.catalog.put_embeddings(V.embed_items(new, self.embedder), new)
         return self.catalog.count_nodes()
 
     def vector(self, text: str) -> list[float] | None:
@@ -52,9 +75,12 @@ class Engine:
 
     def query(
         self, query: str = "", repo_name: str | None = None, depth: int = 1, traverse_types: Sequence[str] = (), exclude_types: Sequence[str] = (), semantic_only: bool = False, min_score: float = 10.0, top_n: int = 5,
-        filters: Sequence[str] = (), all_matches: bool = False, all_files: bool = False, excluded_commits: Sequence[str] = (), offset: int = 0, negative_query: str = "", plugins: bool = False, parameters: Sequence[str] = (),
+        filters: Sequence[str] = (), all_matches: bool = False, all_files: bool = False, excluded_commits: Sequence[str] = (), offset: int = 0, negative_query: str = "", plugins: bool = False, parameters: Sequence[str] = (), limit: int | None = None,
     ) -> DataFrame:
-        """(id, message, author, date, relevance, reasons, connections): the ranked commits with what lies around them."""
+        """(id, message, author, date, relevance, reasons, connections): the ranked commits with what lies around them.
+
+        Connections carry their attributes. ``limit`` shortens what is shown after ``top_n`` has been ranked and expanded.
+        """
         g, vector, away = self.graph(), self.vector(query), self.vector(negative_query)
         run = lambda g: S.search(g, query, vector, repo_name, X.parse_filters(list(filters)), semantic_only, negative_query, away, excluded_commits, min_score, top_n, offset)
         found = self.catalog_cache(run(g))
@@ -64,15 +90,17 @@ class Engine:
             g = self.graph()
             found = self.catalog_cache(run(g))
         if depth < 1:
-            return found.withColumn("connections", F.array().cast("array<struct<type:string,id:string,distance:int>>"))
+            return (found if limit is None else found.limit(limit)).withColumn("connections", F.array().cast(CONNECTIONS))
         stops = X.stop_words(self.spark)
         words, avoid = X.query_words(query, stops), X.query_words(negative_query, stops)
         near = V.top_similar(g.embeddings, vector, V.CANDIDATES).where(F.col("similarity") >= V.FLOOR) if vector else None
         far = V.top_similar(g.embeddings, away, V.CANDIDATES).where(F.col("similarity") >= V.FLOOR) if away else None
         hits = S.hits_to_commits(S.keyword_hits(g.nodes, words), g).where("type != 'COMMIT'").select(F.col("commit_id").alias("start"), F.col("node_id").alias("id")).join(found.select(F.col("id").alias("start")), "start", "left_semi") if words and not semantic_only else None
         around = E.expand(g, found, E.gates(g, words, avoid, near, far, all_files), depth, traverse_types, exclude_types, all_matches, hits)
-        grouped = around.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("type", "id", "distance"))).alias("connections"))
-        return found.join(grouped, found["id"] == grouped["start"], "left").drop("start").withColumn("connections", F.coalesce("connections", F.array().cast("array<struct<type:string,id:string,distance:int>>"))).orderBy(F.desc("relevance"), "id")
+        told = around.join(g.nodes.select("id", "type", F.to_json("attributes").alias("attributes")), ["id", "type"], "left")
+        grouped = told.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("type", "id", "distance", "attributes"))).alias("connections"))
+        page = found.join(grouped, found["id"] == grouped["start"], "left").drop("start").withColumn("connections", F.coalesce("connections", F.array().cast(CONNECTIONS))).orderBy(F.desc("relevance"), "id")
+        return page if limit is None else page.limit(limit)
 
     def catalog_cache(self, df: DataFrame) -> DataFrame:
         from stratagraph.session import Scratch
@@ -122,7 +150,7 @@ class Engine:
         id_, kind = L.resolve_for_tree(g.nodes, node)
         if kind == "FILE":
             roots = g.nodes.where("type = 'REPOSITORY'").select(F.col("attributes")["root_path"].alias("p")).where("p IS NOT NULL").collect()  # one row per indexed repository
-            source = next((s for r in roots if (s := _git(r["p"], "show", f"HEAD:{id_}").decode("utf-8", "replace"))), "")
+            source = next((s for r in roots if (s := file_text(r["p"], id_))), "")
             name = id_
         else:
             rows = V.latest_versions(g.nodes, g.edges).where(F.col("function_id") == id_) if kind == "FUNCTION" else g.nodes.where((F.col("id") == id_) & (F.col("type") == kind))

@@ -14,14 +14,14 @@ LANGUAGES = {
     ".scala": "scala", ".css": "css", ".html": "html", ".htm": "html", ".yaml": "yaml", ".yml": "yaml", ".json": "json", ".sh": "bash", ".bash": "bash", ".pl": "perl",
     ".pm": "perl", ".r": "r", ".sql": "sql", ".lua": "lua",
 }
-#: Words of the domain that are no keywords (fixed values).
+#: Words of the domain that are no keywords (fixed values), in the order of their kinds: commit verbs, then reserved words.
 DOMAIN_STOP_WORDS = (
     "use using used add added adding remove removed removing fix fixed fixing update updated updating feature feat bug issue initial commit repo repository file files "
     "test tests testing code change changes changed class def function async await return import from while for true false none null void public private protected static "
     "const var let type interface struct enum match case switch break continue yield lambda try except catch finally raise throw assert with global nonlocal del pass self cls super"
 ).split()
-#: Question and filler words dropped from a search query, next to the English stop words.
-URL = r"https?://\S+|www\.\S+"
+#: What is dropped from a text as a web address: a scheme or www, up to the next blank.
+URL = r"\b(?:https?://|www\.)[^\s]*"
 
 
 def stop_words(spark: SparkSession) -> list[str]:
@@ -87,10 +87,11 @@ def parse_parameters(parameters: list[str]) -> dict[str, dict[str, str]]:
 
 def remote(url: Column) -> Column:
     """struct<owner, repo> of an https or ssh remote; null if it is neither."""
-    clean = F.regexp_replace(F.regexp_replace(url, "/+$", ""), r"\.git$", "")
-    pattern = r"github\.com[:/]([^/:]+)/([^/]+)$"
-    owner = F.regexp_extract(clean, pattern, 1)
-    return F.when(owner != "", F.struct(owner.alias("owner"), F.regexp_extract(clean, pattern, 2).alias("repo")))
+    # the last two segments, of an address or behind a colon, where the host stands before them
+    parts = F.split(F.regexp_replace(F.trim(url), r"(?:\.git)?/*$", ""), "[/:]")
+    piece = lambda i: F.try_element_at(parts, F.lit(i))
+    known = piece(-3).rlike(r"(?:^|@)github\.com$") & (piece(-2) != "") & (piece(-1) != "")
+    return F.when(known, F.struct(piece(-2).alias("owner"), piece(-1).alias("repo")))
 
 
 def numbers(text: Column) -> Column:

@@ -13,14 +13,20 @@ from pyspark.sql import functions as F
 from stratagraph.model.merge import merge_edges, merge_nodes
 from stratagraph.model.sanitize import sanitize, sanitize_map
 from stratagraph.model.schemas import AMENDMENTS, EDGES, EMBEDDINGS, NODES
-from stratagraph.operators.changefeed import DeleteVectorTable, normalise_changes
+from stratagraph.operators.amend import replayed
+from stratagraph.operators.changefeed import normalise_changes
 from stratagraph.operators.search import Graph
 from stratagraph.operators.vectors import upsert_embeddings
+from stratagraph.session import Scratch
 
 NODE_ROWS = "id string, type string, attributes map<string,string>, seq bigint"
 EDGE_ROWS = "source_id string, target_id string, type string, weight double, attributes map<string,string>, seq bigint"
 
 
+#: Rows of one type that a file of a compacted table holds.
+FILE_ROWS = 1_000_000
+
+
 class Catalog:
     """Tables under one folder; numbered JSON files name their versions, and the highest number counts.
 
@@ -104,7 +110,11 @@ class Catalog:
         state = self.state
         for name, table in (("nodes", self.nodes()), ("edges", self.edges())):
             path = self._new(f"base_{name}")
-            table.repartition("type").write.partitionBy("type").parquet(path)
+            # a type of many rows is written by as many tasks as it fills files
+            table = Scratch(self.spark, "compact").write(table, name)
+            sizes = table.groupBy("type").count().select("type", F.ceil(F.col("count") / FILE_ROWS).cast("int").alias("files"))
+            placed = table.join(sizes, "type").withColumn("part", F.pmod(F.xxhash64("id"), F.col("files")))
+            placed.repartition("type", "part").drop("files", "part").write.partitionBy("type").parquet(path)
             state[f"base_{name}"], state[name] = path, []
         self._commit(state)
 
@@ -123,14 +133,23 @@ class Catalog:
         path = self.state["embeddings"]
         return self.spark.read.schema(EMBEDDINGS).parquet(path) if path else self.spark.createDataFrame([], EMBEDDINGS)
 
-    def put_embeddings(self, new: DataFrame) -> None:
-        """Replace the vectors of the nodes that ``new`` names."""
+    def put_embeddings(self, new: DataFrame, items: DataFrame | None = None) -> None:
+        """Replace the vectors of the nodes that ``new`` names; ``items`` (node_id, node_type, text) are what was embedded, and remembered."""
         path = self._new("embeddings")
         upsert_embeddings(self.embeddings(), new).write.parquet(path)
         state = self.state
+        if items is not None:
+            told, digests = items.select("node_id", "node_type", F.sha2("text", 256).alias("digest")), self._new("digests")
+            self.embedded().join(told.select("node_id", "node_type").distinct(), ["node_id", "node_type"], "left_anti").unionByName(told).write.parquet(digests)
+            state["digests"] = digests
         state["embeddings"] = path
         self._commit(state)
 
+    def embedded(self) -> DataFrame:
+        """(node_id, node_type, digest): the texts whose vectors are stored."""
+        path, schema = self.state.get("digests"), "node_id string, node_type string, digest string"
+        return self.spark.read.schema(schema).parquet(path) if path else self.spark.createDataFrame([], schema)
+
     def graph(self) -> Graph:
         return Graph(self.nodes(), self.edges(), self.embeddings())
 
@@ -169,26 +188,9 @@ class Catalog:
         self._commit(state)
 
     def amended(self) -> Graph:
-        """The graph with the log replayed over it: the deciding change of each entity, by time and id, is merged in or deletes it."""
+        """The graph with the log replayed over it (``operators.amend.replayed``)."""
         log = self.amendments().withColumn("received_at", F.timestamp_seconds("timestamp"))
-        table = DeleteVectorTable(self.spark)
-        changes = table.scratch.write(normalise_changes(log), "log")
-        table.apply(changes)
-        live = table.read().select("kind", "entity_type", "entity_key", "payload", "at_us")
-        attributes = F.coalesce(F.from_json(F.get_json_object("payload", "$.attributes"), "map<string,string>"), F.create_map().cast("map<string,string>"))
-        # every change that counts adds its attributes; a deleted entity loses its row, and with a node its edges
-        counted = changes.where("valid").join(changes.where("reverted").select("amendment_id").distinct(), "amendment_id", "left_anti").where("NOT deletes").dropDuplicates(["amendment_id"])
-        gone = changes.where("valid AND deletes").select("kind", "entity_type", "entity_key").distinct().join(live.select("kind", "entity_type", "entity_key"), ["kind", "entity_type", "entity_key"], "left_anti")
-        at = F.coalesce("at_us", F.lit(0)).alias("seq")
-        node_rows = counted.where("kind = 'node'").select(F.col("entity_key").alias("id"), F.col("entity_type").alias("type"), attributes.alias("attributes"), at)
-        parts = F.split("entity_key", r"\|")
-        edge_rows = counted.where("kind = 'edge'").select(parts[0].alias("source_id"), parts[1].alias("target_id"), F.col("entity_type").alias("type"), F.lit(1.0).alias("weight"), attributes.alias("attributes"), at)
-        old = F.lit(-1).cast("bigint")
-        nodes = merge_nodes(self.nodes().select("id", "type", "attributes", old.alias("seq")).unionByName(node_rows))
-        edges = merge_edges(self.edges().drop("id").withColumn("seq", old).unionByName(edge_rows))
-        dead_nodes = gone.where("kind = 'node'").select(F.col("entity_key").alias("id"), F.col("entity_type").alias("type"))
-        dead_edges = gone.where("kind = 'edge'").select(parts[0].alias("source_id"), parts[1].alias("target_id"), F.col("entity_type").alias("type"))
-        return Graph(nodes.join(dead_nodes, ["id", "type"], "left_anti"), edges.join(dead_edges, ["source_id", "target_id", "type"], "left_anti"), self.embeddings())
+        return Graph(*replayed(self.nodes(), self.edges(), normalise_changes(log)), self.embeddings())
 
     def jdbc(self, url: str, table: str, **options: str) -> DataFrame:
         """A table of another database, read in parallel if ``options`` give partitionColumn, bounds and numPartitions."""

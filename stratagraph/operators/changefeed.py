@@ -51,10 +51,11 @@ def normalise_changes(feed: DataFrame) -> DataFrame:
     alone = F.expr("doc IS NOT NULL AND try_variant_get(doc, '$[1]', 'variant') IS NULL")
     kind = F.regexp_extract("act", "^(add|update|delete)_(node|edge)$", 2)
     key = F.when(kind == "node", field("id")).when(kind == "edge", F.concat(field("source_id"), F.lit("|"), field("target_id")))
-    rows = rows.withColumn("kind", kind).withColumn("entity_key", F.when(alone, key))
+    edge_end = lambda name: F.when(alone & (kind == "edge"), field(name))
+    rows = rows.withColumn("kind", kind).withColumn("entity_key", F.when(alone, key)).withColumn("source_id", edge_end("source_id")).withColumn("target_id", edge_end("target_id"))
     return rows.select(
         F.concat_ws(SEP, "kind", F.coalesce("entity_type", F.lit("\x1e")), "entity_key").alias("entity"),
-        "kind", "entity_type", "entity_key", "amendment_id", "at_us", F.col("act").startswith("delete").alias("deletes"),
+        "kind", "entity_type", "entity_key", "source_id", "target_id", "amendment_id", "at_us", F.col("act").startswith("delete").alias("deletes"),
         F.coalesce("text", "payload").alias("payload"), "reverted", F.col("entity_key").isNotNull().alias("valid"), "received_at",
     )
 

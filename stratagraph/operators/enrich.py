@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from stratagraph.functions import text as X
 from stratagraph.operators.build import edge, node, undirected
 from stratagraph.operators.search import Graph
+from stratagraph.session import Scratch
 
 #: (commits (id, message, remote), config) to node rows and edge rows, as the builders give them.
 Enricher = Callable[[DataFrame, dict], tuple[DataFrame, DataFrame]]
@@ -40,12 +41,14 @@ class Registry:
 
     def run(self, kind: str, commits: DataFrame, parameters: list[str] | None = None) -> list[tuple[DataFrame, DataFrame]]:
         """The rows of every plugin of a kind; ``parameters`` are ``Plugin:Key=Value``."""
+        scratch = Scratch(commits.sparkSession, "plugins")
         config, out = X.parse_parameters(parameters or []), []
         for p in self.plugins.values():
             if p.kind != kind:
                 continue
-            try:
-                out.append(p.run(commits, config.get(p.name, {})))
+            try:  # rows are written here, so that a plugin that fails as it runs is caught as well
+                rows = p.run(commits, config.get(p.name, {}))
+                out.append(tuple(scratch.write(r, "rows") for r in rows))
             except Exception as e:  # noqa: BLE001 - one plugin must not stop the others
                 self.errors.append(f"{p.name}: {e}")
         return out

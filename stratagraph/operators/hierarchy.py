@@ -17,7 +17,8 @@ from pyspark.sql import functions as F
 from stratagraph.operators.prefix import exclusive_prefix_sum
 from stratagraph.session import Scratch
 
-SIBLING_BUCKETS = 64
+#: Children that one bucket of a parent should hold, and the most buckets of one parent.
+SIBLINGS, MAX_BUCKETS = 100_000, 4_096
 MAX_DOUBLINGS = 62
 
 
@@ -52,15 +53,20 @@ class Hierarchy:
         tree = self.nodes.where(~F.col("on_loop"))
         wanted = tree.join(ids.select("id").distinct(), "id", "left_semi").select("id", "root_id", "lo")
         pieces = tree.select(F.col("id").alias("ancestor_id"), "root_id", "depth", F.explode(dyadic("lo", "hi")).alias("p")).select("ancestor_id", "root_id", "depth", "p.*")
-        stabs = wanted.select("id", "root_id", "lo", F.explode(F.sequence(F.lit(0), F.lit(DYADIC_LEVELS))).alias("level")).withColumn("cell", F.expr("shiftright(lo, level)"))
+        stabs = self._stabs(wanted)
         return stabs.join(pieces, ["root_id", "level", "cell"]).select("id", "ancestor_id", "depth")
 
+    def _stabs(self, rows: DataFrame) -> DataFrame:
+        """A row for the cell that ``lo`` lies in, on each level up to that of its whole tree."""
+        sizes = self.nodes.where("parent_id IS NULL AND NOT on_loop").select("root_id", F.ceil(F.log2("hi")).cast("int").alias("top"))
+        return rows.join(sizes, "root_id").withColumn("level", F.explode(F.sequence(F.lit(0), F.col("top")))).withColumn("cell", F.expr("shiftright(lo, level)")).drop("top")
+
     def descendants(self, ids: DataFrame) -> DataFrame:
         """(id, descendant_id, depth) for every id of ``ids``, the node itself excluded; ranges as in ``ancestors``."""
         tree = self.nodes.where(~F.col("on_loop"))
         wanted = tree.join(ids.select("id").distinct(), "id", "left_semi")
         pieces = wanted.select("id", "root_id", F.explode(dyadic("lo", "hi")).alias("p")).select("id", "root_id", "p.*")
-        below = tree.join(wanted.select("root_id").distinct(), "root_id", "left_semi").select(F.col("id").alias("descendant_id"), "root_id", "depth", "lo", F.explode(F.sequence(F.lit(0), F.lit(DYADIC_LEVELS))).alias("level")).withColumn("cell", F.expr("shiftright(lo, level)"))
+        below = self._stabs(tree.join(wanted.select("root_id").distinct(), "root_id", "left_semi").select(F.col("id").alias("descendant_id"), "root_id", "depth", "lo"))
         return below.join(pieces, ["root_id", "level", "cell"]).where("id != descendant_id").select("id", "descendant_id", "depth")
 
     def paths(self, ids: DataFrame) -> DataFrame:
@@ -69,13 +75,10 @@ class Hierarchy:
         return chain.select("id", F.col("c.ancestor_id").alias("path"))
 
 
-DYADIC_LEVELS = 40
-
-
 def dyadic(lo: str, hi: str):
     """The canonical dyadic intervals of [lo, hi) as array<struct<level, cell>>; fewer than 2 * log2(hi - lo) + 2."""
     return F.expr(
-        f"""flatten(transform(sequence(0, {DYADIC_LEVELS}), j -> filter(array(
+        f"""flatten(transform(sequence(0, cast(ceil(log2({hi} + 1)) as int)), j -> filter(array(
             named_struct('level', j, 'cell', shiftright({lo} + shiftleft(1L, j) - 1, j)),
             named_struct('level', j, 'cell', shiftright({hi}, j) - 1)),
             (x, i) -> shiftright({lo} + shiftleft(1L, j) - 1, j) < shiftright({hi}, j)
@@ -98,42 +101,64 @@ def build_hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "par
     base = scratch.write(raw.join(known, raw.parent_id == known.known, "left").select("num", "id", F.col("known").alias("parent_id"), "parent_num"), "base")
     scratch.drop(raw)
 
-    # upward: jump = the ancestor min(2^k, depth) steps up, size = descendants within 2^k steps, itself included
+    # upward: a round's rows are those not yet resolved. jump = the ancestor 2^k steps up (or the root, once done),
+    # size = descendants within 2^k steps, itself included. Resolved rows are written once, in the round that resolves
+    # them; what a node gains from below later is summed once from the rounds' rows.
     root = F.col("parent_num").isNull()
-    state = base.select("num", F.coalesce("parent_num", "num").alias("jump"), F.when(root, 0).otherwise(1).cast("bigint").alias("dist"), F.lit(1).cast("bigint").alias("size"), root.alias("done"))
-    state, left = _write_round(scratch, state, "up")
+    one = F.lit(1).cast("bigint")
+    start = base.select("num", F.coalesce("parent_num", "num").alias("jump"), F.when(root, 0).otherwise(1).cast("bigint").alias("dist"), one.alias("size"), root.alias("done"))
+    state, left = _write_round(scratch, start, "up")
+    rounds = [state]
     for k in range(MAX_DOUBLINGS):
         if left == 0:
             break
-        far = state.select(F.col("num").alias("far_num"), F.col("jump").alias("far_jump"), F.col("dist").alias("far_dist"), F.col("done").alias("far_done"))
-        gains = state.where(F.col("dist") == 1 << k).groupBy(F.col("jump").alias("gain_num")).agg(F.sum("size").alias("gain"))
-        moved = (
-            state.where(~F.col("done")).join(far, F.col("jump") == F.col("far_num"))
-            .select("num", F.col("far_jump").alias("jump"), (F.col("dist") + F.col("far_dist")).alias("dist"), "size", F.col("far_done").alias("done"))
-        )
-        grown = moved.unionByName(state.where("done")).join(gains, F.col("num") == F.col("gain_num"), "left")
-        before, was = state, left
-        state, left = _write_round(scratch, grown.select("num", "jump", "dist", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"), "done"), "up")
-        scratch.drop(before)
+        open_ = state.where("NOT done")
+        gains = open_.groupBy(F.col("jump").alias("gain_num")).agg(F.sum("size").alias("gain"))
+        moved = open_.join(_far(rounds, "jump", "dist"), F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump"), (F.col("dist") + F.col("far_dist")).alias("dist"), "size", F.col("far_done").alias("done"))
+        # sizes matter only to the next gains, which resolved rows no longer give
+        grown = moved.join(gains, F.col("num") == F.col("gain_num"), "left").select("num", "jump", "dist", (F.col("size") + F.coalesce("gain", F.lit(0))).alias("size"), "done")
+        was = left
+        state, left = _write_round(scratch, grown, "up")
+        rounds.append(state)
         if left == was and k:
             break  # depths are contiguous: nothing resolved between 2^k and 2^(k+1) means nothing deeper exists
 
-    trees = state.where("done").select(F.col("num").alias("t_num"), F.col("jump").alias("root_num"), F.col("dist").alias("depth"), "size")
-    resolved = scratch.write(base.join(trees, F.col("num") == F.col("t_num")).drop("t_num"), "resolved")
+    gained = _open(rounds).groupBy(F.col("jump").alias("gain_num")).agg(F.sum("size").alias("gain"))
+    trees = _all(rounds).where("done").select(F.col("num").alias("t_num"), F.col("jump").alias("root_num"), F.col("dist").alias("depth"))
+    sized = trees.join(gained, F.col("t_num") == F.col("gain_num"), "left").select("t_num", "root_num", "depth", (F.coalesce("gain", F.lit(0)) + 1).alias("size"))
+    resolved = scratch.write(base.join(sized, F.col("num") == F.col("t_num")).drop("t_num"), "resolved")
     placed = _preorder(scratch, resolved)
     roots = resolved.where("parent_num IS NULL").select(F.col("num").alias("r_num"), F.col("id").alias("root_id"))
     nodes = placed.join(roots, F.col("root_num") == F.col("r_num")).select(
         "id", "parent_id", "root_id", "depth", "lo", (F.col("lo") + F.col("size")).alias("hi"), (F.col("size") - 1).alias("descendants"), F.lit(False).alias("on_loop")
     )
     if left:
-        loops = _loops(scratch, state.where(~F.col("done")).select("num", "jump"), base)
+        loops = _loops(scratch, base.join(state.where("NOT done").select(F.col("num").alias("s_num")), F.col("num") == F.col("s_num"), "left_semi"))
         nothing = F.lit(None).cast("bigint")
         nodes = nodes.unionByName(
             loops.select("id", "parent_id", "root_id", F.lit(-1).cast("bigint").alias("depth"), nothing.alias("lo"), nothing.alias("hi"), nothing.alias("descendants"), F.lit(True).alias("on_loop"))
         )
+    for r in rounds:
+        scratch.drop(r)
     return Hierarchy(nodes, scratch)
 
 
+def _all(rounds: list[DataFrame]) -> DataFrame:
+    """The rows of all rounds, in one scan."""
+    return rounds[0].sparkSession.read.schema(rounds[0].schema).parquet(*[r.scratch_path for r in rounds])
+
+
+def _open(rounds: list[DataFrame]) -> DataFrame:
+    """The rows that the rounds left open: in the last round these are nodes on or leading into loops."""
+    return _all(rounds).where("NOT done")
+
+
+def _far(rounds: list[DataFrame], *carried: str) -> DataFrame:
+    """What a jump lands on: the open rows of the last round and the resolved rows of all, as far_num, far_jump, far_done and ``carried``."""
+    rows = rounds[-1].where("NOT done").unionByName(_all(rounds).where("done"))
+    return rows.select(*[F.col(c).alias(f"far_{c}") for c in dict.fromkeys(("num", "jump", "done", *carried))])
+
+
 def _write_round(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Write a round's state; the number of unresolved nodes comes with the write, without another job."""
     seen = Observation()
@@ -142,47 +167,39 @@ def _write_round(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame,
 
 
 def _preorder(scratch: Scratch, resolved: DataFrame) -> DataFrame:
-    """Add lo, the preorder position inside the root; siblings are ordered by (hash bucket, id)."""
-    children = resolved.where("parent_num IS NOT NULL").select("id", "num", "parent_num", "size")
-    bucket = F.pmod(F.xxhash64("id"), F.lit(SIBLING_BUCKETS))
+    """Add lo, the preorder position inside the root; siblings are ordered by (hash bucket, id).
+
+    A parent has one bucket for each ``SIBLINGS`` children, as far as their number can be bounded by its size.
+    """
+    parents = resolved.select(F.col("num").alias("p_num"), F.least(F.lit(MAX_BUCKETS), F.ceil(F.col("size") / SIBLINGS)).cast("bigint").alias("buckets"))
+    children = resolved.where("parent_num IS NOT NULL").select("id", "num", "parent_num", "size").join(parents, F.col("parent_num") == F.col("p_num")).drop("p_num")
+    bucket = F.pmod(F.xxhash64("id"), F.col("buckets"))
     offsets = exclusive_prefix_sum(children, ["parent_num"], "id", "size", "before", bucket).select("num", F.col("parent_num").alias("jump"), (F.col("before") + 1).alias("acc"), F.lit(False).alias("done"))
     roots = resolved.where("parent_num IS NULL").select("num", F.col("num").alias("jump"), F.lit(0).cast("bigint").alias("acc"), F.lit(True).alias("done"))
     state, left = _write_round(scratch, offsets.unionByName(roots), "down")
+    rounds = [state]
     while left:
-        far = state.select(F.col("num").alias("far_num"), F.col("jump").alias("far_jump"), F.col("acc").alias("far_acc"), F.col("done").alias("far_done"))
-        moved = state.where(~F.col("done")).join(far, F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump"), (F.col("acc") + F.col("far_acc")).alias("acc"), F.col("far_done").alias("done"))
-        before = state
-        state, left = _write_round(scratch, moved.unionByName(state.where("done")), "down")
-        scratch.drop(before)
-    return resolved.join(state.select(F.col("num").alias("s_num"), F.col("acc").alias("lo")), F.col("num") == F.col("s_num")).drop("s_num")
+        moved = state.where("NOT done").join(_far(rounds, "acc"), F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump"), (F.col("acc") + F.col("far_acc")).alias("acc"), F.col("far_done").alias("done"))
+        state, left = _write_round(scratch, moved, "down")
+        rounds.append(state)
+    places = _all(rounds).where("done").select(F.col("num").alias("s_num"), F.col("acc").alias("lo"))
+    return resolved.join(places, F.col("num") == F.col("s_num")).drop("s_num")
 
 
-def _loops(scratch: Scratch, stuck: DataFrame, base: DataFrame) -> DataFrame:
+def _loops(scratch: Scratch, own: DataFrame) -> DataFrame:
     """(id, parent_id, root_id) of the nodes on or leading into a loop; root_id is the loop's smallest id.
 
-    The image of the doubled pointer shrinks to the loops themselves; on them the smallest id of ever
-    longer stretches is taken until it no longer changes, and the others read it through their pointer.
+    jump = the node 2^k steps on, low = the smallest id of the 2^k nodes from here on. Once 2^k reaches every loop's
+    length and every way into one, the low of the jump is the loop's smallest id. While that does not hold, some
+    node's low of the jump changes with the next doubling: the stretch it spans then leaves the node that gave it.
     """
-    own = scratch.write(base.join(stuck.select("num"), "num", "left_semi"), "stuck")
-    jump, count = scratch.write(stuck.select("num", "jump"), "jump"), -1
-    while True:
-        image = jump.select("jump").distinct().count()
-        if image == count:
-            break
-        count = image
-        far = jump.select(F.col("num").alias("far_num"), F.col("jump").alias("far_jump"))
-        before = jump
-        jump = scratch.write(jump.join(far, F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump")), "jump")
-        scratch.drop(before)
-    on = own.join(jump.select(F.col("jump").alias("num")).distinct(), "num", "left_semi")
-    ring = scratch.write(on.select("num", F.col("parent_num").alias("next"), F.least("id", "parent_id").alias("low"), F.lit(False).alias("done")), "ring")
+    own = scratch.write(own.select("num", "id", "parent_id", "parent_num"), "stuck")
+    state = own.select("num", F.col("parent_num").alias("jump"), F.col("id").alias("low"), F.lit("").alias("found"))
     changed = -1
     while changed:
-        far = ring.select(F.col("num").alias("far_num"), F.col("next").alias("far_next"), F.col("low").alias("far_low"))
-        low = F.least("low", "far_low")
-        before = ring
-        ring, changed = _write_round(scratch, ring.join(far, F.col("next") == F.col("far_num")).select("num", F.col("far_next").alias("next"), low.alias("low"), (low == F.col("low")).alias("done")), "ring")
+        far = state.select(F.col("num").alias("far_num"), F.col("jump").alias("far_jump"), F.col("low").alias("far_low"))
+        moved = state.join(far, F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump"), F.least("low", "far_low").alias("low"), F.col("far_low").alias("found"), (F.col("far_low") == F.col("found")).alias("done"))
+        before = state
+        state, changed = _write_round(scratch, moved, "ring")
         scratch.drop(before)
-    low = ring.select(F.col("num").alias("ring_num"), F.col("low").alias("root_id"))
-    found = jump.join(low, F.col("jump") == F.col("ring_num")).select("num", "root_id")
-    return own.join(found, "num")
+    return own.join(state.select(F.col("num").alias("l_num"), F.col("found").alias("root_id")), F.col("num") == F.col("l_num"))

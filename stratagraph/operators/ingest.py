@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.functions import text as X
-from stratagraph.functions.patch import parse_patch
 from stratagraph.functions.syntax import analyse_changes
 from stratagraph.model.merge import merge_edges, merge_nodes
 from stratagraph.operators import build as B
@@ -17,8 +16,11 @@ from stratagraph.sources.gitsource import blobs, changes, history, remotes
 
 
 def added_text(patch):
-    """The added lines of a patch column."""
-    return F.udf(lambda p: parse_patch(p)[1], "string", useArrow=True)(patch)
+    """The added lines of a patch column: those that begin with + behind the first hunk header of each file."""
+    hunks = F.filter(F.split(F.coalesce(patch, F.lit("")), r"\n(?=diff --git )"), lambda p: p.contains("@@"))
+    bodies = F.transform(hunks, lambda p: F.regexp_replace(p, r"(?s)^.*?(?=^@@ |\n@@ )", ""))
+    lines = F.filter(F.flatten(F.transform(bodies, lambda p: F.split(p, "\n"))), lambda x: x.startswith("+"))
+    return F.array_join(F.transform(lines, lambda x: F.substring(x, 2, 2**31 - 1)), "\n")
 
 
 def repository(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:

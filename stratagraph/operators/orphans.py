@@ -38,10 +38,10 @@ def _kind(at: Column) -> Column:
 def orphan_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(edge_id, side, kind, period): edges whose source or target is missing, deleted or arrives later.
 
-    The distinct foreign keys are reduced first (with their earliest use, so that a key used only after
-    its arrival drops out), outer-joined once against the parent keys, and written out. Only the keys that
-    are a case for some edge are joined back: broadcast if they are few, so that the references stay where
-    they are, else shuffled, where a hot key is one row on its side and AQE splits its edges. Exact
+    The distinct foreign keys (with their earliest use) are anti-joined against the parent keys that are sound by
+    then: present and arrived. The keys left over are a case for some edge; they are told missing, deleted and
+    late apart and written out. Only they are joined back: broadcast if they are few, so that the references stay
+    where they are, else shuffled, where a hot key is one row on its side and AQE splits its edges. Exact
     repeats of an edge give one row. Null references are no cases; a null edge date gives a null period
     and cannot be late; a null node arrival is never late. Empty tables give empty results.
     """
@@ -49,8 +49,9 @@ def orphan_references(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     # coalescing keeps a key alive for the 'late' test only where some edge is dated
     used = refs.groupBy("ref").agg(F.min("created_at").alias("first_use"))
     states = parent_states(nodes).select(F.col("ref").alias("key"), "deleted", "arrival")
-    joined = used.join(states, F.col("ref") == F.col("key"), "left").select("ref", "first_use", F.col("key").isNotNull().alias("present"), "deleted", "arrival")
-    cases = joined.where(_kind(F.col("first_use")).isNotNull()).select(F.col("ref").alias("bad_ref"), "present", "deleted", "arrival")
+    sound = ~F.col("deleted") & ~F.coalesce(F.col("arrival") > F.col("first_use"), F.lit(False))
+    orphans = used.join(states, (F.col("ref") == F.col("key")) & sound, "left_anti")
+    cases = orphans.join(states, F.col("ref") == F.col("key"), "left").select(F.col("ref").alias("bad_ref"), F.col("key").isNotNull().alias("present"), "deleted", "arrival")
     bad = Scratch(edges.sparkSession, "orphans").write(cases, "keys")
     if bad.count() <= FEW_KEYS:
         bad = F.broadcast(bad)

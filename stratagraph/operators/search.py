@@ -66,7 +66,7 @@ def keyword_scores(reached: DataFrame) -> DataFrame:
     for kind, value in BASES.items():
         base = F.when(F.col("type") == kind, value).otherwise(base)
     numbered = ranked(reached, ["commit_id", "word"], [F.col("node_id")], "i")
-    reason = F.format_string("Matched '%s' in %s '%s'", "word", "type", "node_id")
+    reason = F.format_string("word %s found in %s %s", "word", "type", "node_id")
     return numbered.groupBy("commit_id").agg(F.sum(base / F.col("i")).alias("score"), F.array_sort(F.collect_set(reason)).alias("reasons"))
 
 
@@ -101,7 +101,7 @@ def vector_commits(hits: DataFrame, graph: Graph) -> DataFrame:
 def semantic_scores(reached: DataFrame) -> DataFrame:
     """(commit_id, score, reasons): the i-th most similar hit of a commit adds 20 * similarity / i."""
     numbered = ranked(reached, ["commit_id"], [F.desc("similarity"), F.col("node_id"), F.col("node_type")], "i")
-    reason = F.format_string("Similar meaning identified (matched %s '%s' score=%.2f)", "node_type", "node_id", "similarity")
+    reason = F.format_string("close in meaning: %s %s, cosine %.2f", "node_type", "node_id", "similarity")
     return numbered.groupBy("commit_id").agg(F.sum(SEMANTIC_BASE * F.col("similarity") / F.col("i")).alias("score"), F.array_sort(F.collect_set(reason)).alias("reasons"))
 
 
@@ -134,7 +134,7 @@ def search(
 
     scored = empty
     if filters and not query.strip():
-        said = F.lit("Matched strict filters: " + ", ".join(f"{k}:{v}" for k, v in filters.items()))
+        said = F.lit("passes the filters " + ", ".join(f"{k}={v}" for k, v in filters.items()))
         scored = scope.select("commit_id", F.lit(FILTER_BONUS).alias("score"), F.array(said).alias("reasons"))
     if query.strip() and not semantic_only:
         scored = scored.unionByName(keyword_scores(inside(hits_to_commits(keyword_hits(graph.nodes, query_words(query, stops)), graph))))
@@ -146,10 +146,10 @@ def search(
     total = scored.groupBy("commit_id").agg(F.sum("score").alias("score"), F.array_distinct(F.flatten(F.collect_list("reasons"))).alias("reasons"))
     if negative_vector is not None and graph.embeddings is not None:
         far = vector_commits(top_similar(graph.embeddings, negative_vector, CANDIDATES).where(F.col("similarity") >= FLOOR), graph).groupBy("commit_id").agg(F.sum(AVOID_BASE * F.col("similarity")).alias("minus"), F.max("similarity").alias("worst"))
-        said = F.format_string("Avoided concept identified (similarity=%.2f, penalty=%.2f)", "worst", "minus")
+        said = F.format_string("close to what is to be avoided: cosine %.2f, minus %.2f", "worst", "minus")
         total = total.join(far, "commit_id", "left").select("commit_id", (F.col("score") - F.coalesce("minus", F.lit(0.0))).alias("score"), F.when(F.col("minus").isNotNull(), F.concat("reasons", F.array(said))).otherwise(F.col("reasons")).alias("reasons"))
     penalty = F.greatest(F.lit(1.0), F.log10("files"))
-    said = F.format_string("Penalized relevance (divided by %.2f) for modifying %d files", penalty, "files")
+    said = F.format_string("touches %d files: relevance divided by %.2f", "files", penalty)
     total = total.join(file_counts(graph.edges), "commit_id", "left").select(
         "commit_id", F.round(F.col("score") / F.coalesce(penalty, F.lit(1.0)), 6).alias("relevance"), F.when(F.col("files") > 10, F.concat("reasons", F.array(said))).otherwise(F.col("reasons")).alias("reasons")
     )

@@ -69,14 +69,15 @@ def hashing_embedder(width: int = WIDTH) -> Callable[[str], list[np.ndarray]]:
 
     def embed(text: str) -> list[np.ndarray]:
         words = (text or "").lower().split()
-        codes = [int.from_bytes(hashlib.blake2b(w.encode(), digest_size=8).digest(), "big") for w in words]
+        codes = np.array([int.from_bytes(hashlib.blake2b(w.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "big") for w in words], np.uint64)
         out = []
         for part in chunks(codes):
-            states = np.zeros((max(1, len(part)), width), np.float32)
-            for i, c in enumerate(part):
-                for shift in (0, 16, 32):
-                    states[i, (c >> shift) % width] += 1.0 if (c >> (shift + 15)) & 1 else -1.0
-            out.append(pool(states, np.ones(len(states)) if part else np.zeros(1)))
+            total = np.zeros(width)
+            for shift in (0, 16, 32) if len(part) else ():
+                hashed = np.asarray(part, np.uint64) >> np.uint64(shift)
+                np.add.at(total, (hashed % np.uint64(width)).astype(np.int64), np.where(hashed >> np.uint64(15) & np.uint64(1), 1.0, -1.0))
+            mean = (total / max(1, len(part))).astype(np.float32)
+            out.append(mean / np.float32(max(float(np.linalg.norm(mean)), 1e-12)))
         return out
 
     return embed
@@ -123,6 +124,12 @@ def upsert_embeddings(stored: DataFrame, new: DataFrame) -> DataFrame:
     return stored.join(new.select("node_id", "node_type").distinct(), ["node_id", "node_type"], "left_anti").unionByName(new)
 
 
+def changed_items(items: DataFrame, stored: DataFrame) -> DataFrame:
+    """The items whose text is not the one embedded before; ``stored`` holds (node_id, node_type, digest)."""
+    told = items.withColumn("digest", F.sha2("text", 256))
+    return told.join(stored.select("node_id", "node_type", "digest").distinct(), ["node_id", "node_type", "digest"], "left_anti").drop("digest")
+
+
 def latest_versions(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(function_id, version_id, attributes): the versions of each function's histories that no other follows."""
     history = edges.where("type = 'HAS_HISTORY'").select(F.col("source_id").alias("function_id"), F.col("target_id").alias("history_id"))

@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections import Counter
+import hashlib
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,9 +16,23 @@ VERSIONS = "function string, seq bigint, commit_id string, file_path string, con
 
 def quick_ratio(a: str, b: str) -> float:
     """Twice the shared characters, counted with repeats, over both lengths; 1 for two empty texts."""
-    if not a and not b:
-        return 1.0
-    return 2.0 * sum((Counter(a) & Counter(b)).values()) / (len(a) + len(b))
+    return float(quick_ratios([a], [b])[0])
+
+
+def _counts(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """The (text, character) pairs that occur, as sorted numbers, and how often."""
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts), dtype=np.int64), [len(t) for t in texts])
+    return np.unique(row << 21 | codes, return_counts=True)
+
+
+def quick_ratios(a: list[str], b: list[str]) -> np.ndarray:
+    """``quick_ratio`` of the i-th texts of both lists."""
+    (x, n), (y, m) = _counts(a), _counts(b)
+    both, i, j = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = np.bincount(both >> 21, np.minimum(n[i], m[j]), len(a))
+    sizes = np.array([len(s) + len(t) for s, t in zip(a, b)], np.float64)
+    return np.where(sizes > 0, 2.0 * shared / np.maximum(sizes, 1.0), 1.0)
 
 
 def quick_ratio_column(a: Column, b: Column) -> Column:
@@ -25,7 +40,8 @@ def quick_ratio_column(a: Column, b: Column) -> Column:
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
-        return pd.Series([quick_ratio(s, t) if s is not None and t is not None else None for s, t in zip(x, y)], dtype="float64")
+        out = pd.Series(quick_ratios(x.fillna("").tolist(), y.fillna("").tolist()), index=x.index)
+        return out.where(x.notna() & y.notna())
 
     return ratio(a, b)
 
@@ -39,6 +55,10 @@ def open_histories(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return history.join(version, "history_id").join(followed, "version_id", "left_anti").join(text, "version_id").select("function", "history_id", "version_id", "file_path", "content")
 
 
+def _digest(*parts: str) -> str:
+    return hashlib.sha256("\x1f".join(parts).encode("utf-8", "surrogatepass")).hexdigest()[:8]
+
+
 def match_versions(functions: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Assign every function version (function, seq, commit_id, file_path, content) to a history.
 
@@ -50,34 +70,26 @@ def match_versions(functions: DataFrame, known: DataFrame | None = None) -> Data
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import hashlib
-
-        digest = lambda *parts: hashlib.sha256("\x1f".join(parts).encode()).hexdigest()[:8]
-        name, open_ = None, []
+        name, open_ = None, []  # per open history: its id, last version, last content, last file
         for frame in frames:
             out = []
-            for r in frame.itertuples(index=False):
-                if r.function != name:
-                    name, open_ = r.function, []
-                if r.new == 0:
-                    open_.append({"id": r.history_id, "version": r.version_id, "content": r.content, "file": r.file_path})
+            for row in frame.itertuples(index=False):
+                if row.function != name:
+                    name, open_ = row.function, []
+                if not row.new:
+                    open_.append([row.history_id, row.version_id, row.content, row.file_path])
                     continue
-                best, best_score = None, -1.0
-                for h in open_:
-                    bonus = SAME_FILE if h["file"] == r.file_path else 0.0
-                    whole = len(r.content) + len(h["content"])
-                    bound = 2.0 * min(len(r.content), len(h["content"])) / whole if whole else 1.0
-                    if bound + bonus <= best_score:
-                        continue
-                    score = quick_ratio(r.content, h["content"]) + bonus
-                    if score > best_score:
-                        best, best_score = h, score
-                if best is None or not (best["file"] == r.file_path or best_score > ENOUGH):
-                    best, best_score = {"id": f"HISTORY:{name}:{digest(name, r.commit_id, r.file_path)}", "version": None}, None
-                    open_.append(best)
-                version = f"VERSION:{best['id']}:{r.commit_id}:{digest(r.content)}"
-                out.append((r.function, r.seq, r.commit_id, r.file_path, r.content, best["id"], version, best["version"], best_score))
-                best.update(version=version, content=r.content, file=r.file_path)
+                same = np.array([h[3] == row.file_path for h in open_], np.float64)
+                scores = SAME_FILE * same + quick_ratios([h[2] for h in open_], [row.content] * len(open_))
+                first = int(scores.argmax()) if len(scores) else None  # of equal scores the first opened
+                score = None if first is None else float(scores[first])
+                if first is None or not (same[first] or score > ENOUGH):
+                    first, score = len(open_), None
+                    open_.append([f"HISTORY:{name}:{_digest(name, row.commit_id, row.file_path)}", None, None, None])
+                history, previous = open_[first][:2]
+                version = f"VERSION:{history}:{row.commit_id}:{_digest(row.content)}"
+                out.append((row.function, row.seq, row.commit_id, row.file_path, row.content, history, version, previous, score))
+                open_[first][1:] = version, row.content, row.file_path
             yield pd.DataFrame(out, columns=[c.split()[0] for c in VERSIONS.split(", ")])
 
     filled = lambda c: F.coalesce(c, F.lit("")).alias(c)

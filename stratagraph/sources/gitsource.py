@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition, SimpleDataSourceStreamReader
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 BATCH = 100
 SCHEMA = (
@@ -36,6 +36,29 @@ def commit_ids(path: str) -> list[str]:
     return _git(path, "rev-list", "--topo-order", "--reverse", "HEAD").decode().split()
 
 
+def acquire(source: str, cache: str, token: str = "") -> str:
+    """The local path of a repository: itself if it is a folder, else a clone under ``cache`` that is pulled when it exists.
+
+    A token is put into an https address for the transfer only. What can't be fetched raises ``ValueError``.
+    """
+    if os.path.isdir(source):
+        return source
+    name = re.sub(r"\.git$", "", source.rstrip("/")).replace(":", "/").rsplit("/", 1)[-1]
+    if not name or not re.match(r"(?:https?|ssh|git|file)://|[\w.-]+@", source):
+        raise ValueError(f"{source!r} is neither a folder nor an address")
+    at, path = re.sub(r"^(https?://)(?:[^@/]*@)?", rf"\1{token}@", source) if token else source, os.path.join(cache, name)
+    if os.path.isdir(path):
+        done = subprocess.run(["git", "-C", path, "pull", "-q", "--ff-only", at], capture_output=True, check=False)
+    else:
+        os.makedirs(cache, exist_ok=True)
+        done = subprocess.run(["git", "clone", "-q", at, path], capture_output=True, check=False)
+        if done.returncode == 0 and token:
+            subprocess.run(["git", "-C", path, "remote", "set-url", "origin", source], capture_output=True, check=False)
+    if done.returncode:
+        raise ValueError(f"cannot fetch {source!r}")
+    return path
+
+
 def remotes(path: str) -> list[str]:
     """The distinct remote URLs."""
     return list(dict.fromkeys(line.split()[1] for line in _git(path, "remote", "-v").decode().splitlines() if len(line.split()) > 1))
@@ -90,21 +113,28 @@ class _Reader(DataSourceReader):
             yield from read_commits(self.path, partition.ids, partition.first)
 
 
-class _Stream(SimpleDataSourceStreamReader):
+class _Stream(DataSourceStreamReader):
+    """Offsets are numbers of commits; a micro-batch is read in partitions like a batch."""
+
     def __init__(self, options: dict) -> None:
-        self.path = options["path"]
+        self.path, self.size = options["path"], int(options.get("batch", BATCH))
 
-    def initialOffset(self) -> dict:  # noqa: N802 - Spark's name
+    def initialOffset(self) -> dict:  # noqa: N802 - Spark's names
         return {"commits": 0}
 
-    def read(self, start: dict):
-        ids = commit_ids(self.path)[start["commits"] :]
-        rows = list(read_commits(self.path, ids, start["commits"])) if ids else []
-        return iter(rows), {"commits": start["commits"] + len(ids)}
+    def latestOffset(self) -> dict:  # noqa: N802
+        return {"commits": len(commit_ids(self.path))}
 
-    def readBetweenOffsets(self, start: dict, end: dict):  # noqa: N802
+    def partitions(self, start: dict, end: dict) -> list[_Batch]:
         ids = commit_ids(self.path)[start["commits"] : end["commits"]]
-        return iter(list(read_commits(self.path, ids, start["commits"])) if ids else [])
+        return [_Batch(start["commits"] + a, ids[a : a + self.size]) for a in range(0, len(ids), self.size)] or [_Batch(0, [])]
+
+    def read(self, partition: _Batch) -> Iterator[tuple]:
+        if partition.ids:
+            yield from read_commits(self.path, partition.ids, partition.first)
+
+    def commit(self, end: dict) -> None:
+        """Nothing to forget: the repository keeps its commits."""
 
 
 class GitLog(DataSource):
@@ -120,7 +150,7 @@ class GitLog(DataSource):
     def reader(self, schema) -> _Reader:
         return _Reader(self.options)
 
-    def simpleStreamReader(self, schema) -> _Stream:  # noqa: N802
+    def streamReader(self, schema) -> _Stream:  # noqa: N802
         return _Stream(self.options)
 
 

@@ -86,7 +86,7 @@ def test_filters_repository_exclusions_and_pages(spark):
     assert [r.id for r in S.search(g, "cache", min_score=0, top_n=3, offset=2).collect()] == every[2:5]
     assert every[0] not in [r.id for r in S.search(g, "cache", min_score=0, top_n=100, excluded_commits=[every[0][:3]]).collect()]
     only = S.search(g, filters={"AUTHOR": "ann", "REPOSITORY": "demo"}, min_score=0, top_n=100).collect()
-    assert {r.id for r in only} == inside and {r.reasons[0] for r in only} == {"Matched strict filters: AUTHOR:ann, REPOSITORY:demo"}
+    assert {r.id for r in only} == inside and {r.reasons[0] for r in only} == {"passes the filters AUTHOR=ann, REPOSITORY=demo"}
     assert S.search(g, "cache", filters={"AUTHOR": "nobody"}, min_score=0).count() == 0
 
 
