@@ -1,15 +1,17 @@
 """A change feed applied to a table kept as append-only files with delete vectors (merge on read).
 
 Every applied batch appends its row images to new files; nothing is rewritten. A key index maps each
-entity to the (file, position) pairs of its images. For the entities a batch touches, the images that no
-longer decide are marked in per-file bitmaps, 64 positions to a word, and reads drop marked positions.
+entity to the (file, position) pairs of its images, in buckets. For the entities a batch touches, the images that
+no longer decide are marked in per-file bitmaps, 64 positions to a word, and reads drop marked positions.
 Because superseded images stay until ``compact``, a change that arrives late, twice or is reverted
 afterwards only moves bits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from stratagraph.session import Scratch
@@ -20,7 +22,13 @@ IMAGE = "entity string, kind string, entity_type string, entity_key string, amen
 #: The index names an entity by two 64-bit hashes, which together do not collide, and a file by the hash of its name.
 INDEX = "e1 bigint, e2 bigint, amendment_id string, at_us bigint, deletes boolean, file bigint, pos bigint"
 ENTITY = ["e1", "e2"]
-VECTOR = "file bigint, word bigint, bits bigint"
+MARKS = "file bigint, word bigint, batch int, seen bigint, dead bigint"
+#: Words of bitmaps, 24 bytes each, up to which they are broadcast: 128 million images.
+FEW_WORDS = 2_000_000
+
+
+def _hashes() -> list[Column]:
+    return [F.xxhash64("entity").alias("e1"), F.xxhash64(F.lit(1), "entity").alias("e2")]
 
 
 def epoch_micros(ts: Column) -> Column:
@@ -61,22 +69,35 @@ def normalise_changes(feed: DataFrame) -> DataFrame:
 
 
 class DeleteVectorTable:
-    """The current state of all entities, rebuilt by ``apply``; every file lies in the shared folder."""
+    """The current state of all entities, rebuilt by ``apply``; every file lies in the shared folder.
+
+    The index is kept in buckets by entity, and a batch reads the buckets it touches. Bitmaps are logged as what each
+    batch saw and marked; ``read`` folds the log.
+    """
 
-    def __init__(self, spark: SparkSession) -> None:
-        self.spark, self.scratch = spark, Scratch(spark, "changefeed")
+    def __init__(self, spark: SparkSession, buckets: int = 16) -> None:
+        self.spark, self.scratch, self.buckets = spark, Scratch(spark, "changefeed"), buckets
         self.files: list[str] = []
         self.indexes: list[str] = []
         self.revoked: list[str] = []
-        self.vectors = spark.createDataFrame([], VECTOR)
+        self.marks: list[str] = []
 
     def _all(self, paths: list[str], schema: str) -> DataFrame:
         return self.spark.read.schema(schema).parquet(*paths) if paths else self.spark.createDataFrame([], schema)
 
+    def _bucketed(self, paths: list[str], schema: str, touched: list[int]) -> DataFrame:
+        """The rows of the touched buckets; only their folders are read."""
+        parts = [self.spark.read.schema(f"{schema}, bucket int").parquet(path).where(F.col("bucket").isin(touched)) for path in paths]
+        return reduce(DataFrame.unionByName, parts)
+
+    def _keep(self, rows: DataFrame, name: str) -> str:
+        path = self.scratch.path(name)
+        rows.withColumn("bucket", F.pmod("e1", F.lit(self.buckets)).cast("int")).repartition("bucket").write.partitionBy("bucket").parquet(path)
+        return path
+
     def _locate(self, path: str) -> DataFrame:
         """The key index of the images in ``path``: only their key columns are read."""
-        hashes = [F.xxhash64("entity").alias("e1"), F.xxhash64(F.lit(1), "entity").alias("e2")]
-        return self._all([path], IMAGE).select(*hashes, "amendment_id", "at_us", "deletes", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos"))
+        return self._all([path], IMAGE).select(*_hashes(), "amendment_id", "at_us", "deletes", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos"))
 
     def apply(self, batch: DataFrame) -> None:
         """Apply a batch of ``normalise_changes`` rows.
@@ -88,63 +109,70 @@ class DeleteVectorTable:
         path = self.scratch.path("images")
         images.write.parquet(path)
         self.files.append(path)
-
-        where = self.scratch.path("index")
-        self._locate(path).write.parquet(where)
-        self.indexes.append(where)
-
-        gone = self.scratch.path("revoked")
-        batch.where("reverted").select("amendment_id").distinct().write.parquet(gone)
-        self.revoked.append(gone)
-
-        index, revoked = self._all(self.indexes, INDEX), self._all(self.revoked, "amendment_id string").distinct()
-        now_revoked = self._all([gone], "amendment_id string")
-        touched = self._all([where], INDEX).select(*ENTITY).unionByName(index.join(now_revoked, "amendment_id", "left_semi").select(*ENTITY)).distinct()
-        located = index.join(touched, ENTITY, "left_semi")
-        counts = located.join(revoked, "amendment_id", "left_anti")
-        decides = counts.groupBy(*ENTITY).agg(F.min(F.struct(-F.coalesce("at_us", F.lit(-(2**63) + 1)), F.col("amendment_id"), F.col("file"), F.col("pos"), F.col("deletes"))).alias("d"))
-        keep = decides.where("NOT d.deletes").select(F.col("d.file").alias("keep_file"), F.col("d.pos").alias("keep_pos"))
-        marked = located.join(keep, (F.col("file") == F.col("keep_file")) & (F.col("pos") == F.col("keep_pos")), "left")
+        self.indexes.append(self._keep(self._locate(path), "index"))
+        # a reverted copy is an image as well, so its entity is among those touched
+        gone_at = self.scratch.path("revoked")
+        batch.where("reverted AND valid").select("amendment_id").distinct().write.parquet(gone_at)
+        self.revoked.append(gone_at)
+
+        new = self.spark.read.schema(f"{INDEX}, bucket int").parquet(self.indexes[-1])
+        touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most the number of buckets
+        located = self._bucketed(self.indexes, INDEX, touched).join(new.select(*ENTITY).distinct(), ENTITY, "left_semi")
+        gone = self._all(self.revoked, "amendment_id string").distinct()
+        told = located.join(gone.withColumn("gone", F.lit(True)), "amendment_id", "left")
+        rank = F.struct(-F.coalesce("at_us", F.lit(-(2**63) + 1)), F.col("amendment_id"), F.col("file"), F.col("pos"), F.col("deletes"))
+        decides = told.where("gone IS NULL").groupBy(*ENTITY).agg(F.min(rank).alias("d"))
+        stays = (F.col("d.file") == F.col("file")) & (F.col("d.pos") == F.col("pos")) & ~F.col("d.deletes")
+        marked = located.join(decides, ENTITY, "left").withColumn("stays", F.coalesce(stays, F.lit(False)))
         bit = F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))")
         words = marked.groupBy("file", F.expr("shiftright(pos, 6)").alias("word")).agg(
-            F.bit_or(bit).alias("seen"), F.bit_or(F.when(F.col("keep_file").isNull(), bit).otherwise(F.lit(0).cast("bigint"))).alias("dead")
+            F.bit_or(bit).alias("seen"), F.bit_or(F.when(~F.col("stays"), bit).otherwise(F.lit(0).cast("bigint"))).alias("dead")
         )
-        old = self.vectors
-        merged = old.join(words, ["file", "word"], "full").select("file", "word", F.expr("(coalesce(bits, 0L) & ~coalesce(seen, 0L)) | coalesce(dead, 0L)").alias("bits"))
-        self.vectors = self.scratch.write(merged, "vectors")
-        self.scratch.drop(old)
+        where = self.scratch.path("marks")
+        words.withColumn("batch", F.lit(len(self.marks))).select("file", "word", "batch", "seen", "dead").write.parquet(where)
+        self.marks.append(where)
+
+    @property
+    def vectors(self) -> DataFrame:
+        """(file, word, bits) of the words with a marked position: later batches overrule earlier ones on what they saw."""
+        log = self._all(self.marks, MARKS)
+        steps = F.sort_array(F.collect_list(F.struct("batch", "seen", "dead")))
+        folded = F.aggregate(steps, F.lit(0).cast("bigint"), lambda bits, m: (bits.bitwiseAND(F.bitwise_not(m["seen"]))).bitwiseOR(m["dead"]))
+        return log.groupBy("file", "word").agg(folded.alias("bits")).where("bits != 0")
 
     def read(self) -> DataFrame:
-        """The live rows: every image whose position no bitmap marks."""
+        """The live rows: every image whose position no bitmap marks.
+
+        Up to ``FEW_WORDS`` words the bitmaps go to the scans of the images; more are joined.
+        """
         rows = self._all(self.files, IMAGE)
         if not self.files:
             return rows
+        seen = Observation()
+        bitmaps = self.scratch.write(self.vectors.observe(seen, F.count("*").alias("n")), "vectors")
         placed = rows.select("*", F.xxhash64("_metadata.file_name").alias("file"), F.expr("shiftright(_metadata.row_index, 6)").alias("word"), F.expr("cast(pmod(_metadata.row_index, 64) as int)").alias("bit"))
         live = F.expr("bits IS NULL OR (shiftright(bits, bit) & 1) = 0")
-        return placed.join(self.vectors, ["file", "word"], "left").where(live).select(*rows.columns)
+        return placed.join(F.broadcast(bitmaps) if seen.get["n"] <= FEW_WORDS else bitmaps, ["file", "word"], "left").where(live).select(*rows.columns)
 
     def compact(self) -> None:
         """Rewrite the live rows into one set of files; later reverts of what was superseded can no longer be undone."""
         live, path = self.read(), self.scratch.path("images")
         live.write.parquet(path)
-        where = self.scratch.path("index")
-        self._locate(path).write.parquet(where)
-        self.files, self.indexes, self.vectors = [path], [where], self.spark.createDataFrame([], VECTOR)
+        self.files, self.indexes, self.marks = [path], [self._keep(self._locate(path), "index")], []
 
 
 def replay(feed: DataFrame, batches: int = 3) -> DeleteVectorTable:
     """Apply a whole feed in ``batches`` arrival batches (by received_at; rows without it arrive first)."""
-    spark = feed.sparkSession
-    table = DeleteVectorTable(spark)
-    changes = table.scratch.write(normalise_changes(feed), "feed")
+    table = DeleteVectorTable(feed.sparkSession)
     at = F.coalesce(F.unix_micros(F.col("received_at").cast("timestamp")), F.lit(-(2**62)))
-    cuts = changes.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000).alias("c")).head()["c"] if batches > 1 else []
-    edges = [None, *sorted(set(cuts or [])), None]
-    for low, high in zip(edges, edges[1:]):
-        part = changes
-        if low is not None:
-            part = part.where(at > low)
-        if high is not None:
-            part = part.where(at <= high)
-        table.apply(part)
+    cuts = feed.agg(F.percentile_approx(at, [i / batches for i in range(1, batches)], 1000).alias("c")).head()["c"] if batches > 1 else []
+    number = F.lit(0)
+    for cut in sorted(set(cuts or [])):
+        number = number + (at > cut).cast("int")
+    path = table.scratch.path("feed")
+    changes = normalise_changes(feed).withColumn("batch", number)
+    changes.write.partitionBy("batch").parquet(path)
+    stored = feed.sparkSession.read.schema(changes.schema).parquet(path)
+    for i in range(len(set(cuts or [])) + 1):
+        table.apply(stored.where(F.col("batch") == i).drop("batch"))
     return table

@@ -63,7 +63,9 @@ def expand(graph: Graph, starts: DataFrame, gate: DataFrame, depth: int = 1, tra
     excluded = normalise_types(exclude_types)
     excluded_type = F.greatest(*[F.lit(False)] * 2, *[(F.col("type") == x) | (F.translate("type", "_", " ") == x) | (F.translate("type", "_", "") == x) for x in excluded])
     onward = (F.col("type") == "COMMIT") | F.col("type").isin(allowed) if allowed else ~F.col("type").isin(NO_EXPAND)
-    around = undirected(graph.edges).select(F.col("a").alias("at"), F.col("b").alias("id")).distinct()
+    around = undirected(graph.edges).select(F.col("a").alias("at"), F.col("b").alias("id"))
+    if depth > 1:  # read once a step; repeats vanish after each step's join
+        gate = scratch.write(gate.select("id", "type", "relevant", "avoided"), "gate")
     hits = (triggers if triggers is not None else spark.createDataFrame([], "start string, id string")).select("start", "id").distinct().withColumn("trigger", F.lit(True))
     first = starts.select(F.col("id").alias("start")).distinct()
     visited = scratch.write(first.select("start", F.col("start").alias("id")), "visited")

@@ -14,6 +14,7 @@ from stratagraph.operators import lookup as L
 from stratagraph.operators import search as S
 from stratagraph.operators import vectors as V
 from stratagraph.operators.versions import match_versions, ordered_versions, quick_ratio_column, version_graph
+from stratagraph.session import Scratch
 
 QUERIES, SQL = {}, {}
 WORDS, AVOID = ["cache", "graph"], "nightly"
@@ -33,6 +34,12 @@ def query(sql: str | None = None):
     return add
 
 
+def stored_graph(spark: SparkSession, sf_dir: str) -> S.Graph:
+    """``graph`` written out once, for queries that read its nodes and edges several times."""
+    g, scratch = graph(spark, sf_dir), Scratch(spark, "graph")
+    return S.Graph(scratch.write(g.nodes, "nodes"), scratch.write(g.edges, "edges"), g.embeddings)
+
+
 def graph(spark: SparkSession, sf_dir: str) -> S.Graph:
     """Present nodes (commits with what the commit table says of them), edges once each, vectors."""
     nodes = B.present(_t(spark, sf_dir, "nodes"))
@@ -135,7 +142,7 @@ files AS (SELECT source_id AS commit_id, count(*) AS files FROM e WHERE type = '
 
 @query(f"WITH {_REACHED} SELECT commit_id AS id, round(score / greatest(1.0, coalesce(log10(files), 1.0)), 6) AS relevance FROM kw LEFT JOIN files USING (commit_id) WHERE round(score / greatest(1.0, coalesce(log10(files), 1.0)), 6) >= 10 ORDER BY 2 DESC, 1 LIMIT 20 OFFSET 5")
 def s1_keyword_search(spark, sf_dir):
-    return S.search(graph(spark, sf_dir), " ".join(WORDS), top_n=20, offset=5).select("id", "relevance")
+    return S.search(stored_graph(spark, sf_dir), " ".join(WORDS), top_n=20, offset=5).select("id", "relevance")
 
 
 @query(f"WITH {_REACHED} SELECT commit_id, word, count(*) AS hits FROM reached GROUP BY ALL")
@@ -150,7 +157,7 @@ def _near(kind: str, value: str) -> str:
 
 @query(f"WITH {_G} {_near('FILE', 'core')} INTERSECT {_near('AUTHOR', 'er')}")
 def s2_strict_filters(spark, sf_dir):
-    return S.filtered_commits(graph(spark, sf_dir), X.parse_filters(["file:core", "Author:er"]))
+    return S.filtered_commits(stored_graph(spark, sf_dir), X.parse_filters(["file:core", "Author:er"]))
 
 
 @query(f"WITH {_G}, r AS (SELECT name FROM e JOIN g ON g.id = e.target_id WHERE e.type = 'PART_OF_REPO' AND g.type = 'REPOSITORY' AND name IS NOT NULL GROUP BY name ORDER BY count(*) DESC, name LIMIT 1) SELECT DISTINCT e.source_id AS commit_id FROM e JOIN g ON g.id = e.target_id WHERE e.type = 'PART_OF_REPO' AND g.type = 'REPOSITORY' AND g.name = (SELECT name FROM r)")
@@ -219,7 +226,7 @@ sem AS (SELECT commit_id, sum(20.0::DOUBLE * similarity / i) AS score FROM (SELE
 
 @query(f"WITH {_G}, {_SEM} SELECT commit_id, round(score, 6) AS score FROM sem")
 def s4_semantic_scores(spark, sf_dir):
-    g = graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     near = V.top_similar(g.embeddings, _query_vector(g.embeddings), 200).where("similarity >= 0.2").orderBy(F.desc("similarity"), "node_id").limit(20)
     return S.semantic_scores(S.vector_commits(near, g)).select("commit_id", F.round("score", 6).alias("score"))
 
@@ -227,7 +234,7 @@ def s4_semantic_scores(spark, sf_dir):
 @query(f"""WITH {_REACHED}, minus AS (SELECT id AS commit_id FROM g WHERE type = 'COMMIT' AND {_has(AVOID)} UNION SELECT u.b FROM g JOIN u ON u.a = g.id WHERE g.type NOT IN ('COMMIT', 'KEYWORD') AND {_has(AVOID)})
 SELECT commit_id AS id, round(score / greatest(1.0, coalesce(log10(files), 1.0)), 6) AS relevance FROM kw LEFT JOIN files USING (commit_id) WHERE commit_id NOT IN (SELECT commit_id FROM minus WHERE commit_id IS NOT NULL) AND score / greatest(1.0, coalesce(log10(files), 1.0)) >= 5 ORDER BY 2 DESC, 1 LIMIT 50""")
 def s5_negative_words(spark, sf_dir):
-    return S.search(graph(spark, sf_dir), " ".join(WORDS), negative_query=AVOID, min_score=5, top_n=50).select("id", "relevance")
+    return S.search(stored_graph(spark, sf_dir), " ".join(WORDS), negative_query=AVOID, min_score=5, top_n=50).select("id", "relevance")
 
 
 _FAR = """far0 AS (SELECT node_id, max(struct_pack(s := round(list_dot_product(valid.v, bad.v) / (sqrt(list_dot_product(valid.v, valid.v)) * sqrt(list_dot_product(bad.v, bad.v))), 6), t := node_type)) AS b FROM valid, bad GROUP BY node_id),
@@ -243,7 +250,7 @@ far AS (SELECT commit_id, sum(200.0::DOUBLE * similarity) AS minus FROM far3 GRO
 final AS (SELECT commit_id AS id, round((score - coalesce(minus, 0)) / greatest(1.0, coalesce(log10(files), 1.0)), 6) AS relevance FROM total LEFT JOIN far USING (commit_id) LEFT JOIN files USING (commit_id))
 SELECT f.id, coalesce(g.message, 'No message') AS message, coalesce(g.author_name, 'Unknown') AS author, coalesce(g.ts, 'Unknown') AS date, f.relevance FROM final f JOIN g ON g.id = f.id WHERE relevance >= 1 ORDER BY relevance DESC, f.id LIMIT 25""")
 def s6_hybrid_search(spark, sf_dir):
-    g = graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return S.search(g, " ".join(WORDS), _query_vector(g.embeddings), negative_vector=_query_vector(g.embeddings, last=True), min_score=1, top_n=25).drop("reasons")
 
 
@@ -258,7 +265,7 @@ def _starts(g: S.Graph) -> DataFrame:
 l2 AS (SELECT DISTINCT k1.start, u.b AS id FROM k1 JOIN u ON u.a = k1.id WHERE k1.type NOT IN ('AUTHOR', 'TIME_BUCKET', 'REPOSITORY') AND u.b <> k1.start AND NOT EXISTS (SELECT 1 FROM l1 WHERE l1.start = k1.start AND l1.id = u.b))
 SELECT start, id, type, 1 AS distance FROM k1 UNION ALL SELECT l2.start, l2.id, g.type, 2 FROM l2 JOIN g ON g.id = l2.id""")
 def t1_expand_all(spark, sf_dir):
-    g = graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return E.expand(g, _starts(g), E.gates(g, []), depth=2, all_matches=True)
 
 
@@ -271,7 +278,7 @@ l1 AS (SELECT DISTINCT s.id AS start, u.b AS id FROM starts s JOIN u ON u.a = s.
 l2 AS (SELECT DISTINCT k1.start, u.b AS id FROM k1 JOIN u ON u.a = k1.id WHERE k1.type NOT IN ('AUTHOR', 'TIME_BUCKET', 'REPOSITORY') AND u.b <> k1.start AND NOT EXISTS (SELECT 1 FROM l1 WHERE l1.start = k1.start AND l1.id = u.b))
 SELECT start, id, type, 1 AS distance FROM k1 UNION ALL SELECT l2.start, l2.id, gate.type, 2 FROM l2 JOIN gate ON gate.id = l2.id WHERE ok""")
 def t2_expand_gated(spark, sf_dir):
-    g = graph(spark, sf_dir)
+    g = stored_graph(spark, sf_dir)
     return E.expand(g, _starts(g), E.gates(g, ["cache"]), depth=2)
 
 
