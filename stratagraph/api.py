@@ -15,7 +15,6 @@ from stratagraph.operators import expand as E
 from stratagraph.operators import lookup as L
 from stratagraph.operators import search as S
 from stratagraph.operators import vectors as V
-from stratagraph.operators.build import ranked
 from stratagraph.operators.ingest import ingest
 from stratagraph.operators.versions import history_text
 from stratagraph.sources.gitsource import _git, acquire
@@ -95,7 +94,7 @@ class Engine:
         words, avoid = X.query_words(query, stops), X.query_words(negative_query, stops)
         near = V.top_similar(g.embeddings, vector, V.CANDIDATES).where(F.col("similarity") >= V.FLOOR) if vector else None
         far = V.top_similar(g.embeddings, away, V.CANDIDATES).where(F.col("similarity") >= V.FLOOR) if away else None
-        hits = S.hits_to_commits(S.keyword_hits(g.nodes, words), g).where("type != 'COMMIT'").select(F.col("commit_id").alias("start"), F.col("node_id").alias("id")).join(found.select(F.col("id").alias("start")), "start", "left_semi") if words and not semantic_only else None
+        hits = S.triggers(S.hits_to_commits(S.keyword_hits(g.nodes, words), g)).join(found.select(F.col("id").alias("start")), "start", "left_semi") if words and not semantic_only else None
         around = E.expand(g, found, E.gates(g, words, avoid, near, far, all_files), depth, traverse_types, exclude_types, all_matches, hits)
         told = around.join(g.nodes.select("id", "type", F.to_json("attributes").alias("attributes")), ["id", "type"], "left")
         grouped = told.groupBy("start").agg(F.sort_array(F.collect_list(F.struct("type", "id", "distance", "attributes"))).alias("connections"))
@@ -110,11 +109,7 @@ class Engine:
     def connections(self, result: DataFrame, kept: dict[str, int] | None = None) -> DataFrame:
         """(id, type, shown, more): the connected ids per type; of keywords the first five, with the number left out."""
         rows = result.select("id", F.explode("connections").alias("c")).select("id", "c.type", F.col("c.id").alias("other"))
-        caps = F.lit(2**31 - 1)
-        for kind, n in (kept or {"KEYWORD": 5}).items():
-            caps = F.when(F.col("type") == kind, n).otherwise(caps)
-        numbered = ranked(rows, ["id", "type"], [F.col("other")], "i")
-        return numbered.groupBy("id", "type").agg(F.sort_array(F.collect_list(F.when(F.col("i") <= caps, F.col("other")))).alias("shown"), F.count_if(F.col("i") > caps).alias("more"))
+        return L.grouped(rows, kept or {"KEYWORD": 5})
 
     def text(self, result: DataFrame) -> str:
         """The result as numbered paragraphs; keywords are cut at three. Results are a page, so they fit the driver."""

@@ -1,8 +1,10 @@
 """Definitions, imports, comments and touched symbols of source files.
 
-Python is read by its own parser (a line scanner takes over where the text does not parse); the brace
-languages by a scanner that knows strings, comments and brackets. Other languages give comments' and
-secrets' level only, that is nothing here. Positions are lines counted from 1.
+Python is read by its own parser (a line scanner takes over where the text does not parse); JavaScript, TypeScript
+and C by a scanner that knows strings, comments and brackets; the other languages by one that is told their
+comments, strings and headers of definitions. Kinds of definitions carry the names that grammars give them; only
+``KINDS`` make symbols, the others (methods of Java, items of Rust and the like) are listed in trees. Positions are
+lines counted from 1.
 """
 
 from __future__ import annotations
@@ -21,6 +23,8 @@ from stratagraph.functions.patch import parse_patch, touches
 
 SCRIPTS = {"javascript", "typescript", "tsx"}
 C_LIKE = {"c", "cpp"}
+#: Kinds that make symbols, and of these the ones with a history (fixed values).
+KINDS = {"function_definition", "class_definition", "method_definition", "lexical_declaration", "variable_declaration", "function_declaration"}
 FUNCTION_KINDS = {"function_definition", "method_definition", "function_declaration"}
 _NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "sizeof", "else", "do", "function", "super", "constructor"}
 
@@ -45,6 +49,8 @@ class Parsed:
         """Name to canonical name: imports, then definitions (the last of a name wins)."""
         table = dict(self.imports)
         for d in self.definitions:
+            if d.kind not in KINDS:
+                continue
             table[d.name.rsplit(".", 1)[-1]] = d.name
         return table
 
@@ -115,17 +121,18 @@ def _python_lines(lines: list[str], out: Parsed) -> Parsed:
 _TOKENS = re.compile(r"//[^\n]*|/\*.*?\*/|\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`", re.S)
 
 
-def _blanked(source: str, out: Parsed) -> str:
+def _blanked(source: str, out: Parsed, tokens: re.Pattern = _TOKENS) -> str:
     """The source with strings and comments blanked, lines kept; comments are collected."""
 
     def blank(m: re.Match) -> str:
         text = m[0]
-        if text.startswith(("//", "/*")):
+        if text.startswith(("//", "/*", "#", "--", "<!--", "=begin")):
             first = source.count("\n", 0, m.start()) + 1
-            out.comments.append((text, "inline" if text.startswith("//") else "block", first, first + text.count("\n")))
+            long = text.startswith(("/*", "--[[", "<!--", "=begin"))
+            out.comments.append((text, "block" if long else "inline", first, first + text.count("\n")))
         return re.sub(r"[^\n]", " ", text)
 
-    return _TOKENS.sub(blank, source)
+    return tokens.sub(blank, source)
 
 
 def _closing(code: str, at: int) -> int:
@@ -139,6 +146,80 @@ def _closing(code: str, at: int) -> int:
     return len(code) - 1
 
 
+_SLASHES, _HASH = r"//[^\n]*|/\*.*?\*/", r"(?:(?<=\s)|^)#[^\n]*"
+_QUOTED, _CHARACTER = r"\"(?:\\.|[^\"\\\n])*\"|'(?:\\.|[^'\\\n])*'", r"\"(?:\\.|[^\"\\])*\"|'(?:\\[^\n]{1,8}|[^'\\\n])'"
+_LONG = r'"""(?:.|\n)*?"""'
+#: Comments and strings of a language, what tells a comment, and how bodies end: by braces, by ``end``, by indentation or with the line.
+LEXICON = {
+    "java": (f"{_LONG}|{_SLASHES}|{_QUOTED}", "{"), "go": (f"`[^`]*`|{_SLASHES}|{_QUOTED}", "{"), "rust": (f"{_SLASHES}|{_CHARACTER}", "{"), "c_sharp": (f"@\"(?:[^\"]|\"\")*\"|{_SLASHES}|{_QUOTED}", "{"),
+    "php": (f"{_SLASHES}|#(?!\\[)[^\n]*|{_QUOTED}", "{"), "swift": (f"{_LONG}|{_SLASHES}|{_CHARACTER}", "{"), "kotlin": (f"{_LONG}|{_SLASHES}|{_CHARACTER}", "{"), "scala": (f"{_LONG}|{_SLASHES}|{_CHARACTER}", "{"),
+    "css": (f"/\\*.*?\\*/|{_QUOTED}", "{"), "ruby": (f"(?m:^=begin\\b.*?^=end\\b)|{_HASH}|{_QUOTED}", "end"), "lua": (rf"--\[\[.*?\]\]|--[^\n]*|{_QUOTED}", "end"), "bash": (f"{_HASH}|{_QUOTED}", "{"),
+    "perl": (f"{_HASH}|{_QUOTED}", "{"), "r": (f"#[^\n]*|{_QUOTED}", "{"), "sql": (rf"--[^\n]*|/\*.*?\*/|'(?:[^']|'')*'", "line"), "yaml": (f"{_HASH}|{_QUOTED}", "line"), "html": (r"<!--.*?-->", "line"), "json": (r'"(?:\\.|[^"\\])*"', "line"),
+}
+_WORDS = r"(?m)^[ \t]*(?:(?:public|private|protected|internal|static|final|abstract|sealed|virtual|override|async|open|inline|export|extern|unsafe|partial|readonly|suspend|mutating|fileprivate|implicit|case|data|pub(?:\([a-z]+\))?|default|const|synchronized|native|new)\s+)*"
+_TYPED = _WORDS + r"[\w.<>\[\],?]+(?:\s+|\s*\[\]\s*)([A-Za-z_]\w*)\s*\([^(){};]*\)\s*(?:throws\s+[\w., ]+|where\s[^{]+)?\{"
+#: Headers of definitions per language with the kind a grammar gives them; the first group is the name.
+HEADERS = {
+    "java": [("class_declaration", _WORDS + r"(?:class|interface|enum|record)\s+(\w+)"), ("method_declaration", _TYPED)],
+    "c_sharp": [("class_declaration", _WORDS + r"(?:class|interface|enum|record|struct|namespace)\s+([\w.]+)"), ("method_declaration", _TYPED)],
+    "go": [("function_declaration", r"(?m)^func\s+(\w+)\s*[(\[]"), ("method_declaration", r"(?m)^func\s*\([^)]*\)\s*(\w+)\s*\("), ("type_declaration", r"(?m)^type\s+(\w+)\s+(?:struct|interface)\b")],
+    "rust": [("impl_item", r"(?m)^[ \t]*impl\b(?:<[^>]*>)?\s*(?:[\w:<>, ]+\s+for\s+)?(\w+)"), ("mod_item", _WORDS + r"(?:mod|trait|struct|enum)\s+(\w+)"), ("function_item", _WORDS + r"fn\s+(\w+)")],
+    "php": [("class_declaration", _WORDS + r"(?:class|interface|trait)\s+(\w+)"), ("function_definition", r"(?m)^[ \t]*function\s+&?(\w+)\s*\("), ("method_declaration", r"(?m)^[ \t]*(?:(?:public|private|protected|static|final|abstract)\s+)+function\s+&?(\w+)\s*\(")],
+    "swift": [("class_declaration", _WORDS + r"(?:class|struct|enum|extension|actor|protocol)\s+(\w+)"), ("function_declaration", _WORDS + r"func\s+(\w+)")],
+    "kotlin": [("class_declaration", _WORDS + r"(?:class|interface|object)\s+(\w+)"), ("function_declaration", _WORDS + r"fun\s+(?:<[^>]*>\s*)?(?:[\w.]+\.)?(\w+)\s*\(")],
+    "scala": [("class_definition", _WORDS + r"class\s+(\w+)"), ("object_definition", _WORDS + r"(?:object|trait)\s+(\w+)"), ("function_definition", _WORDS + r"def\s+(\w+)")],
+    "ruby": [("module", r"(?m)^[ \t]*module\s+([\w:]+)"), ("class", r"(?m)^[ \t]*class\s+([\w:]+)"), ("method", r"(?m)^[ \t]*def\s+(?:self\.)?([\w?!=]+)")],
+    "lua": [("function_declaration", r"(?m)^[ \t]*(?:local\s+)?function\s+([\w.:]+)\s*\(")],
+    "bash": [("function_definition", r"(?m)^[ \t]*(?:function\s+)?([\w-]+)\s*\(\s*\)\s*(?=\{)")],
+    "perl": [("function_definition", r"(?m)^[ \t]*sub\s+(\w+)")], "r": [("function_assignment", r"(?m)^[ \t]*([\w.]+)\s*(?:<-|=)\s*function\s*\(")],
+    "css": [("rule_set", r"(?m)^[ \t]*([.#\w][^{};@]*?)\s*(?=\{)")], "sql": [("create_statement", r"(?im)^[ \t]*create\s+(?:or\s+replace\s+)?(?:table|view|function|procedure)\s+(?:if\s+not\s+exists\s+)?([\w.]+)")],
+}
+
+
+def _end_of(code: str, start: int, at: int, ends: str) -> int:
+    """Where the definition that begins at ``start`` with a header up to ``at`` ends."""
+    line_end = lambda i: len(code) if (j := code.find("\n", i)) < 0 else j
+    if ends == "{":
+        stop = line_end(at)
+        round_ = code.find("(", start, stop + 1)
+        behind = _closing(code, round_) + 1 if round_ >= 0 and round_ >= at - 1 else at
+        brace = re.compile(r"[^{};]*?\{").match(code, max(behind - (code[behind - 1 : behind] == "{"), start))
+        return _closing(code, brace.end() - 1) + 1 if brace else line_end(behind)
+    if ends == "end":
+        indent = re.match(r"[ \t]*", code[code.rfind("\n", 0, start) + 1 :])[0]
+        close = re.compile(rf"(?m)^{indent}end\b[^\n]*").search(code, line_end(at))
+        return close.end() if close else line_end(at)
+    return line_end(at)
+
+
+def _headed(source: str, language: str) -> Parsed:
+    """Definitions, names and comments of a language of ``LEXICON``."""
+    out = Parsed()
+    pattern, ends = LEXICON[language]
+    code = _blanked(source, out, re.compile(pattern, re.S))
+    line_of = lambda p: source.count("\n", 0, p) + 1
+    spans = []
+    for kind, header in HEADERS.get(language, ()):
+        for m in re.finditer(header, code):
+            if m[1] in _NOT_NAMES or re.match(r"\s*(?:return|else|new|throw)\b", m[0]):
+                continue
+            start = m.start() + len(m[0]) - len(m[0].lstrip())
+            spans.append((start, _end_of(code, start, m.end(), ends), m[1], kind))
+    spans.sort(key=lambda s: (s[0], -s[1]))
+    open_: list[tuple[int, str]] = []
+    for start, end, name, kind in spans:
+        open_ = [o for o in open_ if o[0] >= end]
+        # as grammars have it, only the kinds that make symbols open a scope for others that do
+        scope = next((o[1] for o in reversed(open_)), "")
+        canonical = f"{scope}.{name}" if scope else name
+        out.definitions.append(Definition(canonical, kind, line_of(start), line_of(max(start, end - 1)), source[start:end]))
+        if kind in KINDS:
+            open_.append((end, canonical))
+    for i, line in enumerate(code.split("\n"), 1):
+        out.names.extend((n, i) for n in re.findall(r"(?<![.\w])[A-Za-z_]\w*", line))
+    return out
+
+
 _JS_IMPORT = re.compile(r"import\s+(?:type\s+)?(?:(\w+)\s*,?\s*)?(?:\{([^}]*)\}|\*\s+as\s+(\w+))?\s*from\s*[\"']([^\"']+)[\"']")
 _JS_DEFINITION = re.compile(r"(?P<function>\bfunction\s*\*?\s+(\w+)\s*[(<])|(?P<declared>\b(?:const|let|var)\s+(\w+)\b)|(?P<method>(?<=[{};\n])\s*(?:(?:public|private|protected|static|async|readonly|get|set)\s+)*(\w+)\s*(?:<[^>\n]*>)?\([^(){};]*\)\s*(?::[^{;=\n]+)?\{)")
 _C_DEFINITION = re.compile(r"(?m)^[ \t]*(?:[A-Za-z_][\w:<>,*&\s]*?[\s*&])?([A-Za-z_][\w:~]*)\s*\(([^(){};]*)\)\s*(?:const\s*)?\{")
@@ -199,7 +280,9 @@ def parse(source: str | None, language: str | None) -> Parsed:
         return Parsed()
     if language == "python":
         return _python(source)
-    return _braces(source, language) if language in SCRIPTS | C_LIKE else Parsed()
+    if language in SCRIPTS | C_LIKE:
+        return _braces(source, language)
+    return _headed(source, language) if language in LEXICON else Parsed()
 
 
 def analyse(source: str | None, language: str | None, patch: str | None) -> dict:
@@ -207,9 +290,10 @@ def analyse(source: str | None, language: str | None, patch: str | None) -> dict
     parsed, (lines, _) = parse(source, language), parse_patch(patch)
     table = parsed.symbols()
     used = {table[n] for n, line in parsed.names if n in table and touches(lines, line, line)}
-    hit = [d for d in parsed.definitions if touches(lines, d.start, d.end)]
+    made = [d for d in parsed.definitions if d.kind in KINDS]
+    hit = [d for d in made if touches(lines, d.start, d.end)]
     return {
-        "definitions": sorted({d.name for d in parsed.definitions}), "touched": sorted(used | {d.name for d in hit}),
+        "definitions": sorted({d.name for d in made}), "touched": sorted(used | {d.name for d in hit}),
         "functions": [{"name": d.name, "text": d.text} for d in hit if d.kind in FUNCTION_KINDS],
         "comments": [{"text": t, "kind": k, "line": a} for t, k, a, b in parsed.comments if touches(lines, a, b)],
     }
@@ -236,8 +320,8 @@ def tree(source: str | None, language: str | None, max_depth: int = 0) -> list[d
     """The syntax tree in preorder: id, type, first and last position, depth, text of names and literals.
 
     Python nodes carry the parser's names in snake case, with ``function_definition``, ``class_definition`` and
-    ``return_statement`` for the statements so called; brace languages list their definitions. Ids hash the
-    position. ``max_depth`` 0 lists all.
+    ``return_statement`` for the statements so called; the other languages list their definitions, comments and, inside
+    them, the statements that their lines begin with a word for. Ids hash the position. ``max_depth`` 0 lists all.
     """
     import hashlib
 
@@ -269,8 +353,20 @@ def tree(source: str | None, language: str | None, max_depth: int = 0) -> list[d
                 add(kind, start, end, depth, ast.get_source_segment(source, node) if leaf else None)
             stack.extend((c, depth + 1) for c in reversed(list(ast.iter_child_nodes(node))))
     else:
-        for d in parse(source, language).definitions:
-            add(d.kind, (d.start, 0), (d.end, 0), d.name.count(".") + 1, d.name)
+        parsed = parse(source, language)
+        rows = [(d.start, d.end, d.kind, d.name) for d in parsed.definitions] + [(a, b, "comment", t) for t, _, a, b in parsed.comments]
+        words = {"return": "return_statement", "if": "if_statement", "for": "for_statement", "while": "while_statement", "switch": "switch_statement", "throw": "throw_statement", "import": "import_statement"}
+        shut = {i for _, _, a, b in parsed.comments for i in range(a + 1, b + 1)}
+        for i, line in enumerate((source or "").split("\n") if language else (), 1):
+            m = re.match(r"\s*(\w+)\b", line)
+            if m and m[1] in words and i not in shut:
+                rows.append((i, i, words[m[1]], None))
+        open_ = []
+        for start, end, kind, text in sorted(rows, key=lambda r: (r[0], -r[1], r[2])):
+            open_ = [e for e in open_ if e >= end and e >= start]
+            add(kind, (start, 0), (end, 0), len(open_) + 1, text)
+            if end > start:
+                open_.append(end)
     return out
 
 

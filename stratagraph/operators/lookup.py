@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.model.schemas import STRUCTURAL
+from stratagraph.operators.build import ranked
 from stratagraph.operators.search import Graph, contains
 
 FUZZY_TYPES = ["FILE", "FUNCTION", "SYMBOL", "COMMIT"]
@@ -77,6 +78,15 @@ def resolve_for_tree(nodes: DataFrame, text: str, options: int = 5) -> tuple[str
     raise Ambiguous(text, [r["id"] for r in found.orderBy("id").limit(options).collect()])
 
 
+def grouped(rows: DataFrame, kept: dict[str, int]) -> DataFrame:
+    """(id, type, shown, more) of connections (id, type, other): the connected ids per type, of the types of ``kept`` the first few, with the number left out."""
+    caps = F.lit(2**31 - 1)
+    for kind, n in kept.items():
+        caps = F.when(F.col("type") == kind, n).otherwise(caps)
+    numbered = ranked(rows, ["id", "type"], [F.col("other")], "i")
+    return numbered.groupBy("id", "type").agg(F.sort_array(F.collect_list(F.when(F.col("i") <= caps, F.col("other")))).alias("shown"), F.count_if(F.col("i") > caps).alias("more"))
+
+
 def types(rows: DataFrame) -> DataFrame:
     """(type): the distinct types, sorted."""
     return rows.select("type").where("type IS NOT NULL").distinct().orderBy("type")

@@ -60,6 +60,11 @@ def hits_to_commits(hits: DataFrame, graph: Graph) -> DataFrame:
     return own.unionByName(keyword.unionByName(other).join(ids, "commit_id", "left_semi")).distinct()
 
 
+def triggers(reached: DataFrame) -> DataFrame:
+    """(start, id): the hits other than commits that led to a commit, which are connected to it at distance 0."""
+    return reached.where("type != 'COMMIT'").select(F.col("commit_id").alias("start"), F.col("node_id").alias("id")).distinct()
+
+
 def keyword_scores(reached: DataFrame) -> DataFrame:
     """(commit_id, score, reasons): the i-th hit of a word on a commit adds base / i."""
     base = F.lit(OTHER_BASE)
