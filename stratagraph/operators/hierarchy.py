@@ -162,7 +162,8 @@ def _far(rounds: list[DataFrame], *carried: str) -> DataFrame:
 def _write_round(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, int]:
     """Write a round's state; the number of unresolved nodes comes with the write, without another job."""
     seen = Observation()
-    out = scratch.write(df.observe(seen, F.count_if(~F.col("done")).alias("left")), name)
+    # resolved and open rows lie in folders of their own, so that either are read without the others
+    out = scratch.write(df.observe(seen, F.count_if(~F.col("done")).alias("left")), name, by="done" if name != "ring" else None)
     return out, seen.get["left"]
 
 

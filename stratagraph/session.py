@@ -65,10 +65,10 @@ class Scratch:
         self._n += 1
         return f"{self.root}/{name}-{self._n}"
 
-    def write(self, df: DataFrame, name: str = "t") -> DataFrame:
-        """Write ``df`` and return it as read back; ``df.scratch_path`` names the folder."""
+    def write(self, df: DataFrame, name: str = "t", by: str | None = None) -> DataFrame:
+        """Write ``df``, in folders by a column if one is named, and return it as read back; ``df.scratch_path`` names the folder."""
         path = self.path(name)
-        df.write.parquet(path)
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
         back = self.spark.read.schema(df.schema).parquet(path)
         back.scratch_path = path
         return back
