@@ -112,7 +112,7 @@ def build_hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "par
     for k in range(MAX_DOUBLINGS):
         if left == 0:
             break
-        open_ = state.where("NOT done")
+        open_ = _part([state], False)
         gains = open_.groupBy(F.col("jump").alias("gain_num")).agg(F.sum("size").alias("gain"))
         moved = open_.join(_far(rounds, "jump", "dist"), F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump"), (F.col("dist") + F.col("far_dist")).alias("dist"), "size", F.col("far_done").alias("done"))
         # sizes matter only to the next gains, which resolved rows no longer give
@@ -123,8 +123,8 @@ def build_hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "par
         if left == was and k:
             break  # depths are contiguous: nothing resolved between 2^k and 2^(k+1) means nothing deeper exists
 
-    gained = _open(rounds).groupBy(F.col("jump").alias("gain_num")).agg(F.sum("size").alias("gain"))
-    trees = _all(rounds).where("done").select(F.col("num").alias("t_num"), F.col("jump").alias("root_num"), F.col("dist").alias("depth"))
+    gained = _part(rounds, False).groupBy(F.col("jump").alias("gain_num")).agg(F.sum("size").alias("gain"))
+    trees = _part(rounds, True).select(F.col("num").alias("t_num"), F.col("jump").alias("root_num"), F.col("dist").alias("depth"))
     sized = trees.join(gained, F.col("t_num") == F.col("gain_num"), "left").select("t_num", "root_num", "depth", (F.coalesce("gain", F.lit(0)) + 1).alias("size"))
     resolved = scratch.write(base.join(sized, F.col("num") == F.col("t_num")).drop("t_num"), "resolved")
     placed = _preorder(scratch, resolved)
@@ -133,7 +133,7 @@ def build_hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "par
         "id", "parent_id", "root_id", "depth", "lo", (F.col("lo") + F.col("size")).alias("hi"), (F.col("size") - 1).alias("descendants"), F.lit(False).alias("on_loop")
     )
     if left:
-        loops = _loops(scratch, base.join(state.where("NOT done").select(F.col("num").alias("s_num")), F.col("num") == F.col("s_num"), "left_semi"))
+        loops = _loops(scratch, base.join(_part([state], False).select(F.col("num").alias("s_num")), F.col("num") == F.col("s_num"), "left_semi"))
         nothing = F.lit(None).cast("bigint")
         nodes = nodes.unionByName(
             loops.select("id", "parent_id", "root_id", F.lit(-1).cast("bigint").alias("depth"), nothing.alias("lo"), nothing.alias("hi"), nothing.alias("descendants"), F.lit(True).alias("on_loop"))
@@ -143,19 +143,18 @@ def build_hierarchy(links: DataFrame, id_col: str = "id", parent_col: str = "par
     return Hierarchy(nodes, scratch)
 
 
-def _all(rounds: list[DataFrame]) -> DataFrame:
-    """The rows of all rounds, in one scan."""
-    return rounds[0].sparkSession.read.schema(rounds[0].schema).parquet(*[r.scratch_path for r in rounds])
-
-
-def _open(rounds: list[DataFrame]) -> DataFrame:
-    """The rows that the rounds left open: in the last round these are nodes on or leading into loops."""
-    return _all(rounds).where("NOT done")
+def _part(rounds: list[DataFrame], done: bool) -> DataFrame:
+    """The resolved or the open rows of all rounds, in one scan of their folders; in the last round open ones are on or lead into loops."""
+    first = rounds[0]
+    schema = first.drop("done").schema
+    paths = [f"{r.scratch_path}/done={str(done).lower()}" for r in rounds if (r.resolved if done else r.left)]
+    spark = first.sparkSession
+    return (spark.read.schema(schema).parquet(*paths) if paths else spark.createDataFrame([], schema)).withColumn("done", F.lit(done))
 
 
 def _far(rounds: list[DataFrame], *carried: str) -> DataFrame:
     """What a jump lands on: the open rows of the last round and the resolved rows of all, as far_num, far_jump, far_done and ``carried``."""
-    rows = rounds[-1].where("NOT done").unionByName(_all(rounds).where("done"))
+    rows = _part(rounds[-1:], False).unionByName(_part(rounds, True))
     return rows.select(*[F.col(c).alias(f"far_{c}") for c in dict.fromkeys(("num", "jump", "done", *carried))])
 
 
@@ -163,7 +162,8 @@ def _write_round(scratch: Scratch, df: DataFrame, name: str) -> tuple[DataFrame,
     """Write a round's state; the number of unresolved nodes comes with the write, without another job."""
     seen = Observation()
     # resolved and open rows lie in folders of their own, so that either are read without the others
-    out = scratch.write(df.observe(seen, F.count_if(~F.col("done")).alias("left")), name, by="done" if name != "ring" else None)
+    out = scratch.write(df.observe(seen, F.count_if(~F.col("done")).alias("left"), F.count_if("done").alias("resolved")), name, by="done" if name != "ring" else None)
+    out.left, out.resolved = seen.get["left"], seen.get["resolved"]
     return out, seen.get["left"]
 
 
@@ -180,10 +180,10 @@ def _preorder(scratch: Scratch, resolved: DataFrame) -> DataFrame:
     state, left = _write_round(scratch, offsets.unionByName(roots), "down")
     rounds = [state]
     while left:
-        moved = state.where("NOT done").join(_far(rounds, "acc"), F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump"), (F.col("acc") + F.col("far_acc")).alias("acc"), F.col("far_done").alias("done"))
+        moved = _part([state], False).join(_far(rounds, "acc"), F.col("jump") == F.col("far_num")).select("num", F.col("far_jump").alias("jump"), (F.col("acc") + F.col("far_acc")).alias("acc"), F.col("far_done").alias("done"))
         state, left = _write_round(scratch, moved, "down")
         rounds.append(state)
-    places = _all(rounds).where("done").select(F.col("num").alias("s_num"), F.col("acc").alias("lo"))
+    places = _part(rounds, True).select(F.col("num").alias("s_num"), F.col("acc").alias("lo"))
     return resolved.join(places, F.col("num") == F.col("s_num")).drop("s_num")
 
 
