@@ -14,7 +14,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from stratagraph.session import Scratch
+from stratagraph.session import Scratch, spread
 
 SEP = "\x1f"
 WRAPPERS = ("data",)
@@ -170,7 +170,7 @@ def replay(feed: DataFrame, batches: int = 3) -> DeleteVectorTable:
     for cut in sorted(set(cuts or [])):
         number = number + (at > cut).cast("int")
     path = table.scratch.path("feed")
-    changes = normalise_changes(feed).withColumn("batch", number)
+    changes = normalise_changes(spread(feed)).withColumn("batch", number)
     changes.write.partitionBy("batch").parquet(path)
     stored = feed.sparkSession.read.schema(changes.schema).parquet(path)
     for i in range(len(set(cuts or [])) + 1):
