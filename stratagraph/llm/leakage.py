@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm.words import Hasher, plain_words
-from stratagraph.session import Scratch
+from stratagraph.session import Scratch, spread
 
 WINDOW, RADIUS, BLOCKS, FLIPS = 5, 11, 4, 2
 BLOCK_BITS = 64 // BLOCKS
@@ -31,7 +31,7 @@ SHINGLE, PASSAGE, GAP, HITS = 3, 8, 2, 3
 #: Words of items indexed at once, at some 2 KB a word: the bound of what is sent to the executors; more items go in further passes.
 INDEX_WORDS = 50_000
 #: Words fingerprinted at once, and pairs of equal shingles aligned at once.
-STRETCH, ALIGNED = 20_000, 2_000_000
+STRETCH, ALIGNED = 3_000, 2_000_000
 FOUND = "doc_id bigint, item_id bigint, share double"
 
 
@@ -107,7 +107,7 @@ class ItemIndex:
             value = _block(prints, b)
             where, other = _expand(self.starts[b][value], self.starts[b][value + 1], self.members[b])
             near = np.bitwise_count(prints[where] ^ self.prints[other]) <= RADIUS
-            pair.append(where[near] << 32 | other[near])
+            pair.append(where[near].astype(np.int64) << 32 | other[near])
         once = np.unique(np.concatenate(pair))
         return once >> 32, once & 0xFFFFFFFF
 
@@ -124,11 +124,13 @@ class ItemIndex:
 
 def _expand(first: np.ndarray, stop: np.ndarray, members: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(row, member) for every member of the span [first, stop) of every row."""
-    many = (stop - first).astype(np.int64)
+    many = stop - first
     hit = np.flatnonzero(many)
     reps = many[hit]
-    offset = np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-    return np.repeat(hit, reps), members[np.repeat(first[hit].astype(np.int64), reps) + offset]
+    ends = np.cumsum(reps)
+    # half-size integers, as these arrays are long and short-lived
+    base = (first[hit] - (ends - reps)).astype(np.int32)
+    return np.repeat(hit.astype(np.int32), reps), members[np.repeat(base, reps) + np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)]
 
 
 def _joined(words: np.ndarray, size: int) -> np.ndarray:
@@ -246,9 +248,9 @@ def leaked_items(docs: DataFrame, items: DataFrame, least: float = 0.4) -> DataF
     Null and blank texts on either side give nothing; an item of fewer than PASSAGE words is reported where it
     stands as a whole, word by word. Repeated rows are reported once per (doc_id, item_id). The items are read in
     passes of INDEX_WORDS words, of which the driver holds one at a time; documents are scanned once per pass and
-    never shuffled, whatever repository or source holds most of them.
+    not shuffled (but for a table of fewer splits than cores), whatever repository or source holds most of them.
     """
-    texts = docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND trim(text) != ''").select("doc_id", "text")
+    texts = spread(docs.where("doc_id IS NOT NULL AND text IS NOT NULL AND trim(text) != ''").select("doc_id", "text"))
     scratch, hasher, out, ids, words, size = Scratch(docs.sparkSession, "leakage"), Hasher(), None, [], [], 0
     add = lambda part: part if out is None else out.unionByName(part)
     scan = lambda: texts.mapInArrow(_search(ItemIndex.build(ids, words), least), FOUND)

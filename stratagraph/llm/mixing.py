@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratagraph.llm.words import RANKS, TOKENIZERS, load_encoding
 from stratagraph.operators.prefix import exclusive_prefix_sum
-from stratagraph.session import Scratch
+from stratagraph.session import Scratch, spread
 
 #: Common notations of languages, to two letters (general knowledge); a parameter.
 LANGUAGES = {"english": "en", "eng": "en", "german": "de", "deutsch": "de", "deu": "de", "ger": "de", "spanish": "es", "spa": "es", "french": "fr", "fra": "fr", "fre": "fr", "italian": "it", "ita": "it", "portuguese": "pt", "por": "pt"}
@@ -47,7 +47,7 @@ def _counter(tokenizers: str, ranks: str):
 def count_tokens(docs: DataFrame, tokenizers: str = TOKENIZERS, ranks: str = RANKS, notations: dict[str, str] = LANGUAGES) -> DataFrame:
     """(doc_id, source, lang, tokens) of the whole texts, names normalised; null ids and null texts have no row here."""
     rows = docs.where("doc_id IS NOT NULL AND text IS NOT NULL").select(F.col("doc_id").cast("bigint").alias("doc_id"), source_name(F.col("source")).alias("source"), language(F.col("lang"), notations).alias("lang"), "text")
-    return rows.mapInArrow(_counter(tokenizers, ranks), "doc_id bigint, source string, lang string, tokens bigint")
+    return spread(rows).mapInArrow(_counter(tokenizers, ranks), "doc_id bigint, source string, lang string, tokens bigint")
 
 
 class Node:

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratagraph.llm.mixing import DOMAINS, language, source_name
-from stratagraph.session import Scratch
+from stratagraph.session import Scratch, spread
 
 RUN = 6
 STATS = ["run_share", "sentence_share", "line_share", "type_share"]
@@ -104,7 +104,7 @@ def statistics(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, words, run_share, x0..): exact statistics of the whole texts, x as angles asin(sqrt(share))."""
     source = source_name(F.col("source"))
     rows = docs.where("doc_id IS NOT NULL").select("doc_id", language(F.col("lang")).alias("lang"), F.when(source.isin(list(DOMAINS)), source).otherwise("other").alias("source"), F.coalesce("text", F.lit("")).alias("text"))
-    return rows.mapInArrow(_statistics, "doc_id bigint, lang string, source string, words bigint, run_share double, " + ", ".join(f"{x} double" for x in X))
+    return spread(rows).mapInArrow(_statistics, "doc_id bigint, lang string, source string, words bigint, run_share double, " + ", ".join(f"{x} double" for x in X))
 
 
 def _moments(rows: DataFrame) -> dict[tuple, tuple[np.ndarray, np.ndarray, int]]:
