@@ -32,7 +32,7 @@ def file_text(root: str, path: str) -> str:
     if not text and inside.startswith(os.path.realpath(root) + os.sep) and os.path.isfile(inside):
         with open(inside, encoding="utf-8", errors="replace") as f:
             text = f.read()
-    if not text and (last := _git(root, "rev-list", "-1", "--diff-filter=AMR", "HEAD", "--", path).decode().strip()):
+    if not text and (last := _git(root, "log", "-1", "--format=%H", "--diff-filter=AMR", "HEAD", "--", path).decode().strip()):
         text = _git(root, "show", f"{last}:{path}").decode("utf-8", "replace")
     return text
 
