@@ -65,7 +65,7 @@ def test_brace_languages():
     c = "#include <x.h>\n/* a {\n b */\nstatic int *add(int a,\n    int b) {\n  return a + b; // sum\n}\nint main(void) { while (1) { add(1, 2); } }\n"
     assert [(d.name, d.start, d.end) for d in Y.parse(c, "c").definitions] == [("add", 4, 7), ("main", 8, 8)]
     assert [k for _, k, *_ in Y.parse(c, "c").comments] == ["block", "inline"]
-    assert Y.parse("x", None).definitions == Y.parse(None, "c").definitions == Y.parse("fn f() {}", "rust").definitions == []
+    assert Y.parse("x", None).definitions == Y.parse(None, "c").definitions == Y.parse("fn f() {}", "cobol").definitions == [] and Y.analyse("fn f() {}", "rust", None)["definitions"] == []
 
 
 def test_quick_ratio(spark):
