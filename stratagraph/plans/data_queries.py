@@ -31,12 +31,6 @@ def p1_subtrees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nodes.where("NOT on_loop").select(F.col("id").alias("commit_id"), "root_id", "depth", "descendants")
 
 
-def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chain of first parents from the root to every commit without children, by stabbing the ranges."""
-    tree = build_hierarchy(first_parent_links(_t(spark, sf_dir, "commits")))
-    return tree.paths(tree.nodes.where("descendants = 0").select("id")).select(F.col("id").alias("commit_id"), F.concat_ws("/", "path").alias("path"))
-
-
 def p1_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chain of first parents from the root to every commit that is not on a loop or leading into one."""
     tree = build_hierarchy(first_parent_links(_t(spark, sf_dir, "commits")))
@@ -61,7 +55,7 @@ def p6_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return orphan_report(_t(spark, sf_dir, "edges"), _t(spark, sf_dir, "nodes"))
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p1_ranges, p1_subtrees, p1_paths, p1_chains, p1_below, p5_found, p6_found, p6_report)}
+QUERIES = {f.__name__: f for f in (p1_found, p1_ranges, p1_subtrees, p1_chains, p1_below, p5_found, p6_found, p6_report)}
 
 _LINKS = """
 last AS (SELECT id, arg_max(coalesce(parents, []), scanned_at) AS p FROM commits WHERE id IS NOT NULL GROUP BY id),
@@ -85,8 +79,12 @@ SQL = {
     "p1_found": f"WITH RECURSIVE {_LINKS} SELECT id AS commit_id, root_id, depth FROM tree UNION ALL SELECT id, root_id, CAST(-1 AS BIGINT) FROM looped",
     "p1_subtrees": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT id AS commit_id, parent_id AS above FROM link UNION ALL SELECT up.commit_id, l.parent_id FROM up JOIN link l ON l.id = up.above JOIN tree t ON t.id = l.id WHERE l.parent_id IS NOT NULL)
 SELECT tree.id AS commit_id, root_id, depth, count(up.commit_id) AS descendants FROM tree LEFT JOIN up ON up.above = tree.id GROUP BY ALL""",
-    "p1_paths": f"""WITH RECURSIVE {_LINKS}, paths AS (SELECT id, id AS path FROM link WHERE parent_id IS NULL UNION ALL SELECT l.id, p.path || '/' || l.id FROM link l JOIN paths p ON l.parent_id = p.id)
-SELECT id AS commit_id, path FROM paths WHERE id NOT IN (SELECT parent_id FROM link WHERE parent_id IS NOT NULL)""",
+    "p1_ranges": f"""WITH RECURSIVE {_LINKS}, up AS (SELECT id AS commit_id, parent_id AS above FROM link UNION ALL SELECT up.commit_id, l.parent_id FROM up JOIN link l ON l.id = up.above JOIN tree t ON t.id = l.id WHERE l.parent_id IS NOT NULL),
+size AS (SELECT tree.id, root_id, depth, count(up.commit_id) AS below FROM tree LEFT JOIN up ON up.above = tree.id GROUP BY ALL),
+step AS (SELECT l.id, l.parent_id, 1 + coalesce(sum(s.below + 1) OVER (PARTITION BY l.parent_id ORDER BY l.id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS step FROM link l JOIN size s ON s.id = l.id WHERE l.parent_id IS NOT NULL),
+place AS (SELECT id, CAST(0 AS HUGEINT) AS lo FROM link WHERE parent_id IS NULL UNION ALL SELECT step.id, place.lo + step.step FROM step JOIN place ON step.parent_id = place.id)
+SELECT s.id AS commit_id, l.parent_id, root_id, depth, CAST(lo AS BIGINT) AS lo, CAST(lo + below + 1 AS BIGINT) AS hi, below AS descendants, false AS on_loop FROM size s JOIN place p ON p.id = s.id JOIN link l ON l.id = s.id
+UNION ALL SELECT k.id, l.parent_id, root_id, CAST(-1 AS BIGINT), NULL, NULL, NULL, true FROM looped k JOIN link l ON l.id = k.id""",
     "p1_chains": f"""WITH RECURSIVE {_LINKS}, paths AS (SELECT id, id AS path FROM link WHERE parent_id IS NULL UNION ALL SELECT l.id, p.path || '/' || l.id FROM link l JOIN paths p ON l.parent_id = p.id)
 SELECT id AS commit_id, path FROM paths""",
     "p1_below": f"""WITH RECURSIVE {_LINKS}, below AS (SELECT l.parent_id AS commit_id, l.id AS descendant_id FROM link l JOIN tree t ON t.id = l.id WHERE l.parent_id IS NOT NULL
