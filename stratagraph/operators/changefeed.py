@@ -18,9 +18,9 @@ from stratagraph.session import Scratch, spread
 
 SEP = "\x1f"
 WRAPPERS = ("data",)
-IMAGE = "entity string, kind string, entity_type string, entity_key string, amendment_id string, at_us bigint, deletes boolean, payload string"
+IMAGE = "entity string, kind string, entity_type string, entity_key string, amendment_id string, at_us bigint, deletes boolean, payload string, reverted boolean"
 #: The index names an entity by two 64-bit hashes, which together do not collide, and a file by the hash of its name.
-INDEX = "e1 bigint, e2 bigint, amendment_id string, at_us bigint, deletes boolean, file bigint, pos bigint"
+INDEX = "e1 bigint, e2 bigint, amendment_id string, at_us bigint, deletes boolean, reverted boolean, file bigint, pos bigint"
 ENTITY = ["e1", "e2"]
 MARKS = "file bigint, word bigint, batch int, seen bigint, dead bigint"
 #: Words of bitmaps, 24 bytes each, up to which they are broadcast: 128 million images.
@@ -79,7 +79,6 @@ class DeleteVectorTable:
         self.spark, self.scratch, self.buckets = spark, Scratch(spark, "changefeed"), buckets
         self.files: list[str] = []
         self.indexes: list[str] = []
-        self.revoked: list[str] = []
         self.marks: list[str] = []
 
     def _all(self, paths: list[str], schema: str) -> DataFrame:
@@ -97,7 +96,7 @@ class DeleteVectorTable:
 
     def _locate(self, path: str) -> DataFrame:
         """The key index of the images in ``path``: only their key columns are read."""
-        return self._all([path], IMAGE).select(*_hashes(), "amendment_id", "at_us", "deletes", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos"))
+        return self._all([path], IMAGE).select(*_hashes(), "amendment_id", "at_us", "deletes", "reverted", F.xxhash64("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("pos"))
 
     def apply(self, batch: DataFrame) -> None:
         """Apply a batch of ``normalise_changes`` rows.
@@ -110,18 +109,14 @@ class DeleteVectorTable:
         images.write.parquet(path)
         self.files.append(path)
         self.indexes.append(self._keep(self._locate(path), "index"))
-        # a reverted copy is an image as well, so its entity is among those touched
-        gone_at = self.scratch.path("revoked")
-        batch.where("reverted AND valid").select("amendment_id").distinct().write.parquet(gone_at)
-        self.revoked.append(gone_at)
 
         new = self.spark.read.schema(f"{INDEX}, bucket int").parquet(self.indexes[-1])
         touched = [r["bucket"] for r in new.select("bucket").distinct().collect()]  # at most the number of buckets
         located = self._bucketed(self.indexes, INDEX, touched).join(new.select(*ENTITY).distinct(), ENTITY, "left_semi")
-        gone = self._all(self.revoked, "amendment_id string").distinct()
-        told = located.join(gone.withColumn("gone", F.lit(True)), "amendment_id", "left")
-        rank = F.struct(-F.coalesce("at_us", F.lit(-(2**63) + 1)), F.col("amendment_id"), F.col("file"), F.col("pos"), F.col("deletes"))
-        decides = told.where("gone IS NULL").groupBy(*ENTITY).agg(F.min(rank).alias("d"))
+        # a reverted copy is an image as well: it touches its entity and revokes the other copies there
+        rank = F.struct((-F.coalesce("at_us", F.lit(-(2**63) + 1))).alias("late"), F.col("amendment_id"), F.col("file"), F.col("pos"), F.col("deletes"))
+        copies = located.groupBy(*ENTITY, "amendment_id").agg(F.min(rank).alias("d"), F.bool_or("reverted").alias("gone"))
+        decides = copies.where("NOT gone").groupBy(*ENTITY).agg(F.min("d").alias("d"))
         stays = (F.col("d.file") == F.col("file")) & (F.col("d.pos") == F.col("pos")) & ~F.col("d.deletes")
         marked = located.join(decides, ENTITY, "left").withColumn("stays", F.coalesce(stays, F.lit(False)))
         bit = F.expr("shiftleft(1L, cast(pmod(pos, 64) as int))")
