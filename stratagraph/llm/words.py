@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ast
+import base64
 import html
+import os
 import re
 import unicodedata
 
@@ -49,17 +52,19 @@ class Hasher:
         return out
 
 
+def split_pattern(tokenizers: str) -> str:
+    """The pattern that the folder of tokenizers states as ``PATTERN``; its file is read as text, not run."""
+    with open(os.path.join(tokenizers, "__init__.py"), encoding="utf-8") as f:
+        for node in ast.parse(f.read()).body:
+            if isinstance(node, ast.Assign) and any(isinstance(t, ast.Name) and t.id == "PATTERN" for t in node.targets):
+                return ast.literal_eval(node.value)
+    raise ValueError(f"{tokenizers} states no pattern")
+
+
 def load_encoding(tokenizers: str, ranks: str):
     """The tokenizer of a rank file, with the pattern that its folder states."""
-    import base64
-    import importlib.util
-    import os
-
     import tiktoken
 
-    spec = importlib.util.spec_from_file_location("public_tokenizers_at", os.path.join(tokenizers, "__init__.py"))
-    module = importlib.util.module_from_spec(spec)
-    spec.loader.exec_module(module)
     with open(os.path.join(tokenizers, ranks), "rb") as lines:
         merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
-    return tiktoken.Encoding("own", pat_str=module.PATTERN, mergeable_ranks=merges, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=split_pattern(tokenizers), mergeable_ranks=merges, special_tokens={})
